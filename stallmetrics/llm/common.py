@@ -32,10 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A DataFrame written once to the shared folder; lost executors cost no recomputation."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, release: bool = False):
+        """release: let Spark delete the shuffle files that only writing this table needed, which it does once the driver's garbage is collected."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        if release:
+            self.spark._jvm.System.gc()
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -142,11 +142,11 @@ def _with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
 
 
 def _phase1(docs: DataFrame, window: int) -> Stored:
-    return Stored(_repeated(docs.mapInArrow(lambda b: _anchor_places(window, b), _PLACES)), "anchors")
+    return Stored(_repeated(docs.mapInArrow(lambda b: _anchor_places(window, b), _PLACES)), "anchors", release=True)
 
 
 def _phase2(docs: DataFrame, anchors: DataFrame, window: int) -> Stored:
-    return Stored(_repeated(_with_places(docs, anchors, "inner").mapInArrow(lambda b: _window_places(window, b), _PLACES)), "windows")
+    return Stored(_repeated(_with_places(docs, anchors, "inner").mapInArrow(lambda b: _window_places(window, b), _PLACES)), "windows", release=True)
 
 
 _RESULT = "doc_id long, th long, n_words long, n_removed long, kept string"
