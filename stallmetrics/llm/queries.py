@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries.
-MODULES = ("q05", "q07", "q09")
+MODULES = ("q05", "q07", "q08", "q09")
 
 
 def _all(name: str) -> dict:
