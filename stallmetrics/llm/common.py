@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side whose rows are of fixed small width may be broadcast.
 BROADCAST_ROWS = 100_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A DataFrame written once to the shared folder; lost executors cost no recomputation."""
 
-    def __init__(self, df: DataFrame, name: str, release: bool = False):
-        """release: let Spark delete the shuffle files that only writing this table needed, which it does once the driver's garbage is collected."""
+    def __init__(self, df: DataFrame, name: str):
+        """Shuffle files that only this write needed are deleted as soon as it is done."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        if release:
-            self.spark._jvm.System.gc()
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
