@@ -32,7 +32,7 @@ from .words import strings
 #: Texts that are encoded at once.
 ROWS = 1024
 #: Pieces whose ids a worker keeps, besides the units.
-PIECES = 300_000
+PIECES = 150_000
 _NONE = 1 << 62
 
 
@@ -68,9 +68,6 @@ class Vocabulary:
                     self._pairs[a * self.size + b] = i
                     break
         self._may.clear()
-        lengths = np.array([len(x) for x in self.tokens])
-        self._lengths, self._from = lengths, np.r_[0, np.cumsum(lengths)[:-1]]
-        self._bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether BPE leaves a and b as they are where a's bytes stand before b's."""
@@ -147,6 +144,18 @@ class Vocabulary:
         self.extend(data, last)
         return self.walk(last)
 
+
+class Tokens:
+    """The bytes of all tokens, for decoding."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        self._lengths = np.array([len(x) for x in tokens])
+        self._from = np.r_[0, np.cumsum(self._lengths)[:-1]]
+        self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids."""
         n = self._lengths[ids]
@@ -179,11 +188,21 @@ class PrefixTable:
         return self.vocabulary.walk(self.last)
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    """From a file of lines: base64 of a token, blank, its rank."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
-    """From a file of lines: base64 of a token, blank, its rank. Read once for each worker."""
-    with open(path, "rb") as lines:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+    """Read once for each worker."""
+    return Vocabulary(_ranks(path))
+
+
+@functools.cache
+def tokens(path: str) -> Tokens:
+    return Tokens(_ranks(path))
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -236,7 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _decoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    v = vocabulary(path)
+    v = tokens(path)
     for batch in batches:
         decoded = [v.decode(np.frombuffer(x, "<u4")).tobytes() for x in batch.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])

@@ -14,7 +14,7 @@ from collections.abc import Callable
 import regex
 
 #: Units in one generation of the cache.
-LIMIT = 400_000
+LIMIT = 150_000
 _UNITS = regex.compile(r"\s*\S+|\s+")
 
 
