@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,19 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a query's shuffle files as soon as the query is done."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Stored:
     """A DataFrame written once to the shared folder; lost executors cost no recomputation."""
 
     def __init__(self, df: DataFrame, name: str):
-        """Shuffle files that only this write needed are deleted as soon as it is done."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with cleaned_up(self.spark):
             df.write.parquet(self.path)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
