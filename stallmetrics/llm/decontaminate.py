@@ -136,3 +136,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     found = docs_.join(both, (docs_["th"] == both["h_th"]) & docs_["doc_id"].eqNullSafe(both["h_doc_id"]), "left")
     items_or_none = F.coalesce("items", F.array().cast("array<string>"))
     return found.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_or_none).cast("long").alias("n_items"), items_or_none.alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs, with all their columns."""
+    bad = Stored(decontaminate(docs, benchmark, window, rarest).filter("contaminated").select(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).distinct(), "contaminated").df
+    th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(small(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (th == F.col("_t")), "left_anti")

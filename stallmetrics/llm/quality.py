@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Stored, small
 from .words import Words, mix, split_words, strings
@@ -102,6 +103,7 @@ _FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns besides doc_id, lang and text go through as they are."""
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     for batch in batches:
         text = strings(batch.column("text"))
@@ -126,17 +128,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.array([_dup_lines(t) for t in part.to_pylist()], np.int64), _repeat_words(words, hashes), classes.sum(axis=1),
             ]
             ids = [batch.column(c).slice(words.lo, rows) for c in ("doc_id", "lang")]
-            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c.astype(np.int64)) for c in counts], lists(classes), lists(common)], names=names)
+            more = [c for c in batch.schema.names if c not in ("doc_id", "lang", "text")]
+            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c.astype(np.int64)) for c in counts], lists(classes), lists(common), *[batch.column(c).slice(words.lo, rows) for c in more]], names=[*names, *more])
 
 
 def base_failed(words: Column, repeated: Column) -> Column:
     return (words < MIN_WORDS) | (100 * repeated > 50 * words)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """For each row of docs its counts and histograms (_FEATURES) and base_failed."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    return rows.mapInArrow(_features, _FEATURES).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """For each row of docs its counts and histograms (_FEATURES) and base_failed; whole: also the row itself, as the struct row."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), *[F.struct("*").alias("row")] * whole
+    )
+    schema = T.StructType([*T.StructType.fromDDL(_FEATURES), *[f for f in rows.schema if f.name == "row"]])
+    return rows.mapInArrow(_features, schema).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
 def _shares(counts: str) -> Column:
@@ -167,10 +173,7 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """For each row of docs: its features, class_distance, common_distance, kept."""
-    found = Stored(features(docs), "features").df
-    refs = Stored(references(found), "references").df
+def _judged(found: DataFrame, refs: DataFrame) -> DataFrame:
     every = refs.filter("lang IS NULL").select(F.col("ref_classes").alias("all_classes"), F.col("ref_common").alias("all_common"))
     own = refs.filter("lang IS NOT NULL")
     # One row at most, so this is no product of two tables.
@@ -183,3 +186,17 @@ def judge(docs: DataFrame) -> DataFrame:
     ok = lambda d, n, least, limit, spread: (F.col(n) < least) | (F.col(d) <= limit + spread / F.sqrt(F.greatest(F.col(n), F.lit(1))))
     verdict = ok("class_distance", "n_chars", MIN_CHARS, CLASS_LIMIT, CLASS_SPREAD) & ok("common_distance", "n_words", MIN_COMMON, COMMON_LIMIT, COMMON_SPREAD)
     return measured.withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict, F.lit(True)))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """For each row of docs: its features, class_distance, common_distance, kept."""
+    found = Stored(features(docs), "features").df
+    return _judged(found, Stored(references(found), "references").df)
+
+
+def good(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; texts are read again rather than shuffled."""
+    found = Stored(features(docs), "features")
+    refs = Stored(references(found.df), "references").df
+    found.drop()
+    return _judged(features(docs, whole=True), refs).filter("kept").select("row.*")

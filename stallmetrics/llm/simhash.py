@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, keyed
 from .components import components
 from .words import split_words, strings
 
@@ -40,6 +40,8 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3
 BUCKET = 4096
+#: Stands for a null doc_id where rows are told apart.
+NO_ID = -(1 << 63)
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -78,13 +80,12 @@ def _fingerprints(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                     n = min(k, hi - lo)
                     a, b = start[lo : hi - n + 1].tolist(), end[lo + n - 1 : hi].tolist()
                     out[words.lo + i] = _fingerprint([joined[x:y] for x, y in zip(a, b, strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out.view(np.int64))], names=["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda b: _fingerprints(words_per_shingle, b), "doc_id long, fp long")
+    """doc_id, th (see keyed), fp (the 64 bits as a long) for each row."""
+    return keyed(docs).mapInArrow(lambda b: _fingerprints(words_per_shingle, b), "doc_id long, th long, fp long")
 
 
 def scatter(fp):
@@ -177,21 +178,27 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
         met = finer
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp, component_id for each row; component_id is the smallest doc_id that links reach."""
+def _classes(docs: DataFrame, words_per_shingle: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of fingerprints(); for each fp its component's root and the component's smallest doc_id."""
     rows = Stored(fingerprints(docs, words_per_shingle), "fingerprints").df
     distinct = Stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct").df
     roots = components(links(distinct.select("fp"), bucket))
     labelled = distinct.withColumn("v", scatter(F.col("fp"))).join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return rows, labelled.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fp, component_id for each row; component_id is the smallest doc_id that links reach."""
+    rows, classes = _classes(docs, words_per_shingle, bucket)
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest doc_id; of rows that repeat that id, one."""
-    found = near_duplicates(docs, words_per_shingle)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    rows = docs.join(first, docs["doc_id"].eqNullSafe(first["stays"])).drop("stays")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return rows.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+def one_of_each(docs: DataFrame, words_per_shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """The rows of docs that stay, with all columns: of each component one with the smallest doc_id (a null one only if all are null)."""
+    rows, classes = _classes(docs, words_per_shingle, bucket)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_i"), F.col("th").alias("_t"))
+    stay = Stored(rows.join(classes, "fp").groupBy("root").agg(F.min(key).alias("key")).select("key._i", "key._t"), "stay").df
+    whole = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_i"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_t"))
+    once = Window.partitionBy("_i", "_t").orderBy("_i")
+    return whole.join(stay, ["_i", "_t"]).withColumn("_row", F.row_number().over(once)).filter("_row = 1").select("_doc.*")

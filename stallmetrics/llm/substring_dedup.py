@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Stored, keyed
 from .words import Words, split_words, strings
@@ -138,7 +139,7 @@ def _repeated(places: DataFrame) -> DataFrame:
 def _with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
     places = places.withColumnsRenamed({"doc_id": "p_doc_id", "th": "p_th"})
     on = (docs["th"] == places["p_th"]) & docs["doc_id"].eqNullSafe(places["p_doc_id"])
-    return docs.join(places, on, how).select("doc_id", "th", "text", "at", "known")
+    return docs.join(places, on, how).drop("p_doc_id", "p_th")
 
 
 def _phase1(docs: DataFrame, window: int) -> Stored:
@@ -152,7 +153,7 @@ def _phase2(docs: DataFrame, anchors: DataFrame, window: int) -> Stored:
 _RESULT = "doc_id long, th long, n_words long, n_removed long, kept string"
 
 
-def _removals(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _removals(window: int, one_blank: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
         for words in split_words(strings(batch.column("text"))):
@@ -164,7 +165,6 @@ def _removals(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                 np.add.at(opened, a + window, -1)
             stays = np.cumsum(opened[:-1]) == 0
             data = words.data.tobytes()
-            # A run of kept words that stand one blank apart is one slice of the text.
             for i in range(words.hi - words.lo):
                 lo, hi = words.first[i], words.first[i + 1]
                 at = np.flatnonzero(stays[lo:hi]) + lo
@@ -174,19 +174,41 @@ def _removals(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                     kept.append("")
                     continue
                 start, end = words.start[at], words.end[at]
-                joined = (np.diff(at) == 1) & (start[1:] == end[:-1] + 1)
-                joined &= words.data[np.minimum(end[:-1], len(words.data) - 1)] == 32
+                # A run of kept words is one slice of the text; with one_blank, if they stand one blank apart.
+                joined = np.diff(at) == 1
+                if one_blank:
+                    joined &= (start[1:] == end[:-1] + 1) & (words.data[np.minimum(end[:-1], len(words.data) - 1)] == 32)
                 cut = np.flatnonzero(~joined)
                 kept.append(b" ".join([data[a:b] for a, b in zip(start[np.r_[0, cut + 1]], end[np.r_[cut, len(end) - 1]], strict=True)]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "th", "n_words", "n_removed", "kept"])
+        more = [c for c in batch.schema.names if c == "row"]
+        columns = [batch.column("doc_id"), batch.column("th"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *[batch.column(c) for c in more]]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n_words", "n_removed", "kept", *more])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each row of docs: doc_id, th (see keyed), n_words, n_removed, kept (the words that stay, one blank apart)."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, one_blank: bool = True, others: list[str] | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, th (see keyed), n_words, n_removed, kept.
+
+    kept: the words that stay, one blank apart; without one_blank, runs of them keep their own white space.
+    others: columns of docs that the result has in the struct row.
+    """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words or more")
-    docs = keyed(docs)
-    anchors = _phase1(docs, window)
-    windows = _phase2(docs, anchors.df, window)
+    plain = keyed(docs)
+    anchors = _phase1(plain, window)
+    windows = _phase2(plain, anchors.df, window)
     anchors.drop()
-    return _with_places(docs, windows.df, "left").mapInArrow(lambda b: _removals(window, b), _RESULT)
+    if others:
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.struct(*others).alias("row"))
+    joined = _with_places(plain, windows.df, "left")
+    schema = T.StructType([*T.StructType.fromDDL(_RESULT), *[f for f in joined.schema if f.name == "row"]])
+    return joined.mapInArrow(lambda b: _removals(window, one_blank, b), schema)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with texts without their repeated passages; a text that has none stays as it is. n_chars, if there, is counted anew."""
+    others = [c for c in docs.columns if c != "text"]
+    found = remove_repeats(docs, window, one_blank=False, others=[*others, "text"])
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
