@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries.
-MODULES = ("q02", "q03", "q04", "q05", "q06", "q07", "q08", "q09")
+MODULES = ("q02", "q03", "q04", "q05", "q06", "q07", "q08", "q09", "q10")
 
 
 def _all(name: str) -> dict:
