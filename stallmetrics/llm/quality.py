@@ -146,8 +146,9 @@ def features(docs: DataFrame, whole: bool = False) -> DataFrame:
 
 
 def _shares(counts: str) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
+    """Of column classes or common; their sums are n_chars and n_words."""
+    total = F.greatest(F.col({"classes": "n_chars", "common": "n_words"}[counts]), F.lit(1)).cast("double")
+    return F.transform(counts, lambda x: x / total)
 
 
 def references(found: DataFrame) -> DataFrame:
