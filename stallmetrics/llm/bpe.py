@@ -152,13 +152,13 @@ class Tokens:
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             tokens[i] = token
-        self._lengths = np.array([len(x) for x in tokens])
-        self._from = np.r_[0, np.cumsum(self._lengths)[:-1]]
+        self.lengths = np.array([len(x) for x in tokens])
+        self._from = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids."""
-        n = self._lengths[ids]
+        n = self.lengths[ids]
         end = np.cumsum(n)
         return self._bytes[np.repeat(self._from[ids] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
 
@@ -188,7 +188,7 @@ class PrefixTable:
         return self.vocabulary.walk(self.last)
 
 
-def _ranks(path: str) -> dict[bytes, int]:
+def ranks(path: str) -> dict[bytes, int]:
     """From a file of lines: base64 of a token, blank, its rank."""
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -197,12 +197,12 @@ def _ranks(path: str) -> dict[bytes, int]:
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     """Read once for each worker."""
-    return Vocabulary(_ranks(path))
+    return Vocabulary(ranks(path))
 
 
 @functools.cache
 def tokens(path: str) -> Tokens:
-    return Tokens(_ranks(path))
+    return Tokens(ranks(path))
 
 
 def _shared(a: bytes, b: bytes) -> int:
