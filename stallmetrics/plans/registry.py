@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import analysis, results
+
+_MODULES = (results, analysis)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return results.price_drop(spark, sf_dir)
