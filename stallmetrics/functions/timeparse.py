@@ -6,7 +6,7 @@ a change of summer time skips or repeats are read as Spark reads them, the earli
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BERLIN, MOSCOW = "Europe/Berlin", "Europe/Moscow"
@@ -37,38 +37,27 @@ def _relative_day(text: Column, moment: Column) -> Column:
     return F.when(F.lower(text).contains("gestern"), F.date_sub(today, 1)).when(F.lower(text).contains("heute"), today)
 
 
-def posted_at(text: Column, moment: Column) -> Column:
-    """UTC moment of a posted text with a clock; null if it has none."""
-    raw = F.trim(F.regexp_replace(text, r"\s+", " "))
-    iso = F.regexp_extract(raw, _ISO, 0)
-    iso_text = F.regexp_replace(F.regexp_replace(iso, "T", " "), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    zone = _part(raw, _ISO, 7)
-    iso_at = F.when(
-        _part(raw, _ISO, 4).isNotNull(),
-        F.when(zone.isNotNull(), F.try_to_timestamp(iso_text)).otherwise(F.to_utc_timestamp(F.try_to_timestamp(iso_text), BERLIN)),
-    )
-    has_date = _part(raw, _DATE, 3).isNotNull()
-    date_at = F.when(_part(raw, _DATE, 4).isNotNull(), _berlin(*[_part(raw, _DATE, i) for i in (3, 2, 1, 4, 5)]))
-    day = _relative_day(raw, moment)
-    relative_at = _berlin(F.year(day), F.month(day), F.dayofmonth(day), _part(raw, _CLOCK, 1), _part(raw, _CLOCK, 2))
-    return F.coalesce(iso_at, F.when(has_date, date_at).otherwise(relative_at))
-
-
-def age_minutes(text: Column, captured_at: Column) -> Column:
-    """Minutes from the posted clock to the capture, at least 0; null without an exact clock."""
-    minutes = (micros(captured_at) - micros(posted_at(text, captured_at))) / 6e7
-    return F.greatest(minutes, F.lit(0.0))
-
-
-def posted_date_moscow(text: Column, moment: Column) -> Column:
-    """D3: an explicit date as it stands; heute and gestern by their Berlin clock, or else day, in Moscow."""
-    raw = F.trim(F.regexp_replace(text, r"\s+", " "))
-    iso = F.try_to_date(F.concat_ws("-", *[_part(raw, _ISO, i) for i in (1, 2, 3)]), "yyyy-MM-dd")
-    explicit = F.try_to_date(F.concat_ws("-", _part(raw, _DATE, 3), F.lpad(_part(raw, _DATE, 2), 2, "0"), F.lpad(_part(raw, _DATE, 1), 2, "0")), "yyyy-MM-dd")
-    clock = F.to_date(F.from_utc_timestamp(posted_at(raw, moment), MOSCOW))
-    moscow_today = F.to_date(F.from_utc_timestamp(moment, MOSCOW))
-    day = F.when(F.lower(raw).contains("gestern"), F.date_sub(moscow_today, 1)).when(F.lower(raw).contains("heute"), moscow_today)
-    return F.coalesce(iso, explicit, F.when(_relative_day(raw, moment).isNotNull(), F.coalesce(clock, day)))
+def with_posted(df: DataFrame, text: str, moment: str) -> DataFrame:
+    """Df with posted_at (UTC, of texts with a clock), age_minutes at the moment, and day_moscow.
+
+    An explicit date counts as it stands; heute and gestern go by Berlin's day, and with a clock by the Moscow day of that time.
+    Steps are columns of their own, so that nothing is parsed twice.
+    """
+    parts = df.withColumn("_raw", F.trim(F.regexp_replace(text, r"\s+", " ")))
+    parts = parts.withColumns({f"_i{i}": _part(F.col("_raw"), _ISO, i) for i in (0, 1, 2, 3, 4, 7)} | {f"_d{i}": _part(F.col("_raw"), _DATE, i) for i in range(1, 6)})
+    parts = parts.withColumn("_day", _relative_day(F.col("_raw"), F.col(moment)))
+    iso = F.regexp_replace(F.replace(F.col("_i0"), F.lit("T"), F.lit(" ")), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    iso_at = F.when(F.col("_i4").isNull(), None).when(F.col("_i7").isNotNull(), F.try_to_timestamp(iso)).otherwise(F.to_utc_timestamp(F.try_to_timestamp(iso), BERLIN))
+    date_at = F.when(F.col("_d4").isNotNull(), _berlin(*[F.col(f"_d{i}") for i in (3, 2, 1, 4, 5)]))
+    clock = [_part(F.col("_raw"), _CLOCK, i) for i in (1, 2)]
+    relative_at = _berlin(F.year("_day"), F.month("_day"), F.dayofmonth("_day"), *clock)
+    parts = parts.withColumn("posted_at", F.coalesce(iso_at, F.when(F.col("_d3").isNotNull(), date_at).otherwise(relative_at)))
+    iso_day = F.try_to_date(F.concat_ws("-", "_i1", "_i2", "_i3"), "yyyy-MM-dd")
+    date_day = F.try_to_date(F.concat_ws("-", "_d3", F.lpad("_d2", 2, "0"), F.lpad("_d1", 2, "0")), "yyyy-MM-dd")
+    by_clock = F.to_date(F.from_utc_timestamp("posted_at", MOSCOW))
+    day = F.when(F.col("_i4").isNotNull() & F.col("posted_at").isNotNull(), by_clock).when(F.col("_i1").isNotNull(), iso_day).when(F.col("_d3").isNotNull(), date_day).when(F.col("_day").isNotNull(), F.coalesce(by_clock, F.col("_day")))
+    age = F.greatest((micros(moment) - micros("posted_at")) / 6e7, F.lit(0.0))
+    return parts.withColumns({"age_minutes": age, "day_moscow": day}).drop("_raw", "_day", *[f"_i{i}" for i in (0, 1, 2, 3, 4, 7)], *[f"_d{i}" for i in range(1, 6)])
 
 
 def sort_moment(text: Column, first_seen_at: Column, as_of: Column) -> Column:

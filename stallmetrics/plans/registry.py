@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, results
+from . import analysis, operations, results
 
-_MODULES = (results, analysis)
+_MODULES = (results, analysis, operations)
 
 
 def queries() -> dict:
