@@ -158,11 +158,12 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
     probes = owned.withColumn("flip", F.explode(ball)).select("half", F.col("own").bitwiseXOR(F.col("flip")).alias("value"), "other", "fp")
     filed = owned.groupBy("half", F.col("own").alias("value")).agg(F.count(F.lit(1)).alias("owners"))
-    met = Stored(probes.join(filed, ["half", "value"]).select("half", "value", F.lit(0).cast("long").alias("fixed"), F.lit(0).cast("long").alias("part"), "other", "fp"), "buckets")
+    # Spark doesn't foresee how many rows the ball makes, so it could take probes for small enough to broadcast.
+    met = Stored(probes.hint("merge").join(filed, ["half", "value"]).select("half", "value", F.lit(0).cast("long").alias("fixed"), F.lit(0).cast("long").alias("part"), "other", "fp"), "buckets")
     key, fixed, edges = ["half", "value", "fixed", "part"], {0}, None
     while True:
         sizes = met.df.groupBy(key).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = met.df.join(sizes, key)
+        sized = met.df.hint("merge").join(sizes, key)
         # At 2**4 free values and 33 lookups each a bucket cannot be divided further, and is small.
         last = all(32 - bin(m).count("1") <= 4 for m in fixed)
         groups = sized if last else sized.filter(F.col("size") <= bucket)
