@@ -106,6 +106,11 @@ def _words(*lists) -> Column:
     return F.array(*[F.lit(w) for w in dict.fromkeys(w for ws in lists for w in ws)])
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value computed once a row however often of uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def title_words(fold: Column) -> Column:
     """T4 as a list: canonical words that aren't stop words."""
     return F.filter(F.split(canonical(fold), " "), lambda w: (w != "") & ~F.array_contains(_words(STOPWORDS), w))
@@ -136,11 +141,13 @@ def contains_any(normal: Column, words: list[str]) -> Column:
 
 def identity_words(fold: Column) -> Column:
     """T5: title words without colours, conditions, counts, and brands that a root implies."""
-    words = F.filter(title_words(fold), lambda w: ~F.array_contains(_words(COLORS, CONDITIONS), w) & ~w.rlike(r"^\d+x$"))
-    for brand, roots in ROOTS_OF_BRAND.items():
-        implied = F.arrays_overlap(words, _words(roots.split()))
-        words = F.when(implied, F.array_remove(words, brand)).otherwise(words)
-    return words
+    plain = F.filter(title_words(fold), lambda w: ~F.array_contains(_words(COLORS, CONDITIONS), w) & ~w.rlike(r"^\d+x$"))
+
+    def without_implied(words: Column) -> Column:
+        implied = lambda w: F.greatest(*[(w == brand) & F.arrays_overlap(words, _words(roots.split())) for brand, roots in ROOTS_OF_BRAND.items()])
+        return F.filter(words, lambda w: ~implied(w))
+
+    return _let(plain, without_implied)
 
 
 def is_model_word(word: Column) -> Column:
@@ -149,23 +156,30 @@ def is_model_word(word: Column) -> Column:
 
 
 def family_of(words: Column) -> Column:
-    """T7 without the recognizer, of identity words: struct key, confidence. Compute words as a column first; they are used often."""
-    models = F.filter(words, is_model_word)
-    brands = F.filter(words, lambda w: F.array_contains(_words(BRANDS), w))
-    other = F.filter(words, lambda w: ~is_model_word(w) & ~F.array_contains(_words(BRANDS), w))
+    """T7 without the recognizer, of identity words: struct key, confidence."""
+    is_brand = lambda w: F.array_contains(_words(BRANDS), w)
     first = lambda a, n: F.slice(a, 1, n)
-    chosen = F.when(F.size(models) > 0, F.concat(models, first(brands, 1), first(other, 2))).otherwise(F.concat(first(brands, 1), first(other, 5)))
-    key = F.sort_array(F.array_distinct(chosen))
-    score = (
-        F.lit(25)
-        + F.when(F.arrays_overlap(key, _words(ROOTS)), 35).otherwise(0)
-        + F.when(F.exists(key, lambda w: w.rlike("[0-9]")), 20).otherwise(0)
-        + F.when(F.arrays_overlap(key, _words(VARIANTS, TYPES)), 10).otherwise(0)
-        + F.when(F.size(key) >= 2, 10).otherwise(0)
-        - F.when((F.size(models) == 0) & (F.size(key) < 2), 20).otherwise(0)
-    )
-    none = F.size(words) == 0
-    return F.struct(F.when(none, "").otherwise(F.array_join(key, " ")).alias("key"), F.when(none, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).alias("confidence"))
+
+    def chosen(parts: Column) -> Column:
+        models, brands, other = parts["models"], parts["brands"], parts["other"]
+        picked = F.when(F.size(models) > 0, F.concat(models, first(brands, 1), first(other, 2))).otherwise(F.concat(first(brands, 1), first(other, 5)))
+        return F.struct(F.sort_array(F.array_distinct(picked)).alias("key"), F.size(models).alias("models"))
+
+    def scored(found: Column) -> Column:
+        key = found["key"]
+        score = (
+            F.lit(25)
+            + F.when(F.arrays_overlap(key, _words(ROOTS)), 35).otherwise(0)
+            + F.when(F.exists(key, lambda w: w.rlike("[0-9]")), 20).otherwise(0)
+            + F.when(F.arrays_overlap(key, _words(VARIANTS, TYPES)), 10).otherwise(0)
+            + F.when(F.size(key) >= 2, 10).otherwise(0)
+            - F.when((found["models"] == 0) & (F.size(key) < 2), 20).otherwise(0)
+        )
+        none = F.size(key) == 0
+        return F.struct(F.when(none, "").otherwise(F.array_join(key, " ")).alias("key"), F.when(none, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).alias("confidence"))
+
+    split = F.struct(F.filter(words, is_model_word).alias("models"), F.filter(words, is_brand).alias("brands"), F.filter(words, lambda w: ~is_model_word(w) & ~is_brand(w)).alias("other"))
+    return _let(_let(split, chosen), scored)
 
 
 def duplicate_key(category: Column, normal: Column, price_eur: Column, price_text: Column) -> Column:
@@ -177,12 +191,17 @@ def duplicate_key(category: Column, normal: Column, price_eur: Column, price_tex
 def opportunity_family(fold: Column, category: Column) -> Column:
     """Fam:category:head|tail from a first name and model codes, or two more names; empty if too little is there."""
     tokens = F.filter(F.regexp_extract_all(canonical_for_identity(fold), F.lit("([a-z0-9]+(?:-[a-z0-9]+)*)"), 1), lambda t: (F.length(t) >= 2) & ~F.array_contains(_words(FAMILY_STOPWORDS), t))
-    codes = F.filter(tokens, lambda t: t.rlike("[a-z]") & t.rlike(r"\d") & ~t.rlike(r"^\d+(?:gb|tb|v|w|kw|mah|ah|mm|cm|hz|kg)$"))
-    names = F.filter(tokens, lambda t: t.rlike("^[a-z]+$") & (F.length(t) >= 3))
-    head = F.when(F.size(names) > 0, F.get(names, 0)).otherwise("product")
-    tail = F.sort_array(F.array_distinct(F.when(F.size(codes) > 0, F.slice(codes, 1, 2)).otherwise(F.slice(names, 2, 2))))
-    key = F.concat(F.lit("fam:"), F.coalesce(F.nullif(category, F.lit("")), F.lit("unknown")), F.lit(":"), F.array_join(F.concat(F.array(head), tail), "|"))
-    return F.when(F.size(tail) > 0, key).otherwise("")
+
+    def named(ts: Column) -> Column:
+        codes = F.filter(ts, lambda t: t.rlike("[a-z]") & t.rlike(r"\d") & ~t.rlike(r"^\d+(?:gb|tb|v|w|kw|mah|ah|mm|cm|hz|kg)$"))
+        names = F.filter(ts, lambda t: t.rlike("^[a-z]+$") & (F.length(t) >= 3))
+        return F.struct(F.coalesce(F.get(names, F.lit(0)), F.lit("product")).alias("head"), F.sort_array(F.array_distinct(F.when(F.size(codes) > 0, F.slice(codes, 1, 2)).otherwise(F.slice(names, 2, 2)))).alias("tail"))
+
+    def key(n: Column) -> Column:
+        whole = F.concat(F.lit("fam:"), F.coalesce(F.nullif(category, F.lit("")), F.lit("unknown")), F.lit(":"), F.array_join(F.concat(F.array(n["head"]), n["tail"]), "|"))
+        return F.when(F.size(n["tail"]) > 0, whole).otherwise("")
+
+    return _let(_let(tokens, named), key)
 
 
 def cohort_key(identity_key: Column, identity_confidence: Column, family_key: Column) -> Column:
