@@ -1,0 +1,126 @@
+"""Chat, quality, language and HTML; queries against SQL; the pipeline against brute force."""
+
+import itertools
+
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from stallmetrics.llm import chat, html_text, language, quality, queries
+from tests.conftest import SF
+from tests.llm.test_dedup import brute_components, brute_fingerprint, brute_hits, brute_removal
+from tests.llm.test_tokens import REFERENCE
+
+KEY = "doc_id long, text string, lang string"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_its_sql(name, same):
+    same(queries.queries()[name], queries.oracle_sql()[name])
+
+
+_PIECES = st.lists(st.sampled_from(["<|im_start|>", "<|im_end|>", "<|\\im_end|>", "<|\\\\im_start|>", "\\", "\n", "\\n", "<|", "|>", "assistant", "a", "é"]), max_size=8).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(_PIECES, _PIECES), max_size=5))
+def test_chat_round_trip(turns):
+    assert chat.parse("".join(chat.render(r, t) for r, t in turns)) == turns
+
+
+@pytest.mark.parametrize("bad", ["x", "<|im_start|>user", "<|im_start|>user\nhi", "<|im_start|>user\nhi<|im_end|>", "<|im_start|>user\n<|im_start|>a<|im_end|>\n"])
+def test_chat_rejects(bad):
+    with pytest.raises(chat.Malformed):
+        chat.parse(bad)
+
+
+def test_chat_cases(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (2, 0, "assistant", "one"), (2, 1, "user", "q"), (2, 2, "assistant", "two")]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn int, role string, text string, formatted string")
+    read = {r.conv_id: (r.turns, r.loss) for r in chat.parse_chats(chat.format_chats(df)).withColumn("loss", chat.loss_text()).collect()}
+    assert [tuple(t) for t in read[1][0]] == [("user", ""), ("assistant", "b")] and read[2][1] == "onetwo" and read[None][1] == ""
+    assert chat.format_chats(df.filter("false")).count() == 0
+
+
+def test_quality_cases(spark):
+    good = " ".join(["The man and the woman of the town went to a house that was by the sea, but it is not there."] + [f"They had {w} in their garden and said so." for w in "roses tulips apples pears cherries plums".split()])
+    rows = [(1, None, "en"), (2, "", None), (3, "x " * 100, "en"), (4, good, "en"), (4, good, "en"), (5, good, None), (6, "#$% &&& ||| " * 40 + " ".join(f"<{i}>" for i in range(300)), "en"), *[(10 + i, good, "en") for i in range(20)]]
+    df = spark.createDataFrame(rows, KEY).withColumn("n_words", F.lit("clash"))
+    found = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert [found[i].base_failed for i in (1, 2, 3, 4)] == [True, True, True, False]
+    assert found[4].kept and found[5].kept and not found[6].kept and found[3].n_repeat_words == 100
+    kept = quality.good(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {4, 5, *range(10, 30)}
+    assert quality.judge(df.filter("false")).count() == 0
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    out = language.held_out(F.col("doc_id"))
+    found = language.predict(docs, language.train(docs.filter(~out))).join(docs.select("doc_id", "lang").filter(out & F.col("lang").isNotNull()), "doc_id").filter("lang_pred <> 'und'")
+    right, n = found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double")), F.count("*")).first()
+    assert n > 100 and right >= 0.95
+
+
+def test_language_cases(spark):
+    rows = [(1, "the cat sat on the mat and it was warm", "en"), (2, "der Hund lag auf dem Boden und schlief", "de"), (3, "le chat est sur la table et dort", "fr"), (4, None, "en"), (5, "123 !?", "en"), (6, "", None), (7, "日本", None)]
+    df = spark.createDataFrame(rows, KEY)
+    model = language.train(df)
+    found = {r.doc_id: r for r in language.predict(df, model).collect()}
+    assert [found[i].lang_pred for i in range(1, 7)] == ["en", "de", "fr", "und", "und", "und"] and found[7].lang_pred != "und"
+    assert all(0 <= r.score <= 1 for r in found.values())
+    assert language.train(df.filter("false")) is None
+    assert {r.lang_pred for r in language.predict(df, None).collect()} == {"und"}
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
+<div class="cookie-notice">We use cookies</div><main><article><h1>The   head&nbsp;line</h1><p>First para with <b>bold</b>text &amp; more words to read here.</p><p>Second<br>line of a paragraph that goes on.</p>
+<div class="ad-banner">Buy now</div></article></main><aside>Side</aside><section id="comments"><p>I think so too, says a reader of the page.</p></section><form><input>Send</form><script>var x = "<p>no</p>";</script><footer>(c) us</footer></body></html>"""
+
+
+def test_html_main_text():
+    assert html_text.main_text(PAGE) == "The head line\nFirst para with boldtext & more words to read here.\nSecond line of a paragraph that goes on."
+
+
+def test_html_cases(spark):
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" + "open " * 50_000), (4, "u", "<<<>>"), (5, "u", PAGE), (5, "u", PAGE)]
+    found = html_text.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()
+    by = {r.page_id: r for r in found}
+    assert len(found) == 6 and by[1].text == by[2].text == "" and by[3].n_chars == 50_000 * 5 - 1 and all(r.n_chars == len(r.text) for r in found)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=6), st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.integers(0, 9)), max_size=8))
+def test_flow_is_the_minimum_cut(terminals, ties):
+    n = len(terminals)
+    flow = html_text.Flow(n + 2)
+    ties = [(a % n, b % n, c) for a, b, c in ties if a % n != b % n]
+    for i, (s, t) in enumerate(terminals):
+        flow.add(n, i, s)
+        flow.add(i, n + 1, t)
+    for a, b, c in ties:
+        flow.add(a, b, c, c)
+    cost = lambda inside: sum(t if i else s for i, (s, t) in zip(inside, terminals, strict=True)) + sum(c for a, b, c in ties if inside[a] != inside[b])
+    found = [x >= 0 for x in flow.run(n, n + 1)[:n]]
+    assert cost(found) == min(map(cost, itertools.product((False, True), repeat=n)))
+
+
+def test_pipeline_equals_brute_force(spark):
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
+    kept = {r.doc_id for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).filter("kept").collect()}
+    docs = [(r["doc_id"], r["text"]) for r in rows if r["doc_id"] in kept]
+    first = {c for _, _, c in brute_components([(d, brute_fingerprint(t)) for d, t in docs])}
+    docs = [x for x in docs if x[0] in first]
+    removed = {d: (n, k) for d, _, n, k in brute_removal(docs, 35)}
+    words = {d: removed[d][1] if removed[d][0] else t for d, t in docs}
+    clean = {d for d, _, _, _, bad in brute_hits(list(words.items()), items, 10) if not bad}
+    found = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(found) == clean
+    whole = [d for d in clean if not removed[d][0]]
+    assert whole and all(found[d].n_tokens == len(REFERENCE.encode_ordinary(words[d] or "")) for d in whole)
+    assert public_tokenizers.PATTERN and corpus_pipeline.ORACLE_SQL is None
