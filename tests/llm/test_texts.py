@@ -47,7 +47,10 @@ def test_chat_cases(spark):
 
 
 def test_quality_cases(spark):
-    good = " ".join(["The man and the woman of the town went to a house that was by the sea, but it is not there."] + [f"They had {w} in their garden and said so." for w in "roses tulips apples pears cherries plums".split()])
+    good = (
+        "The man and a woman of the town went to that old house by the sea, but it is not there. They had roses in one garden, you know, and all were red when he saw them. "
+        "If more can be said, then her brother has no reason for a lie, or so which of us may think. From this hill we are at home with his dogs as if on an island."
+    )
     rows = [(1, None, "en"), (2, "", None), (3, "x " * 100, "en"), (4, good, "en"), (4, good, "en"), (5, good, None), (6, "#$% &&& ||| " * 40 + " ".join(f"<{i}>" for i in range(300)), "en"), *[(10 + i, good, "en") for i in range(20)]]
     df = spark.createDataFrame(rows, KEY).withColumn("n_words", F.lit("clash"))
     found = {r.doc_id: r for r in quality.judge(df).collect()}
