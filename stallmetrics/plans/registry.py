@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, operations, results
+from . import analysis, operations, results, streams
 
-_MODULES = (results, analysis, operations)
+_MODULES = (results, analysis, operations, streams)
 
 
 def queries() -> dict:
