@@ -12,9 +12,10 @@ Minimum-length guards: a short text strays from its language's reference by chan
 limit + spread / sqrt(n) for n characters or words, and a histogram of under MIN_CHARS characters or
 MIN_COMMON words decides nothing.
 
-Cases: null text is like empty text: no words, base_failed; a null lang, and a lang none of whose
-documents passes the base rules, is held against the mean of all documents; repeated rows get equal
-results; an empty table gives an empty result; other columns are not read.
+Cases: null text is like empty text: no words, base_failed; a document with a null lang, or a lang none
+of whose documents passes the base rules, is held against the references of all languages and kept if it is
+near one of them (against the mean of all documents only where no language has a reference); repeated rows
+get equal results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -175,18 +176,25 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def _judged(found: DataFrame, refs: DataFrame) -> DataFrame:
-    every = refs.filter("lang IS NULL").select(F.col("ref_classes").alias("all_classes"), F.col("ref_common").alias("all_common"))
-    own = refs.filter("lang IS NOT NULL")
-    # One row at most, so this is no product of two tables.
-    joined = found.join(small(own), "lang", "left").join(F.broadcast(every), F.lit(True), "left")
-    measured = joined.select(
-        *found.columns,
-        distance(_shares("classes"), F.coalesce("ref_classes", "all_classes")).alias("class_distance"),
-        distance(_shares("common"), F.coalesce("ref_common", "all_common")).alias("common_distance"),
-    )
-    ok = lambda d, n, least, limit, spread: (F.col(n) < least) | (F.col(d) <= limit + spread / F.sqrt(F.greatest(F.col(n), F.lit(1))))
-    verdict = ok("class_distance", "n_chars", MIN_CHARS, CLASS_LIMIT, CLASS_SPREAD) & ok("common_distance", "n_words", MIN_COMMON, COMMON_LIMIT, COMMON_SPREAD)
-    return measured.withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict, F.lit(True)))
+    both = F.struct("ref_classes", "ref_common")
+    of_all, own = refs.filter("lang IS NULL").select(F.array(both).alias("_all")), refs.filter("lang IS NOT NULL")
+    every = own.agg(F.collect_list(both).alias("_each")).join(F.broadcast(of_all), F.lit(True), "left").select(F.when(F.size("_each") > 0, F.col("_each")).otherwise(F.col("_all")).alias("_every"))
+    # One row at most, so this is no product of two tables; it goes to the rows without a reference of their own.
+    joined = found.join(small(own.select("lang", F.array(both).alias("_own"))), "lang", "left").join(F.broadcast(every), F.col("_own").isNull(), "left")
+    ok = lambda d, n, least, limit, spread: (F.col(n) < least) | (d <= limit + spread / F.sqrt(F.greatest(F.col(n), F.lit(1))))
+
+    def held(ref: Column) -> Column:
+        classes, common = distance(_shares("classes"), ref["ref_classes"]), distance(_shares("common"), ref["ref_common"])
+        return F.struct(classes.alias("class_distance"), common.alias("common_distance"))
+
+    def verdict(d: Column) -> Column:
+        near = ok(d["class_distance"], "n_chars", MIN_CHARS, CLASS_LIMIT, CLASS_SPREAD) & ok(d["common_distance"], "n_words", MIN_COMMON, COMMON_LIMIT, COMMON_SPREAD)
+        return F.struct((~near).alias("far"), d["common_distance"].alias("common_distance"), d["class_distance"].alias("class_distance"))
+
+    # A reference that it is near, if there is one, and the nearest by common words.
+    best = F.array_min(F.transform(F.transform(F.coalesce("_own", "_every"), held), verdict))
+    measured = joined.withColumn("_best", best).select(*found.columns, "_best.class_distance", "_best.common_distance", "_best.far")
+    return measured.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("far", F.lit(False))).drop("far")
 
 
 def judge(docs: DataFrame) -> DataFrame:

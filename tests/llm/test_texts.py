@@ -61,6 +61,17 @@ def test_quality_cases(spark):
     assert quality.judge(df.filter("false")).count() == 0
 
 
+def test_quality_without_language(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").join(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    # Every other document loses its lang, or has one that no reference is learned of.
+    some = docs.withColumn("known", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 4 == 1, None).when(F.col("doc_id") % 4 == 3, F.concat(F.lit("x-"), "doc_id")).otherwise(F.col("lang")))
+    refs = quality.references(quality.features(docs))
+    found = quality._judged(quality.features(some), refs).filter("NOT base_failed").join(some.select("doc_id", "known", "quality"), "doc_id").filter("doc_id % 2 = 1")
+    shares = {(r.quality, r.known): r.share for r in found.groupBy("quality", "known").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert all(shares[1, lang] >= 0.95 for lang in ("en", "de", "fr", "es"))
+    assert found.filter("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0] <= 0.1
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     out = language.held_out(F.col("doc_id"))
