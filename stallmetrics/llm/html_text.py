@@ -35,6 +35,7 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 SILENT_TAGS = frozenset("script style head title noscript template svg math iframe object canvas audio video map select textarea datalist".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE_TAGS = frozenset("br td th option img".split())
 
@@ -98,7 +99,17 @@ class _Blocks(HTMLParser):
             self._links -= tag == "a"
         del self._open[at:]
 
+    def _end_head(self, tag: str) -> None:
+        """The head's end tag may be missing: the body ends it, and so does whatever else cannot stand in it."""
+        for i in range(len(self._open) if tag == "body" else 0):
+            if self._open[i][0] == "head":
+                self._close(i)
+                return
+        if self._open and self._open[-1][0] == "head" and tag not in HEAD_TAGS:
+            self._close(len(self._open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._end_head(tag)
         if tag in SPACE_TAGS:
             self._parts.append(" ")
         if tag in BLOCK_TAGS:
@@ -141,6 +152,8 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head("")
         if not self._silent:
             self._parts.append(data)
             if self._links:

@@ -100,6 +100,12 @@ def test_html_main_text():
     assert html_text.main_text(PAGE) == "The head line\nFirst para with boldtext & more words to read here.\nSecond line of a paragraph that goes on."
 
 
+@pytest.mark.parametrize("rest", ["<body><p>{}", "<p>{}", "<div><noscript>x</noscript><p>{}</div>", "{}", "<noscript><link></noscript><span>{}</span>", "<noscript><link><body><p>{}"])
+def test_html_head_without_end(rest):
+    text = "Words of a page whose head has no end tag."
+    assert html_text.main_text("<html><head><meta charset=utf-8><title>T</title><style>p{}</style>" + rest.format(text)) == text
+
+
 def test_html_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" + "open " * 50_000), (4, "u", "<<<>>"), (5, "u", PAGE), (5, "u", PAGE)]
     found = html_text.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()
