@@ -6,13 +6,16 @@ shard of its own). A shard's row has its bit-planes and rank directory, and its
 lengths, so from one compressed file a token can be read, counted and found without decoding the rest.
 
 Cases: null or empty text has the end id alone; a null doc_id sorts first; rows that repeat a doc_id are
-documents one after the other in the order of their texts; an empty table gives no shards; special
-tokens in a text are ordinary text; other columns are not read.
+documents one after the other in the order of their texts; an empty table gives no shards; the strings
+of the tokenizer's added tokens in a text become those tokens, as the library has it; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small
 from .units import Units
 from .wavelet import WaveletMatrix
 from .words import strings
@@ -29,22 +33,71 @@ END = 2
 SHARD_TOKENS = 1 << 21
 #: Units that a worker keeps in one generation of its cache, and texts that it encodes at once.
 CACHE, ROWS = 400_000, 1024
+#: Pieces that go to the library in one call.
+PIECES = 1024
 
 SHARD = "part int, seq int, n_docs int, n_tokens long, levels int, zeros binary, planes binary, ranks binary, doc_ids array<long>, lengths array<long>"
 _NAMES = [x.split()[0] for x in SHARD.split(", ")]
 
 
-@functools.cache
-def _units(path: str) -> tuple[Units, int]:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
-    def encode(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    return Units(encode, CACHE), max(tokenizer.get_vocab_size(), END + 1)
+# How a byte-level tokenizer cuts text, for letters up to U+024F and ASCII, and the characters that it writes bytes as.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(f"[\t\n\r -~{_LETTERS}]*")
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
+_APART = _SPELLED | {0: f"\0{chr(_SPELLED[0])}\0"}  # a zero byte, which no plain text has, stands between pieces
+
+
+class _Encoder:
+    """The ids that the library gives for whole texts, add_special_tokens=False: strings of added tokens in a text become those tokens."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        said = json.loads(self.tokenizer.to_str())
+        cuts = said["pre_tokenizer"] or {}
+        # Only of a byte-level tokenizer are a text's ids those of its units.
+        self.zero = self.tokenizer.token_to_id(chr(_SPELLED[0]))
+        self.by_units = self.zero is not None and not said["normalizer"] and cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space", True)
+        self.bare.pre_tokenizer = None
+        self.pieces, self.units = Units(self._cut, CACHE), Units(self._each, CACHE // 8)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _each(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _cut(self, pieces: list[str]) -> list[bytes]:
+        """Pieces go to the library already cut, many in a call; the zero byte's id tells where each ends."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), PIECES):
+            given = "\0".join([*pieces[i : i + PIECES], ""]).encode().decode("latin-1").translate(_APART).split("\0")[:-1]
+            ids = np.array(self.bare.encode(given, is_pretokenized=True, add_special_tokens=False).ids, "<u4")
+            data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.zero)).tolist()
+            out += [data[a:b] for a, b in zip([0, *[x + 4 for x in ends]], ends, strict=False)]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Plain texts by their pieces, others by their units, those that have an added token by the library alone."""
+        out: list[bytes] = [b""] * len(texts)
+        plain, others = [], []
+        for i, t in enumerate(texts):
+            if not self.by_units or any(a in t for a in self.added):
+                out[i] = self._whole(t)
+            else:
+                (plain if _PLAIN.fullmatch(t) else others).append(i)
+        for at, ids in ((plain, self.pieces.joined([_PIECES.findall(texts[i]) for i in plain])), (others, self.units.encode([texts[i] for i in others]))):
+            for i, x in zip(at, ids, strict=True):
+                out[i] = x
+        return out
+
+
+_encoder = functools.cache(_Encoder)
 
 
 def _shard(part: int, seq: int, levels: int, ids: list[bytes], doc_ids: list) -> pa.RecordBatch:
@@ -57,7 +110,8 @@ def _shard(part: int, seq: int, levels: int, ids: list[bytes], doc_ids: list) ->
 
 
 def _shards(path: str, end: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    units, size = _units(path)
+    encoder = _encoder(path)
+    size = max(encoder.size, END + 1)
     levels, stop = max(1, (max(size, end + 1) - 1).bit_length()), np.array([end], "<u4").tobytes()
     part, seq, held = TaskContext.get().partitionId(), 0, 0
     ids: list[bytes] = []
@@ -65,7 +119,7 @@ def _shards(path: str, end: int, most: int, batches: Iterator[pa.RecordBatch]) -
     for batch in batches:
         for i in range(0, len(batch), ROWS):
             rows = batch.slice(i, ROWS)
-            for doc_id, x in zip(rows.column("doc_id").to_pylist(), units.encode(strings(rows.column("text")).to_pylist()), strict=True):
+            for doc_id, x in zip(rows.column("doc_id").to_pylist(), encoder.encode(strings(rows.column("text")).to_pylist()), strict=True):
                 if held and held + len(x) // 4 + 1 > most:
                     yield _shard(part, seq, levels, ids, doc_ids)
                     ids, doc_ids, held, seq = [], [], 0, seq + 1
@@ -101,7 +155,7 @@ def starts(shards: DataFrame) -> DataFrame:
     sizes = shards.select("part", "seq", "n_tokens")
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
     placed = sizes.withColumn("within", within).join(before, F.col("part") == F.col("of")).select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("before") + F.col("within")).alias("start"))
-    return shards.join(placed, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).drop("p", "s")
+    return shards.join(small(placed), (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).drop("p", "s")
 
 
 _DOCUMENT = "doc_id long, start long, n_tokens long, ids binary"

@@ -38,9 +38,21 @@ class Units:
                 unknown.append(u)
         new.update(zip(unknown, self._encode(unknown), strict=True))
 
+    def joined(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of texts that have been split into units."""
+        units: set[str] = set()
+        for parts in split:
+            units.update(parts)
+        known = self._new
+        if missing := {u for u in units if u not in known}:
+            self._learn(missing, units)
+            known = self._new
+        get = known.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Call it with a few hundred texts at a time: all their units are held."""
-        split, units = [], set()
+        split = []
         for text in texts:
             parts = text.split(" ")
             # A part that is empty or begins with white space means a run of it; its units have to be found with care.
@@ -50,9 +62,4 @@ class Units:
                 parts = [f" {p}" for p in parts]
                 parts[0] = parts[0][1:]
             split.append(parts)
-            units.update(parts)
-        known = self._new
-        if missing := {u for u in units if u not in known}:
-            self._learn(missing, units)
-            known = self._new
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        return self.joined(split)

@@ -27,24 +27,27 @@ class WaveletMatrix:
         planes, ranks, zeros = np.zeros((levels, size), np.uint8), np.zeros((levels, blocks), np.uint32), np.zeros(levels, np.int64)
         v = values.astype(np.uint16 if levels <= 16 else np.uint32)
         for level in range(levels):
-            bit = (v >> (levels - 1 - level)) & 1 == 1
+            bit = (v & v.dtype.type(1 << (levels - 1 - level))) != 0
             packed = np.packbits(bit)
             planes[level, : len(packed)] = packed
             ones = np.bitwise_count(planes[level].view(np.uint64)).reshape(blocks, -1).sum(axis=1, dtype=np.uint32)
             ranks[level, 1:] = np.cumsum(ones[:-1])
             zeros[level] = n - int(ones.sum())
-            v = np.concatenate([v[~bit], v[bit]])
+            if level + 1 < levels:
+                v = np.concatenate([v[~bit], v[bit]])
         return cls(n, levels, zeros, planes, ranks)
 
     def all(self) -> np.ndarray:
-        """The whole sequence."""
-        out, place = np.zeros(self.n, np.uint32), np.arange(self.n, dtype=np.int32)
-        for level in range(self.levels):
-            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
-            ones = place[bit]
-            out[ones] |= np.uint32(1 << (self.levels - 1 - level))
-            place = np.concatenate([place[~bit], ones])
-        return out
+        """The whole sequence, from the last plane up: each plane puts its values back to where they stood and adds its bit."""
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        below = np.zeros(self.n, kind)
+        for level in reversed(range(self.levels)):
+            bit, zeros = np.unpackbits(self.planes[level], count=self.n).view(bool), int(self.zeros[level])
+            out = np.empty(self.n, kind)
+            out[~bit] = below[:zeros]
+            out[bit] = below[zeros:] | kind(1 << (self.levels - 1 - level))
+            below = out
+        return below.astype(np.uint32)
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones before place i."""

@@ -1,7 +1,9 @@
 r"""Vectorised hashing of words `[^\x20\x09-\x0D]+` over the UTF-8 bytes of Arrow string columns.
 
-A word's hash is a polynomial over a table of random 64-bit values, read off prefix sums and
-mixed; a window's hash is a polynomial over its words' hashes. All arithmetic wraps at 2**64.
+A word's hash is the sum of a table's random 64-bit values, one for each of its bytes at its place,
+and is mixed. Hashes of two neighbours of 1, 2, 4, ... words are joined and mixed again, and a window's
+hash is put together from those. No step is linear in the words, so no pattern of words (as powers of a
+base would have) makes different windows alike but by chance.
 """
 
 from __future__ import annotations
@@ -29,35 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Poly:
-    """Hashes of slices of a sequence of 64-bit values, by powers of an odd base."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse, self.n = base & MASK, pow(base, -1, 1 << 64), 0
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if n > self.n:
-            self.n = max(n, 1024)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                a = np.full(self.n + 1, base, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.cumprod(a, dtype=np.uint64))
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self.grow(len(values))
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
-        return out
-
-    def slices(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self.down[start])
-
-
 _RANDOM = np.random.default_rng(20_240_601)
-_BYTES = [_RANDOM.integers(1, MASK, 256, np.uint64) for _ in range(2)]
-_WORD = [Poly(0x9E3779B97F4A7C15), Poly(0xD1B54A32D192ED03)]
-_WINDOW = [Poly(0xA0761D6478BD642F), Poly(0xE7037ED1A0B428DB)]
+#: A random value for each byte at each place modulo PLACES of a word, one table for each hash.
+PLACES = 64
+_BYTES = [_RANDOM.integers(1, MASK, PLACES * 256, np.uint64) for _ in range(2)]
+_TURN = np.uint64(0x9E3779B97F4A7C15)
+_JOIN = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
 @dataclass
@@ -72,27 +51,45 @@ class Words:
     first: np.ndarray  # of each row and one more: the number of its first word
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        poly = _WORD[which]
-        return poly.slices(poly.prefix(_BYTES[which][self.data]), self.start, self.end)
+        """Sums of random values, one for each byte and its place in the word."""
+        length = self.end - self.start
+        if not len(length):
+            return np.zeros(0, np.uint64)
+        first = np.cumsum(length) - length
+        place = np.arange(int(length.sum())) - np.repeat(first, length)
+        letters = self.data[~SPACE[self.data]]
+        values = _BYTES[which][(place % PLACES << 8) | letters]
+        if length.max() > PLACES:
+            far = np.flatnonzero(place >= PLACES)
+            values[far] = mix(values[far] + (place[far] // PLACES).astype(np.uint64) * _TURN)
+        return mix(np.add.reduceat(values, first))
 
     def windows(self, hashes: np.ndarray, at: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-        """Hashes of the k words from each word at."""
-        poly = _WINDOW[which]
-        return poly.slices(poly.prefix(hashes), at, at + k)
+        """Hashes of the k words from each word at, from hashes of 1, 2, 4, ... words."""
+        found, taken, held, width = None, 0, hashes, 1
+        while width <= k:
+            if k & width:
+                part = held[at + taken] if len(at) else np.zeros(0, np.uint64)
+                found = part if found is None else mix(found * _JOIN[which] + part)
+                taken += width
+            if 2 * width <= k:
+                held = mix(held[: len(held) - width] * _JOIN[which] + held[width:]) if len(held) > width else held[:0]
+            width *= 2
+        return found
 
     @property
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.first))
 
 
-def split_words(column: pa.Array) -> Iterator[Words]:
+def split_words(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Words]:
     """The words of a string column without nulls, in chunks of whole rows."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and len(raw) else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
         hi = min(hi, len(column))
         part, marks = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         n = len(part)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 from stallmetrics.llm import bpe, token_counts, token_shards
 from stallmetrics.llm.units import Units
 from stallmetrics.llm.wavelet import WaveletMatrix
+from stallmetrics.llm.words import split_words
 
 PATH, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
@@ -61,7 +63,6 @@ def test_units_and_append(text, more):
 
 def test_shards_equal_the_library(spark, tmp_path):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     df = _df(spark)
     shards = token_shards.write_shards(df, JSON, str(tmp_path / "s"), shard_tokens=1000)
     found = {r.doc_id: r for r in token_shards.read_documents(shards).collect()}
@@ -77,6 +78,31 @@ def test_shards_equal_the_library(spark, tmp_path):
     assert token_shards.read_documents(none).count() == 0
 
 
+_SHARD_PIECES = st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "\t", "\u00a0", "word", " it's", "é", "日本", "123", "...", "\x85", "\u2028"]), max_size=12).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), _SHARD_PIECES), max_size=6))
+def test_shard_encoder_equals_the_library(texts):
+    t = Tokenizer.from_file(JSON)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_shards._encoder(JSON).encode(texts)] == want
+
+
+def test_hashes_of_repetitive_words():
+    """Words that a polynomial hash of any base takes for the same: a Thue-Morse sequence and its complement."""
+    bits = np.array([bin(i).count("1") & 1 for i in range(4096)])
+    a, b = ("".join("ab"[x] for x in row) for row in (bits, 1 - bits))
+    words = next(split_words(pa.array([f"{a} {b} {a} x"])))
+    h, g = words.hashes(0), words.hashes(1)
+    assert h[0] == h[2] and g[0] == g[2] and h[0] != h[1] and g[0] != g[1]
+    pair = next(split_words(pa.array([" ".join("ab"[x] for x in bits) + " " + " ".join("ab"[x] for x in 1 - bits)])))
+    at = np.array([0, 4096, 1])
+    for k in (1, 3, 15, 35, 1024, 4000):
+        found = pair.windows(pair.hashes(), at, k)
+        assert len(set(found.tolist())) == len({tuple(np.r_[bits, 1 - bits][i : i + k].tolist()) for i in at.tolist()})
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)
