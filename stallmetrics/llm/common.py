@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side whose rows are of fixed small width may be broadcast.
 BROADCAST_ROWS = 100_000
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,23 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def cleaned_up(spark: SparkSession) -> Iterator[None]:
-    """Within it, Spark deletes a query's shuffle files as soon as the query is done."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def cleaned_up(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """Within it, Spark deletes a query's shuffle files as soon as the query is done."""
+    return _set(spark, {CLEANUP: "true"})
 
 
 class Stored:
     """A DataFrame written once to the shared folder; lost executors cost no recomputation."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, batch_bytes: int | None = None):
+        """batch_bytes: of what goes to a Python worker at once; None for the session's setting."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        with cleaned_up(self.spark):
+        with _set(self.spark, {CLEANUP: "true"} | ({BATCH: str(batch_bytes)} if batch_bytes else {})):
             df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

@@ -31,9 +31,9 @@ def _js(histogram: str, ref: str, total: str) -> str:
 
 def _ref(histogram: str, total: str) -> str:
     return f"""SELECT l.lang, h.bin, sum(h.n / d.{total}) / any_value(l.n) AS share
-  FROM (SELECT coalesce(lang, '') AS lang, count(*) AS n FROM doc WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1
-        UNION ALL SELECT '*', count(*) FROM doc WHERE NOT base_failed) l
-  JOIN doc d ON (d.lang = l.lang OR l.lang = '*') AND NOT d.base_failed JOIN {histogram} h ON h.rid = d.rid GROUP BY l.lang, h.bin"""
+  FROM (SELECT coalesce(lang, '') AS lang, count(*) AS n FROM once WHERE lang IS NOT NULL GROUP BY 1
+        UNION ALL SELECT '*', count(*) FROM once) l
+  JOIN once d ON (d.lang = l.lang OR l.lang = '*') JOIN {histogram} h ON h.rid = d.rid GROUP BY l.lang, h.bin"""
 
 
 SQL = {
@@ -50,6 +50,7 @@ doc0 AS MATERIALIZED (SELECT w.rid, doc_id, lang, text, w, CAST(len(w) AS BIGINT
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(length(text) AS BIGINT) AS n_chars FROM w LEFT JOIN rep ON w.rid = rep.rid LEFT JOIN dup ON w.rid = dup.rid),
 doc1 AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM doc0),
 doc AS MATERIALIZED (SELECT *, CASE WHEN lang IN (SELECT lang FROM doc1 WHERE NOT base_failed) THEN lang ELSE '*' END AS ref FROM doc1),
+once AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, text) AS copy FROM doc1 WHERE NOT base_failed) WHERE copy = 1),
 cls AS MATERIALIZED (SELECT rid, bin, CAST(sum(n) AS DOUBLE) AS n FROM (SELECT rid, n,
   CASE WHEN regexp_matches(ch, '[a-z]') THEN 0 WHEN regexp_matches(ch, '[A-Z]') THEN 1 WHEN regexp_matches(ch, '[0-9]') THEN 2 WHEN regexp_matches(ch, '[ \t\n\x0B\f\r]') THEN 3
     WHEN regexp_matches(ch, '[.,;:?!]') THEN 4 WHEN regexp_matches(ch, '[\x27\x22()\-]') THEN 5 WHEN unicode(ch) < 128 THEN 6

@@ -4,8 +4,9 @@ Words are `[^\x20\x09-\x0D]+` of the whole text. Base rules: n_words < MIN_WORDS
 words in 3-word windows that the text has twice or more (counted by 64-bit hashes within the document).
 
 Method. A document has two histograms: of character classes (CLASSES) and of common words (COMMON, one
-more bin for all other words). A language's reference is the mean of the histograms of all its documents
-that pass the base rules, over the whole corpus. A document is kept if the Jensen-Shannon distance (the
+more bin for all other words). A language's reference is the mean of the histograms of all its distinct
+texts that pass the base rules, over the whole corpus: copies count once, so that a text that is copied
+often doesn't become the reference. A document is kept if the Jensen-Shannon distance (the
 root of the divergence, base 2) to its language's reference is at most the limit for each histogram.
 
 Minimum-length guards: a short text strays from its language's reference by chance, so a limit is
@@ -31,6 +32,10 @@ from pyspark.sql import types as T
 from .common import Stored, small
 from .words import Words, mix, split_words, strings
 
+#: Bytes of text whose features are counted at once; a longer document alone.
+CHUNK_BYTES = 256_000
+#: Bytes of whole rows that go to a Python worker at once.
+BATCH_BYTES = 4_000_000
 MIN_WORDS = 50
 MIN_CHARS = 200
 MIN_COMMON = 50
@@ -49,7 +54,7 @@ COMMON = tuple(sorted({w for words in COMMON_WORDS.values() for w in words.split
 
 #: Classes of characters, told by the first byte of their UTF-8.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "letter beyond ASCII", "other beyond ASCII")
-_CLASS = np.full(256, -1, np.int64)  # the bytes that continue a character stay -1
+_CLASS = np.full(256, -1, np.int8)  # the bytes that continue a character stay -1
 for _i, _of in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\v\f\r", ".,;:?!", "'\"()-")):
     _CLASS[list(_of.encode())] = _i
 _CLASS[:128][_CLASS[:128] < 0] = 6
@@ -100,37 +105,43 @@ def _dup_lines(text: str) -> int:
     return n
 
 
-_FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, classes array<int>, common array<int>"
+_FEATURES = "doc_id long, lang string, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, classes array<int>, common array<int>"
+
+
+def _counted(text: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+    """lo, hi and the columns of _FEATURES from n_words on for groups of rows."""
+    for words in split_words(text, CHUNK_BYTES):
+        rows = words.hi - words.lo
+        part = text.slice(words.lo, rows)
+        ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + rows + 1].astype(np.int64)
+        of_byte = ends - ends[0]
+        # Bytes by value for each row, then values by class.
+        byte_row = np.repeat(np.arange(rows, dtype=np.int32) << 8, np.diff(of_byte)) | words.data
+        seen = np.bincount(byte_row, minlength=rows << 8).reshape(rows, 256)
+        classes = np.stack([seen[:, _CLASS == c].sum(axis=1) for c in range(len(CLASSES))], axis=1)
+        folded = Words(words.lo, words.hi, _FOLD[words.data], words.start, words.end, words.first).hashes()
+        found = np.minimum(np.searchsorted(_HASHES, folded), len(_HASHES) - 1)
+        which = np.where(_HASHES[found] == folded, _WHICH[found], len(COMMON))
+        bins = len(COMMON) + 1
+        common = np.bincount(words.row * bins + which, minlength=rows * bins).reshape(rows, -1)
+        lists = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.astype(np.int32).ravel()))
+        counts = [
+            np.diff(words.first), classes.sum(axis=1) - classes[:, 3], seen[:, _SYMBOL].sum(axis=1),
+            np.array([_dup_lines(t) for t in part.to_pylist()], np.int64), _repeat_words(words, words.hashes()), classes.sum(axis=1),
+        ]
+        yield words.lo, words.hi, [*[pa.array(c.astype(np.int64)) for c in counts], lists(classes), lists(common)]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns besides doc_id, lang and text go through as they are."""
+    """Columns besides doc_id, lang, th and text go through as they are."""
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     for batch in batches:
-        text = strings(batch.column("text"))
-        for words in split_words(text):
-            rows = words.hi - words.lo
-            part = text.slice(words.lo, rows)
-            ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + rows + 1].astype(np.int64)
-            of_byte = ends - ends[0]
-            byte_row = np.repeat(np.arange(rows), np.diff(of_byte))
-            kind = _CLASS[words.data]
-            seen = kind >= 0
-            classes = np.bincount(byte_row[seen] * len(CLASSES) + kind[seen], minlength=rows * len(CLASSES)).reshape(rows, -1)
-            hashes = words.hashes()
-            folded = Words(words.lo, words.hi, _FOLD[words.data], words.start, words.end, words.first).hashes()
-            found = np.minimum(np.searchsorted(_HASHES, folded), len(_HASHES) - 1)
-            which = np.where(_HASHES[found] == folded, _WHICH[found], len(COMMON))
-            bins = len(COMMON) + 1
-            common = np.bincount(words.row * bins + which, minlength=rows * bins).reshape(rows, -1)
-            lists = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.astype(np.int32).ravel()))
-            counts = [
-                np.diff(words.first), classes.sum(axis=1) - classes[:, 3], _sums(_SYMBOL[words.data], of_byte),
-                np.array([_dup_lines(t) for t in part.to_pylist()], np.int64), _repeat_words(words, hashes), classes.sum(axis=1),
-            ]
-            ids = [batch.column(c).slice(words.lo, rows) for c in ("doc_id", "lang")]
-            more = [c for c in batch.schema.names if c not in ("doc_id", "lang", "text")]
-            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c.astype(np.int64)) for c in counts], lists(classes), lists(common), *[batch.column(c).slice(words.lo, rows) for c in more]], names=[*names, *more])
+        more = [c for c in batch.schema.names if c not in ("doc_id", "lang", "th", "text")]
+        # A whole row has its text in the struct alone.
+        given = batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+        for lo, hi, columns in _counted(strings(given)):
+            before, behind = ([batch.column(c).slice(lo, hi - lo) for c in cs] for cs in (("doc_id", "lang", "th"), more))
+            yield pa.RecordBatch.from_arrays([*before, *columns, *behind], names=[*names, *more])
 
 
 def base_failed(words: Column, repeated: Column) -> Column:
@@ -138,10 +149,9 @@ def base_failed(words: Column, repeated: Column) -> Column:
 
 
 def features(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """For each row of docs its counts and histograms (_FEATURES) and base_failed; whole: also the row itself, as the struct row."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), *[F.struct("*").alias("row")] * whole
-    )
+    """For each row of docs its counts and histograms (_FEATURES; th: a hash of its text) and base_failed; whole: also the row itself, as the struct row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("th"), F.struct("*").alias("row") if whole else text.alias("text"))
     schema = T.StructType([*T.StructType.fromDDL(_FEATURES), *[f for f in rows.schema if f.name == "row"]])
     return rows.mapInArrow(_features, schema).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
@@ -153,8 +163,9 @@ def _shares(counts: str) -> Column:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """lang (null: all documents), ref_classes, ref_common: means over the documents that pass the base rules."""
-    shares = found.filter(~F.col("base_failed")).select("lang", F.concat(_shares("classes"), _shares("common")).alias("shares"))
+    """lang (null: all documents), ref_classes, ref_common: means over the distinct texts that pass the base rules."""
+    once = found.filter(~F.col("base_failed")).dropDuplicates(["lang", "th"])
+    shares = once.select("lang", F.concat(_shares("classes"), _shares("common")).alias("shares"))
     # Of the many bins most are empty: sums and the number of documents give the means.
     sums = shares.select("lang", F.posexplode("shares").alias("bin", "share")).filter("share > 0").groupBy("lang", "bin").agg(F.sum("share").alias("sum"))
     n = shares.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -204,8 +215,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns; texts are read again rather than shuffled."""
-    found = Stored(features(docs), "features")
-    refs = Stored(references(found.df), "references").df
-    found.drop()
-    return _judged(features(docs, whole=True), refs).filter("kept").select("row.*")
+    """The rows of docs that are kept, with all their columns. Rows are written once with their features, and read again for the verdict."""
+    found = Stored(features(docs, whole=True), "features", batch_bytes=BATCH_BYTES).df
+    refs = Stored(references(found.drop("row")), "references").df
+    return _judged(found, refs).filter("kept").select("row.*")

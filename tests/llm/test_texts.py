@@ -51,7 +51,7 @@ def test_quality_cases(spark):
         "The man and a woman of the town went to that old house by the sea, but it is not there. They had roses in one garden, you know, and all were red when he saw them. "
         "If more can be said, then her brother has no reason for a lie, or so which of us may think. From this hill we are at home with his dogs as if on an island."
     )
-    rows = [(1, None, "en"), (2, "", None), (3, "x " * 100, "en"), (4, good, "en"), (4, good, "en"), (5, good, None), (6, "#$% &&& ||| " * 40 + " ".join(f"<{i}>" for i in range(300)), "en"), *[(10 + i, good, "en") for i in range(20)]]
+    rows = [(1, None, "en"), (2, "", None), (3, "x " * 100, "en"), (4, good, "en"), (4, good, "en"), (5, good, None), (6, "#$% &&& ||| " * 40 + " ".join(f"<{i}>" for i in range(300)), "en"), *[(10 + i, f"{good} {'at' if i % 2 else 'by'} {i}", "en") for i in range(20)]]
     df = spark.createDataFrame(rows, KEY).withColumn("n_words", F.lit("clash"))
     found = {r.doc_id: r for r in quality.judge(df).collect()}
     assert [found[i].base_failed for i in (1, 2, 3, 4)] == [True, True, True, False]
@@ -61,6 +61,19 @@ def test_quality_cases(spark):
     assert quality.judge(df.filter("false")).count() == 0
 
 
+def test_quality_copies_are_no_reference(spark):
+    """One text of quality 0, copied until it is a third of its language's rows, changes no verdict on the others."""
+    path = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{path}/documents.parquet").filter("lang = 'en'")
+    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "quality")
+    plain = quality.judge(docs).filter("NOT base_failed").join(labels, "doc_id")
+    junk = plain.filter("quality = 0").orderBy("doc_id").first()["doc_id"]
+    n = docs.count() // 2
+    copies = docs.filter(F.col("doc_id") == junk).withColumn("doc_id", F.explode(F.sequence(F.lit(10**6), F.lit(10**6 + n)))).select(docs.columns)
+    after = quality.judge(docs.unionByName(copies)).filter("doc_id < 1000000").select("doc_id", F.col("kept").alias("after"))
+    assert plain.join(after, "doc_id").filter("kept <> after").count() == 0
+
+
 def test_quality_without_language(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").join(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet").select("doc_id", "quality"), "doc_id")
     # Every other document loses its lang, or has one that no reference is learned of.
