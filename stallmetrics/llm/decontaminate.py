@@ -139,7 +139,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs, with all their columns."""
+    """The rows of docs in which no window of the benchmark occurs, with all their columns, whatever their names; rows that repeat all stay or all go."""
     bad = Stored(decontaminate(docs, benchmark, window, rarest).filter("contaminated").select(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).distinct(), "contaminated").df
-    th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(small(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (th == F.col("_t")), "left_anti")
+    # Rows go as structs, so that no column of theirs can be taken for the key.
+    whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"))
+    return whole.join(small(bad), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left_anti").select("_doc.*")

@@ -5,8 +5,8 @@ than letters read as a blank. Families are told apart by a multinomial naive Bay
 of one family by linear support vector machines, one against one; votes decide, then margins.
 
 Models are fitted in the driver on a sample of labelled rows: at most `per_lang` rows of a language and
-`rows` in all (documented bounds; their features are what is collected). The sample is drawn by a hash
-of the row, so it is the same each time. Every row is then predicted, from its text alone.
+`rows` in all (documented bounds; their features are what is collected). The sample is drawn from the
+distinct texts of a language by their hash, so it is the same each time and copies count once. Every row is then predicted, from its text alone.
 
 Cases: null text, and text without a letter, is `und` with score 0, as is every text if nothing could be
 learned; a null lang isn't learned from; languages with no family in FAMILIES are families of their own;
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Stored
 from .words import strings
 
 DIM_BITS = 12
@@ -49,7 +50,6 @@ _FOLD = np.full(256, 32, np.uint32)
 for _c in range(26):
     _FOLD[[65 + _c, 97 + _c]] = 97 + _c
 _FOLD[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -178,16 +178,18 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS) -> Model | None:
     """A model of labelled (text, lang), fitted on the documented sample of it."""
     labelled = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    langs = sizes.orderBy(F.desc("n"), "lang").limit(rows // 2).count()
+    hashed = labelled.withColumn("h", F.xxhash64("text", F.lit(1)))
+    distinct = Stored(hashed.select("lang", "h").distinct(), "texts")
+    sizes = distinct.df.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 2)
+    langs = sizes.count()
     if not langs:
         return None
     each = min(per_lang, rows // langs)
-    # Twice the rows that are needed, by hash, so that few are sorted.
-    hashed = labelled.withColumn("h", F.xxhash64("text", F.lit(1)))
-    likely = hashed.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(rows // 2)), "lang").filter(F.col("n") * (F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)) < 2 * each + 20)
-    first = Window.partitionBy("lang").orderBy("h")
-    sample = likely.withColumn("row", F.row_number().over(first)).filter(F.col("row") <= each).select("text", "lang")
+    # Twice the texts that are needed, by hash, so that few are sorted; a language of few texts gives them all.
+    likely = distinct.df.join(F.broadcast(sizes), "lang").filter(F.col("n") * (F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)) < 2 * each + 20)
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 20)), "h")
+    chosen = likely.withColumn("row", F.row_number().over(first)).filter(F.col("row") <= each).select("lang", "h")
+    sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang")
     found = sample.mapInArrow(_count_rows, "lang string, counts binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
     counts = np.array([np.frombuffer(r["counts"], "<i4") for r in found], np.int64).reshape(-1, DIM)
@@ -203,7 +205,7 @@ def _predict(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator
             np.cumsum((_FOLD[data] >= 97) & (data < 128), out=letter[1:])
             has = (letter[marks[1:]] - letter[marks[:-1]]) > 0
             for i in np.flatnonzero(~has & (np.diff(marks) > 0)):
-                has[i] = bool(_LETTER.search(text[lo + int(i)].as_py()))
+                has[i] = any(map(str.isalpha, text[lo + int(i)].as_py()))
             langs, score = [UNKNOWN] * n, np.zeros(n)
             if model:
                 langs, score = model.predict(_counts(data, marks))

@@ -43,8 +43,8 @@ BUCKET = 4096
 #: Stands for a null doc_id where rows are told apart.
 NO_ID = -(1 << 63)
 
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
+LOW = np.arange(256, dtype=np.uint8)
+LOW[65:91] += 32
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def _fingerprints(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in batches:
         out = np.zeros(len(batch), np.uint64)
         for words in split_words(strings(batch.column("text"))):
-            data = _LOW[words.data]
+            data = LOW[words.data]
             # Words one blank apart, for whole chunks: a shingle is then one slice.
             raw, length = data.tobytes(), words.end - words.start
             joined = b" ".join([raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)])

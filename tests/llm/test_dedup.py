@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from stallmetrics.llm import decontaminate, simhash, substring_dedup
+from stallmetrics.llm import decontaminate, similar_texts, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEY = "doc_id long, text string"
@@ -83,6 +83,64 @@ def test_one_of_each_keeps_columns(spark):
     assert sorted((r.doc_id, r.fp) for r in kept) == [(1, "y"), (5, "z")] and kept[0].asDict().keys() == {"doc_id", "text", "fp", "root"}
 
 
+def brute_wide(text, k=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh3_128_intdigest(s.encode()) for s in shingles]
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def brute_stay(rows, most=19):
+    """Of each component of fingerprints at `most` or fewer differing bits the smallest id."""
+    fps = [brute_wide(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= most:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return set(least.values())
+
+
+def _near_copies(n=40, seed=8):
+    """Texts of 150 words, and copies of them with some words changed; each with the similarity of its five-word shingles."""
+    rng = random.Random(seed)
+    rows, pairs = [], []
+    for i in range(n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        rows.append((10 * i, " ".join(words)))
+        for c in (1, 2, 3):
+            other = list(words)
+            for p in rng.sample(range(150), c):
+                other[p] = f"x{rng.randrange(10**6)}"
+            a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, other))
+            rows.append((10 * i + c, " ".join(other)))
+            pairs.append((10 * i + c, len(a & b) / len(a | b)))
+    return rows, pairs
+
+
+@pytest.mark.parametrize("bucket", [4, 100_000])
+def test_similar_texts_equal_brute_force(spark, bucket):
+    rows, pairs = _near_copies()
+    rows += [(9000, None), (9001, ""), (9002, "one two"), (9003, "one TWO"), (0, rows[0][1])]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, fa string, key int")
+    found = similar_texts.one_of_each(df, bucket=bucket).collect()
+    stay = {r.doc_id for r in found}
+    assert len(found) == len(stay)
+    assert stay == brute_stay(rows) and {9000, 9002} <= stay and not {9001, 9003} & stay
+    near = [d for d, s in pairs if s >= 0.87]
+    assert near and sum(d not in stay for d in near) >= 0.9 * len(near)
+    assert similar_texts.one_of_each(df.filter("false")).count() == 0
+
+
 def brute_removal(rows, window):
     docs = [WORD.findall(t or "") for _, t in rows]
     count = Counter(tuple(w[i : i + window]) for w in docs for i in range(len(w) - window + 1))
@@ -116,6 +174,22 @@ def test_without_repeats_leaves_clean_texts(spark):
     assert found[1].th == "a" and found[2].n_chars == 0
 
 
+def test_repetitive_words_are_no_repeats(spark):
+    """Different words that a polynomial hash takes for the same."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    rows = [(i, " ".join([f"w{j}" for j in range(34)] + [w])) for i, w in enumerate((a, b))]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, KEY)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found), key=str) == brute_removal(rows, 35) and not any(r.n_removed for r in found)
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, "t", "i"), (2, "x y z", 2, "t", "i"), (2, "x y z", 2, "t", "i"), (None, None, 3, "t", "i")], "doc_id long, text string, _i int, _t string, item string")
+    kept = decontaminate.without_contaminated(docs, spark.createDataFrame([("q", "a b")], "item_id string, text string"))
+    assert kept.columns == docs.columns and sorted(r["_i"] for r in kept.collect()) == [2, 2, 3]
+    assert decontaminate.without_contaminated(docs.filter("false"), spark.createDataFrame([("q", "a b")], "item_id string, text string")).count() == 0
+
+
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stallmetrics.llm import chat, html_text, language, quality, queries
 from tests.conftest import SF
-from tests.llm.test_dedup import brute_components, brute_fingerprint, brute_hits, brute_removal
+from tests.llm.test_dedup import brute_hits, brute_removal, brute_stay
 from tests.llm.test_tokens import REFERENCE
 
 KEY = "doc_id long, text string, lang string"
@@ -94,11 +94,12 @@ def test_language_held_out(spark):
 
 
 def test_language_cases(spark):
-    rows = [(1, "the cat sat on the mat and it was warm", "en"), (2, "der Hund lag auf dem Boden und schlief", "de"), (3, "le chat est sur la table et dort", "fr"), (4, None, "en"), (5, "123 !?", "en"), (6, "", None), (7, "日本", None)]
+    rows = [(1, "the cat sat on the mat and it was warm", "en"), (2, "der Hund lag auf dem Boden und schlief", "de"), (3, "le chat est sur la table et dort", "fr"), (4, None, "en"), (5, "123 !?", "en"), (6, "", None), (7, "日本", None), (8, "½ ² ① Ⅷ", "en")]
     df = spark.createDataFrame(rows, KEY)
     model = language.train(df)
     found = {r.doc_id: r for r in language.predict(df, model).collect()}
     assert [found[i].lang_pred for i in range(1, 7)] == ["en", "de", "fr", "und", "und", "und"] and found[7].lang_pred != "und"
+    assert (found[8].lang_pred, found[8].score) == ("und", 0.0)
     assert all(0 <= r.score <= 1 for r in found.values())
     assert language.train(df.filter("false")) is None
     assert {r.lang_pred for r in language.predict(df, None).collect()} == {"und"}
@@ -147,7 +148,7 @@ def test_pipeline_equals_brute_force(spark):
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     kept = {r.doc_id for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).filter("kept").collect()}
     docs = [(r["doc_id"], r["text"]) for r in rows if r["doc_id"] in kept]
-    first = {c for _, _, c in brute_components([(d, brute_fingerprint(t)) for d, t in docs])}
+    first = brute_stay(docs)
     docs = [x for x in docs if x[0] in first]
     removed = {d: (n, k) for d, _, n, k in brute_removal(docs, 35)}
     words = {d: removed[d][1] if removed[d][0] else t for d, t in docs}
