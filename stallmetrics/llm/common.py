@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side whose rows are of fixed small width may be broadcast.
 BROADCAST_ROWS = 100_000
+BATCH_BYTES = 8_000_000
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -53,11 +54,11 @@ def cleaned_up(spark: SparkSession) -> contextlib.AbstractContextManager:
 class Stored:
     """A DataFrame written once to the shared folder; lost executors cost no recomputation."""
 
-    def __init__(self, df: DataFrame, name: str, batch_bytes: int | None = None):
-        """batch_bytes: of what goes to a Python worker at once; None for the session's setting."""
+    def __init__(self, df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES):
+        """batch_bytes: of what goes to a Python worker at once."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        with _set(self.spark, {CLEANUP: "true"} | ({BATCH: str(batch_bytes)} if batch_bytes else {})):
+        with _set(self.spark, {CLEANUP: "true", BATCH: str(batch_bytes)}):
             df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

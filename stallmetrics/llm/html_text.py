@@ -1,9 +1,12 @@
 r"""Main text of web pages by a minimum cut over their blocks.
 
-A page's blocks are the stretches of text between block-level tags. A classifier turns what is known of a
-block (words, share of link text, tags and names of its ancestors) into log odds of content, which become
-its capacity to the source (content) or the sink (boilerplate). Blocks that follow each other are tied by an
-edge whose capacity falls with their distance in the DOM, and blocks of one parent by one more. The
+A page's blocks are the stretches of text between block-level tags. A classifier adds up what is known of
+a block: its words, the share of its letters in links, whether it has a sentence's end or is a title, and
+the tags, roles and names around it, which count by their strength. article and main inside a marked
+element begin anew, and a weak mark on a wrapper around the title or most of the page is void. The sum, as
+log odds, is the block's capacity to the source (content) or the sink (boilerplate). Blocks that follow
+each other are tied by an edge whose capacity falls with their distance in the DOM, and blocks of one
+parent by one more; so a short line between paragraphs stays, and a sentence among menu entries goes. The
 minimum cut, by max-flow, labels the blocks; content blocks are joined in page order.
 
 Character references are decoded, white space inside a block becomes one blank, ends are trimmed. Scripts,
@@ -19,7 +22,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,75 +42,113 @@ HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE_TAGS = frozenset("br td th option img".split())
 
-# What tags, roles and parts of class and id names say of the text inside.
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset search".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+# What tags, roles and parts of class and id names say of the text inside; the weak ones also stand on wrappers and articles.
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog button search".split())
+WEAK_TAGS = frozenset("form fieldset".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 BOILERPLATE_NAMES = frozenset(
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer sidebar sidebars aside widget widgets masthead topbar toolbar "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer sidebar sidebars aside masthead topbar toolbar "
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner adsbygoogle "
-    "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist reply replies disqus respond share sharing social related recommended recommendations outbrain taboola copyright legal "
-    "form search skip hidden".split()
+    "cookie cookies consent gdpr notice notices notification notifications popup modal overlay newsletter subscribe subscription signup login "
+    "comment comments commentlist reply replies disqus respond share sharing social related recommended recommendations outbrain taboola copyright".split()
 )
+WEAK_NAMES = frozenset("legal form search skip hidden widget widgets alert".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article post entry story content main body text prose".split())
 
-#: Log odds: of a boilerplate name, of a content name, of a text all in links; of each word up to a limit.
-BOILERPLATE, CONTENT, LINKS, WORDS, WORDS_MOST = -12.0, 3.0, -6.0, 1.2, 3.0
+#: Log odds of content: of any text, of its words up to a limit, of the share of its letters in links, of a sentence's end, of a title, of content and boilerplate marks.
+ANY, WORDS, WORDS_MOST, LINKS, SENTENCE, TITLE, CONTENT, STRONG, WEAK, MARKS_MOST = -2.0, 1.5, 5.0, -3.0, 1.0, 2.0, 1.5, -8.0, -2.5, -10.0
+#: A wrapper that holds so much of the page's words says nothing of them by its weak marks.
+MOST_OF_PAGE = 0.8
 #: Capacities between neighbours at DOM distance 0, and between blocks of one parent.
-NEIGHBOUR, SIBLING = 0.6, 0.3
+NEIGHBOUR, SIBLING = 1.2, 0.6
 _SCALE = 1000
 
 
 @functools.lru_cache(20_000)
-def _hint(tag: str, names: str, role: str, hidden: bool) -> tuple[bool, bool, bool]:
-    """Whether a tag says boilerplate, content, or (a header) boilerplate unless it stands in content."""
+def _hint(tag: str, names: str, role: str, hidden: bool) -> tuple[float, bool, bool, bool]:
+    """What a tag says: its boilerplate mark, whether that is weak, whether it is content, whether it is a header (boilerplate unless in content)."""
+    # "with-sidebar" or "no-ads" speak of a wrapper, not of what is in it.
+    names = " ".join(n for n in names.split() if not re.match(r"(with|without|no|has)[-_]", n))
     parts = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", names).lower()))
     content = tag in CONTENT_TAGS or role == "main" or bool(parts & CONTENT_NAMES)
-    bad = hidden or tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or bool(parts & BOILERPLATE_NAMES)
+    strong = hidden or tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or bool(parts & BOILERPLATE_NAMES)
+    weak = tag in WEAK_TAGS or role == "form" or bool(parts & WEAK_NAMES)
     header = tag == "header" or ("header" in parts and not parts & CONTENT_NAMES)
-    return bad, content, header
+    return STRONG if strong else WEAK if weak else 0.0, weak and not strong, content, header
 
 
 class Block:
-    __slots__ = ("path", "text", "words", "links", "bad", "good", "title")
+    """A stretch of text; node is the innermost block-level element that it stands in."""
 
-    def __init__(self, path: tuple[int, ...], text: str, links: int, bad: bool, good: bool, title: bool):
-        self.path, self.text, self.links, self.bad, self.good, self.title = path, text, links, bad, good, title
+    __slots__ = ("links", "marks", "node", "text", "title", "words")
+
+    def __init__(self, node: int, text: str, links: int, title: bool):
+        self.node, self.text, self.links, self.title, self.marks = node, text, links, title, 0.0
         self.words = text.count(" ") + 1
 
 
 class _Blocks(HTMLParser):
+    """Reads a page in time and memory that grow with its length: an element is a number with its parent's, never a path."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self._open: list[tuple[str, int, bool, bool]] = []  # tag, node, bad, good: so far down
-        self._nodes = self._silent = self._links = self._linked = 0
+        self._open: list[tuple[str, int]] = []  # tag, node
+        self._count: Counter[str] = Counter()  # of open tags
+        self._silent = self._links = self._linked = 0
         self._parts: list[str] = []
+        # Of each node, 0 being the page: parent, depth among blocks, nearest block-level node, mark, weak, content, content tag, holds a title or main.
+        self.parent, self.depth, self.block = [0], [0], [0]
+        self.mark, self.weak, self.good, self.resets, self.holds = [0.0], [False], [False], [False], [False]
 
     def _flush(self) -> None:
         if self._parts:
             text = " ".join("".join(self._parts).split())
             if text:
-                bad, good = self._open[-1][2:] if self._open else (False, False)
-                self.blocks.append(Block(tuple(x[1] for x in self._open if x[0] in BLOCK_TAGS), text, self._linked, bad, good, any(x[0] in ("h1", "h2") for x in self._open[-3:])))
+                self.blocks.append(Block(self._open[-1][1] if self._open else 0, text, self._linked, any(x[0] in ("h1", "h2") for x in self._open[-3:])))
             self._parts, self._linked = [], 0
 
     def _close(self, at: int) -> None:
-        for tag, *_ in self._open[at:]:
+        for tag, _ in self._open[at:]:
             self._silent -= tag in SILENT_TAGS
             self._links -= tag == "a"
+            self._count[tag] -= 1
         del self._open[at:]
 
     def _end_head(self, tag: str) -> None:
         """The head's end tag may be missing: the body ends it, and so does whatever else cannot stand in it."""
+        if not self._count["head"]:
+            return
         for i in range(len(self._open) if tag == "body" else 0):
             if self._open[i][0] == "head":
                 self._close(i)
                 return
-        if self._open and self._open[-1][0] == "head" and tag not in HEAD_TAGS:
+        if self._open[-1][0] == "head" and tag not in HEAD_TAGS:
             self._close(len(self._open) - 1)
 
+    def _node(self, tag: str, attrs: list) -> int:
+        a, up, node = dict(attrs), self._open[-1][1] if self._open else 0, len(self.parent)
+        mark, weak, good, header = 0.0, False, False, False
+        if tag not in ("html", "body"):
+            hidden = "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "") or a.get("aria-hidden") == "true"
+            mark, weak, good, header = _hint(tag, f"{a.get('class') or ''} {a.get('id') or ''}", (a.get("role") or "").lower(), hidden)
+        if header and not self.good[up]:
+            mark, weak = STRONG, False
+        self.parent.append(up)
+        self.depth.append(self.depth[up] + (tag in BLOCK_TAGS))
+        self.block.append(node if tag in BLOCK_TAGS else self.block[up])
+        self.mark.append(mark)
+        self.weak.append(weak)
+        self.good.append(good or self.good[up])
+        self.resets.append(tag in CONTENT_TAGS)
+        self.holds.append(False)
+        if tag in ("h1", "main"):
+            while up and not self.holds[up]:
+                self.holds[up] = True
+                up = self.parent[up]
+        return node
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._end_head(tag)
         if tag in SPACE_TAGS:
@@ -123,17 +164,11 @@ class _Blocks(HTMLParser):
                     break
         if tag in VOID_TAGS:
             return
-        self._nodes += 1
-        a = dict(attrs)
-        _, _, bad, good = self._open[-1] if self._open else ("", 0, False, False)
-        if tag not in ("html", "body"):
-            hidden = "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "") or a.get("aria-hidden") == "true"
-            is_bad, is_good, header = _hint(tag, f"{a.get('class') or ''} {a.get('id') or ''}", (a.get("role") or "").lower(), hidden)
-            bad = bad or is_bad or (header and not good)
-            good = good or is_good
+        node = self._node(tag, attrs)
         self._silent += tag in SILENT_TAGS
         self._links += tag == "a"
-        self._open.append((tag, self._nodes, bad, good))
+        self._count[tag] += 1
+        self._open.append((tag, node))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -143,6 +178,8 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self._flush()
+        if not self._count[tag]:
+            return
         for i in range(len(self._open) - 1, -1, -1):
             if self._open[i][0] == tag:
                 self._close(i)
@@ -159,30 +196,57 @@ class _Blocks(HTMLParser):
             if self._links:
                 self._linked += len("".join(data.split()))
 
-    def end(self) -> list[Block]:
+    def end(self) -> Page:
+        """The page: each block gets the marks of the elements around it."""
         self.close()
         self._flush()
-        return self.blocks
-
-
-def blocks(html: str) -> list[Block]:
-    parser = _Blocks()
-    parser.feed(html)
-    return parser.end()
+        words = [0] * len(self.parent)
+        for b in self.blocks:
+            words[b.node] += b.words
+        for i in range(len(words) - 1, 0, -1):
+            words[self.parent[i]] += words[i]
+        marks = [0.0] * len(self.parent)
+        for i in range(1, len(marks)):
+            # An article, or a wrapper around the title, main or most of the page, is no boilerplate by a weak mark; article and main begin anew.
+            counts = not (self.weak[i] and (self.resets[i] or self.holds[i] or words[i] >= MOST_OF_PAGE * words[0]))
+            marks[i] = (0.0 if self.resets[i] else marks[self.parent[i]]) + (self.mark[i] if counts else 0.0)
+        for b in self.blocks:
+            b.marks = max(MARKS_MOST, marks[b.node]) + CONTENT * self.good[b.node]
+            b.node = self.block[b.node]
+        up = [self.block[p] for p in self.parent]
+        return Page(self.blocks, up, self.depth)
+
+
+class Page:
+    def __init__(self, blocks: list[Block], parent: list[int], depth: list[int]):
+        self.blocks, self.parent, self.depth = blocks, parent, depth
+
+    def apart(self, a: int, b: int) -> int:
+        """Steps in the DOM from one block-level node to the other, besides the two into them."""
+        n = 0
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            n += 1
+        return max(0, n - 2)
+
+
+def read(html: str) -> Page:
+    reader = _Blocks()
+    reader.feed(html)
+    return reader.end()
+
+
+_SENTENCE = re.compile(r"[.!?:;\u2026\u3002][\"')\u201d\u00bb]*(\s|$)")
 
 
 def log_odds(b: Block) -> float:
     """The classifier: above 0 content is likelier."""
     linked = min(1.0, b.links / max(1, len(b.text.replace(" ", ""))))
-    return -0.5 + min(WORDS_MOST, WORDS * math.log1p(b.words)) + LINKS * linked + BOILERPLATE * b.bad + CONTENT * b.good + b.title
-
-
-def _apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps in the DOM from one block to the other, besides the two into them."""
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return max(0, len(a) + len(b) - 2 * n - 2)
+    said = min(WORDS_MOST, WORDS * math.log1p(b.words)) + SENTENCE * bool(_SENTENCE.search(b.text)) + TITLE * b.title
+    return ANY + said + LINKS * linked + b.marks
 
 
 class Flow:
@@ -236,19 +300,19 @@ class Flow:
         return level
 
 
-def content(found: list[Block]) -> list[bool]:
+def content(page: Page) -> list[bool]:
     """Which blocks are content, by the minimum cut."""
-    n = len(found)
+    n = len(page.blocks)
     source, sink, flow = n, n + 1, Flow(n + 2)
-    last: dict[tuple[int, ...], int] = {}
-    for i, b in enumerate(found):
+    last: dict[int, int] = {}
+    for i, b in enumerate(page.blocks):
         odds = round(log_odds(b) * _SCALE)
         flow.add(source, i, max(0, odds))
         flow.add(i, sink, max(0, -odds))
         if i:
-            tie = round(NEIGHBOUR / (1 + _apart(found[i - 1].path, b.path)) * _SCALE)
+            tie = round(NEIGHBOUR / (1 + page.apart(page.blocks[i - 1].node, b.node)) * _SCALE)
             flow.add(i - 1, i, tie, tie)
-        parent = b.path[:-1]
+        parent = page.parent[b.node]
         if (j := last.get(parent)) is not None:
             flow.add(j, i, round(SIBLING * _SCALE), round(SIBLING * _SCALE))
         last[parent] = i
@@ -257,8 +321,8 @@ def content(found: list[Block]) -> list[bool]:
 
 
 def main_text(html: str) -> str:
-    found = blocks(html)
-    return "\n".join(b.text for b, ok in zip(found, content(found), strict=True) if ok)
+    page = read(html)
+    return "\n".join(b.text for b, ok in zip(page.blocks, content(page), strict=True) if ok)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once (a longer document is hashed alone).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 MASK = (1 << 64) - 1
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True

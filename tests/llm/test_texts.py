@@ -1,6 +1,8 @@
 """Chat, quality, language and HTML; queries against SQL; the pipeline against brute force."""
 
 import itertools
+import re
+import time
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -114,6 +116,51 @@ def test_html_main_text():
     assert html_text.main_text(PAGE) == "The head line\nFirst para with boldtext & more words to read here.\nSecond line of a paragraph that goes on."
 
 
+LINES = ["The first paragraph of the story says what has happened, and where.", "Ulm", "A second paragraph goes on at some length about the people of the town.", "Read more there", "And a third one ends it."]
+ARTICLE = "<h1>A title</h1>" + "".join(f"<p>{'<a href=/x>' * (i == 3)}{t}{'</a>' * (i == 3)}</p>" for i, t in enumerate(LINES))
+MENU = "<div><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li>You are here</li><li><a href=/c>Contact us</a></li></ul></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form id=aspnetForm>{menu}<div>{article}</div></form>", "<div class='content with-sidebar'><article>{article}</article></div><div class=sidebar><p>{side}</p></div>",
+        "<div class='no-sidebar'>{article}</div><footer><p>{side}</p></footer>", "<article class='post legal'>{article}</article>", "{menu}<div>{article}</div>",
+        "<main>{article}</main><section id=comments><article class=comment><p>{side}</p></article></section>", "<div class=cookie-notice><p>{side}</p></div><div>{article}</div>",
+        "<header><h2>Site</h2>{menu}</header><article><header>{article}</header></article>",
+    ],
+)
+def test_html_wrappers(page):
+    side = "I think that this is a long sentence which somebody wrote about something else. " * 3
+    assert html_text.main_text(page.format(article=ARTICLE, menu=MENU, side=side)) == "\n".join(["A title", *LINES])
+
+
+def test_the_cut_overrules_the_classifier():
+    """Blocks whose own odds are wrong get the right label from their neighbours."""
+    page = html_text.read(f"{MENU}<div>{ARTICLE}</div>")
+    alone, cut = [html_text.log_odds(b) > 0 for b in page.blocks], html_text.content(page)
+    want = [b.text in {"A title", *LINES} for b in page.blocks]
+    assert cut == want and sum(a != w for a, w in zip(alone, want, strict=True)) >= 2
+
+
+def test_html_pages_equal_their_articles():
+    """The pages of the tables have their text in article; the rest is menus, adverts and footers."""
+    for r in pq.read_table(f"{SF.replace('0.001', '0.01')}/pages.parquet").to_pylist():
+        inside = re.search(r"<article>(.*?)</article>", r["html"], re.S)
+        page = html_text.read(inside[1])
+        assert html_text.main_text(r["html"]) == "\n".join(b.text for b in page.blocks)
+
+
+def test_html_deep_nesting_is_linear():
+    seconds = []
+    for n in (5_000, 20_000):
+        html = "<div>x <span>" * n + "</section></i>" * n
+        began = time.perf_counter()
+        assert html_text.main_text(html) is not None
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 12 * seconds[0] + 1
+
+
 @pytest.mark.parametrize("rest", ["<body><p>{}", "<p>{}", "<div><noscript>x</noscript><p>{}</div>", "{}", "<noscript><link></noscript><span>{}</span>", "<noscript><link><body><p>{}"])
 def test_html_head_without_end(rest):
     text = "Words of a page whose head has no end tag."
