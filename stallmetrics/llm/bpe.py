@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .units import Units
 from .words import strings
 
@@ -251,7 +252,7 @@ def _encoded(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iter
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) for each row of docs; path is read on the executors."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda b: _encoded(path, pattern, b), "doc_id long, n_tokens long, ids binary")
+    return in_arrow(rows, lambda b: _encoded(path, pattern, b), "doc_id long, n_tokens long, ids binary")
 
 
 def _decoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +264,7 @@ def _decoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with a column decoded: the bytes of its ids."""
-    return encoded.mapInArrow(lambda b: _decoded(path, b), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, decoded binary")
+    return in_arrow(encoded, lambda b: _decoded(path, b), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, decoded binary")
 
 
 def append(ids: bytes, text: str, more: str, path: str, pattern: str) -> bytes:

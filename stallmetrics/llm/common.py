@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a side whose rows are of fixed small width may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -51,6 +54,23 @@ def cleaned_up(spark: SparkSession) -> contextlib.AbstractContextManager:
     return _set(spark, {CLEANUP: "true"})
 
 
+def give_back() -> None:
+    """Gives memory that a worker has freed back to the system; an idle worker would hold it while others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, whose workers keep little between tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from of(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 class Stored:
     """A DataFrame written once to the shared folder; lost executors cost no recomputation."""
 

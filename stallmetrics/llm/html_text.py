@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .words import strings
 
 # HTML's tags by what they mean for blocks.
@@ -336,4 +337,4 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return in_arrow(rows, _extracted, "page_id long, url string, text string, n_chars long")

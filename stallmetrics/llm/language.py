@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, in_arrow
 from .words import strings
 
 DIM_BITS = 12
@@ -216,4 +216,4 @@ def _predict(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs, from its text alone."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda b: _predict(model, b), "doc_id long, lang_pred string, score double")
+    return in_arrow(rows, lambda b: _predict(model, b), "doc_id long, lang_pred string, score double")

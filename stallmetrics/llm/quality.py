@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, small
+from .common import Stored, in_arrow, small
 from .words import Words, mix, split_words, strings
 
 #: Bytes of text whose features are counted at once; a longer document alone.
@@ -153,7 +153,7 @@ def features(docs: DataFrame, whole: bool = False) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("th"), F.struct("*").alias("row") if whole else text.alias("text"))
     schema = T.StructType([*T.StructType.fromDDL(_FEATURES), *[f for f in rows.schema if f.name == "row"]])
-    return rows.mapInArrow(_features, schema).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    return in_arrow(rows, _features, schema).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
 def _shares(counts: str) -> Column:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, keyed
+from .common import Stored, in_arrow, keyed
 from .components import components
 from .words import split_words, strings
 
@@ -85,7 +85,7 @@ def _fingerprints(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
     """doc_id, th (see keyed), fp (the 64 bits as a long) for each row."""
-    return keyed(docs).mapInArrow(lambda b: _fingerprints(words_per_shingle, b), "doc_id long, th long, fp long")
+    return in_arrow(keyed(docs), lambda b: _fingerprints(words_per_shingle, b), "doc_id long, th long, fp long")
 
 
 def scatter(fp):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, keyed
+from .common import Stored, in_arrow, keyed
 from .words import Words, split_words, strings
 
 WINDOW = 35
@@ -143,11 +143,11 @@ def _with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
 
 
 def _phase1(docs: DataFrame, window: int) -> Stored:
-    return Stored(_repeated(docs.mapInArrow(lambda b: _anchor_places(window, b), _PLACES)), "anchors")
+    return Stored(_repeated(in_arrow(docs, lambda b: _anchor_places(window, b), _PLACES)), "anchors")
 
 
 def _phase2(docs: DataFrame, anchors: DataFrame, window: int) -> Stored:
-    return Stored(_repeated(_with_places(docs, anchors, "inner").mapInArrow(lambda b: _window_places(window, b), _PLACES)), "windows")
+    return Stored(_repeated(in_arrow(_with_places(docs, anchors, "inner"), lambda b: _window_places(window, b), _PLACES)), "windows")
 
 
 _RESULT = "doc_id long, th long, n_words long, n_removed long, kept string"
@@ -202,7 +202,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, one_blank: bool = True
         plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.struct(*others).alias("row"))
     joined = _with_places(plain, windows.df, "left")
     schema = T.StructType([*T.StructType.fromDDL(_RESULT), *[f for f in joined.schema if f.name == "row"]])
-    return joined.mapInArrow(lambda b: _removals(window, one_blank, b), schema)
+    return in_arrow(joined, lambda b: _removals(window, one_blank, b), schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

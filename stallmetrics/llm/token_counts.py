@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .bpe import ranks, tokens
 from .units import Units
 from .words import strings
@@ -112,7 +113,7 @@ def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "most", span
     kind = "array<struct<start: bigint, end: bigint>>"
     given = F.lit(None) if spans is None else spans
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), given.cast(kind).alias("spans"))
-    return rows.mapInArrow(lambda b: _attributed(path, pattern, rule, b), _RESULT)
+    return in_arrow(rows, lambda b: _attributed(path, pattern, rule, b), _RESULT)
 
 
 def with_fields(df: DataFrame, fields: list[str], between: str = "\n") -> DataFrame:

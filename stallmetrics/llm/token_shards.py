@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import in_arrow, small
 from .units import Units
 from .wavelet import WaveletMatrix
 from .words import strings
@@ -32,7 +32,7 @@ from .words import strings
 END = 2
 SHARD_TOKENS = 1 << 21
 #: Units that a worker keeps in one generation of its cache, and texts that it encodes at once.
-CACHE, ROWS = 400_000, 1024
+CACHE, ROWS = 1_000_000, 1024
 #: Pieces that go to the library in one call.
 PIECES = 1024
 
@@ -133,7 +133,7 @@ def _shards(path: str, end: int, most: int, batches: Iterator[pa.RecordBatch]) -
 def encode_shards(docs: DataFrame, path: str, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Rows of SHARD; (part, seq) is their order. path is read on the executors."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lambda b: _shards(path, end, shard_tokens, b), SHARD)
+    return in_arrow(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), lambda b: _shards(path, end, shard_tokens, b), SHARD)
 
 
 def write_shards(docs: DataFrame, path: str, to: str, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -175,7 +175,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids of each document, from the bit-planes."""
-    return starts(shards).mapInArrow(_documents, _DOCUMENT)
+    return in_arrow(starts(shards), _documents, _DOCUMENT)
 
 
 def _per_shard(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
