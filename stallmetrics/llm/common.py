@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 #: Rows up to which a side whose rows are of fixed small width may be broadcast.
 BROADCAST_ROWS = 100_000
-BATCH_BYTES = 8_000_000
+#: Bytes of what goes to a Python worker at once, and of a row group: small, as each running task holds one.
+BATCH_BYTES, ROW_GROUP = 8_000_000, 16 << 20
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -79,7 +80,7 @@ class Stored:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         with _set(self.spark, {CLEANUP: "true", BATCH: str(batch_bytes)}):
-            df.write.parquet(self.path)
+            df.write.option("parquet.block.size", ROW_GROUP).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
