@@ -60,24 +60,44 @@ def leave_one_out_median(df: DataFrame, value: str, by: list[str], out: str) ->
     The order statistics around the middle give it: without the i-th of n values, place k of the rest is place k or
     k + 1 of all. Rows of one id have to be one row.
     """
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = df.withColumn("_i", F.row_number().over(order))
+    # Distinct values with their counts take the places start to end; a hot partition has as many rows as it has values.
+    up = Window.partitionBy(*by).orderBy(value)
+    values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_end", F.sum("_c").over(up))
+    n = values.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    near = values.join(n, by).filter((F.col("_end") - F.col("_c") + 1 <= F.col("_n") / 2 + 2) & (F.col("_end") >= F.col("_n") / 2 - 1))
+    middle = near.groupBy(*by, "_n").agg(F.sort_array(F.collect_list(F.struct("_end", F.col(value).cast("double").alias("_v")))).alias("_at"))
+    # Without one row of its value, the places from that value's last on move down by one.
+    without = lambda k: F.element_at(F.filter("_at", lambda x: x["_end"] >= k + (k >= F.col("_end")).cast("int")), 1)["_v"]
     rest = F.col("_n") - 1
-    # At most three places around the middle matter: one row for each partition.
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    near = ranked.select(*by, value, "_i").join(n, by).filter(F.abs(F.col("_i") - (F.col("_n") + 1) / 2) <= 1.5)
-    middle = near.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_i", F.col(value).cast("double")))).alias("_at"))
-    without = lambda k: F.element_at("_at", (k + (k >= F.col("_i")).cast("int")).cast("int"))
     low, high = F.floor((rest + 1) / 2), F.floor((rest + 2) / 2)
-    return ranked.join(middle, by).withColumn(out, F.when(rest > 0, F.floor((without(low) + without(high)) / 2)).cast("int")).drop("_i", "_n", "_at")
+    placed = df.join(values.drop("_c"), [*by, value]).join(middle, by)
+    return placed.withColumn(out, F.when(rest > 0, F.floor((without(low) + without(high)) / 2)).cast("int")).select(*df.columns, out)
 
 
-def ema(df: DataFrame, by: list[str], order: list[str], value: str, alpha: float, out: str) -> DataFrame:
-    """The last exponential moving average of each series; its first value seeds it. A series is one worker's telemetry, a bounded list."""
-    series = F.array_sort(F.collect_list(F.struct(*order, value)))
-    first = F.element_at(series, 1)[value].cast("double")
-    step = lambda acc, x: acc * (1 - alpha) + x[value].cast("double") * alpha
-    return df.groupBy(*by).agg(F.aggregate(F.slice(series, 2, F.greatest(F.size(series) - 1, F.lit(0))), first, step).alias(out))
+#: Values of a series that are folded in one row.
+BLOCK = 4096
+
+
+def ema(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out: str) -> DataFrame:
+    """The last exponential moving average of each series; its first value seeds it. order: a column of whole numbers.
+
+    A step is the map x -> (1 - alpha) x + alpha value, and such maps compose. So ranges of the order, then ranges of
+    those, are each folded to one map; a key's rows never stand in one list. Applied to the first value, the first
+    step changes nothing.
+    """
+    one = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
+
+    def folded(maps: Column) -> Column:
+        return F.aggregate(F.array_sort(maps), one, lambda a, x: F.struct((a["w"] * x["w"]).alias("w"), (a["s"] * x["w"] + x["s"]).alias("s")))
+
+    step = F.struct(F.col(order).cast("long").alias("at"), F.lit(1 - alpha).alias("w"), (F.col(value).cast("double") * alpha).alias("s"))
+    first = F.struct(F.col(order).cast("long").alias("at"), F.col(value).cast("double").alias("v"))
+    level = df.select(*by, F.col(order).cast("long").alias("_at"), step.alias("_map"), first.alias("_first"))
+    for _ in range(2):
+        level = level.groupBy(*by, F.floor(F.col("_at") / BLOCK).alias("_at")).agg(folded(F.collect_list("_map")).alias("_m"), F.array_min(F.collect_list("_first")).alias("_first"))
+        level = level.select(*by, "_at", F.struct(F.col("_at").alias("at"), "_m.w", "_m.s").alias("_map"), "_first")
+    last = level.groupBy(*by).agg(folded(F.collect_list("_map")).alias("_m"), F.array_min(F.collect_list("_first")).alias("_first"))
+    return last.select(*by, (F.col("_m.w") * F.col("_first.v") + F.col("_m.s")).alias(out))
 
 
 # Scoring factors

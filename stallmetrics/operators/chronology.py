@@ -12,18 +12,23 @@ COLD_PAGES = {0: (1, 2, 4, 7, 11, 17, 26, 38, 50), 1: (1, 3, 6, 10, 15, 22, 31,
 ENOUGH_DATED, DOMINANCE, LAST_PAGE = 2, 0.70, 50
 
 
-def page_profile(items: DataFrame, target: Column, by: list[str]) -> DataFrame:
-    """Q18: for each page the relation of its items' days (column day, null: none) to a target day, with counts and a confidence."""
+def page_profile(items: DataFrame, target: Column, by: list[str], pages: DataFrame | None = None) -> DataFrame:
+    """Q18: for each page the relation of its items' days (column day, null: none) to a target day, with counts and a confidence.
+
+    pages: all pages that were read; one of them without items is empty.
+    """
     day = F.col("day")
     counts = items.groupBy(*by).agg(
         F.count(F.lit(1)).alias("items"), F.count(day).alias("dated"), F.count_if(day == target).alias("target_count"), F.count_if(day > target).alias("newer"), F.count_if(day < target).alias("older")
     )
+    if pages is not None:
+        counts = pages.select(*by).distinct().join(counts, by, "left").na.fill(0, ["items", "dated", "target_count", "newer", "older"])
     c = F.col
-    coverage = c("dated") / c("items")
+    coverage = F.when(c("items") > 0, c("dated") / c("items")).otherwise(0.0)
     turned = F.greatest("newer", "older") / (c("newer") + c("older"))
     enough = c("dated") >= F.least(F.lit(ENOUGH_DATED), c("items"))
     relation = (
-        F.when(c("dated") == 0, "unknown").when(c("target_count") > 0, "target").when(~enough, "unknown").when(c("older") == 0, "newer").when(c("newer") == 0, "older")
+        F.when(c("items") == 0, "empty").when(c("dated") == 0, "unknown").when(c("target_count") > 0, "target").when(~enough, "unknown").when(c("older") == 0, "newer").when(c("newer") == 0, "older")
         .when(turned >= DOMINANCE, F.when(c("newer") > c("older"), "newer").otherwise("older")).otherwise("mixed")
     )
     out = counts.withColumn("coverage", coverage).withColumn("relation", relation)
@@ -60,9 +65,14 @@ def boundary(pages: DataFrame, by: list[str]) -> DataFrame:
     return first.select(*by, low.cast("int").alias("low"), high.cast("int").alias("high"), onward.alias("direction"))
 
 
-def predicted_page(points: DataFrame, targets: DataFrame, by: list[str], reach: int = 6) -> DataFrame:
-    """The page of a target day from confirmed (day, page) points within reach days: its own, else on the line through the two nearest."""
-    near = targets.join(points.groupBy(*by, "day").agg(F.max_by("page", "confirmed_at").alias("page")), by).filter(F.abs(F.datediff("day", "target")) <= reach)
+def predicted_page(points: DataFrame, targets: DataFrame, by: list[str], reach: int = 6, own: bool = True) -> DataFrame:
+    """The page of a target day from confirmed (day, page) points within reach days: its own, else on the line through the two nearest.
+
+    A target asks for each day within reach, so the range is an equality join. own: whether the day's own point counts.
+    """
+    confirmed = points.groupBy(*by, "day").agg(F.max_by("page", "confirmed_at").alias("page"))
+    asked = F.explode(F.array(*[F.date_add("target", k) for k in range(-reach, reach + 1) if k or own]))
+    near = targets.select(*by, "target", asked.alias("day")).join(confirmed, [*by, "day"])
     order = Window.partitionBy(*by, "target").orderBy(F.abs(F.datediff("day", "target")), "day")
     two = near.withColumn("_i", F.row_number().over(order)).filter("_i <= 2")
     line = two.groupBy(*by, "target").agg(F.min(F.struct("day", "page")).alias("a"), F.max(F.struct("day", "page")).alias("b"), F.max(F.when(F.col("day") == F.col("target"), F.col("page"))).alias("exact"))

@@ -70,11 +70,11 @@ def base_filter(rows: DataFrame, s: Settings, since: Column | None = None) -> Da
 def keep_newest(rows: DataFrame, keys: list[str | Column], newest: str = "posted_at") -> DataFrame:
     """Of equal keys the row with the latest time, of equal times the one that came first (ordinal).
 
-    An aggregate rather than a window: copies meet in partial aggregates before the shuffle.
+    The first row of each key: Spark keeps one row of a key in each partition before it shuffles.
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    best = F.max_by(F.struct("*"), F.struct(F.col(newest), -F.col("ordinal")))
-    return rows.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("_row")).select("_row.*")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(newest), "ordinal"))
+    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def unique_families(rows: DataFrame, confidence: int = 35) -> DataFrame:
@@ -125,8 +125,7 @@ def notices(users: DataFrame, as_of: Column) -> DataFrame:
 
 def find_users(users: DataFrame, needle: str, limit: int = 20) -> DataFrame:
     """by id or name; newest first."""
-    like = f"%{needle}%"
-    match = F.col("username").ilike(like) | F.col("first_name").ilike(like)
+    match = F.lower("username").contains(needle.lower()) | F.lower("first_name").contains(needle.lower())
     if needle.isdigit():
         match = match | (F.col("user_id") == int(needle))
     return users.filter(match).orderBy(F.desc("created_at"), "user_id").limit(limit)

@@ -72,12 +72,12 @@ def market_profile(targets: DataFrame, listings: DataFrame, views: DataFrame, ca
     return out.select("category", "family_key", *PROFILE)
 
 
-def lookup(rows: DataFrame, profiles: DataFrame, keys: list[Column]) -> DataFrame:
+def lookup(rows: DataFrame, profiles: DataFrame, keys: list[Column], row: str = "external_id") -> DataFrame:
     """Rows with the profile of the first of their keys that has one; without any the neutral values.
 
-    One join on exploded keys instead of one for each alternative; the first hit is an aggregate.
+    One join on exploded keys instead of one for each alternative; the first hit is an aggregate. row: the column that tells rows apart.
     """
-    tried = rows.withColumn("_id", F.monotonically_increasing_id()).select("*", F.posexplode(F.array(*keys)).alias("_try", "_key"))
+    tried = rows.withColumn("_id", F.col(row)).select("*", F.posexplode(F.array(*keys)).alias("_try", "_key"))
     values = profiles.select(F.col("family_key").alias("_pk"), F.struct(*PROFILE).alias("_profile"))
     met = tried.join(values, tried["_key"] == values["_pk"], "left")
     first = F.min_by("_profile", F.when(F.col("_profile").isNotNull(), F.col("_try")))

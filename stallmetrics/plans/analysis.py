@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import market, observations, scoring
+from ..shared import stored
 from . import relations as R
 
 _DAYS, _WINDOW = 360, 90
@@ -22,7 +23,7 @@ def _candidates(spark, sf):
 
 
 def _profiles(spark, sf):
-    listings = _listings(spark, sf)
+    listings = stored(_listings(spark, sf), "listings")
     views = R.views(spark, sf).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
     return market.market_profile(listings.select("category", "family_key").distinct(), listings, views, _candidates(spark, sf), R.as_of(), _DAYS, _WINDOW)
 
@@ -47,8 +48,7 @@ def market_profile(spark, sf):
 
 
 def _features(spark, sf):
-    o = R.offers(spark, sf).filter((F.col("posted_at") >= R.as_of("1997-12-01 00:00:00")) & (F.col("posted_at") < R.as_of()))
-    return o.filter("view_count IS NOT NULL").select(
+    return R.offers(spark, sf).filter("view_count IS NOT NULL").select(
         "external_id", F.col("category").alias("category_key"), F.lit(None).cast("string").alias("identity_key"), F.lit(0).alias("identity_confidence"), "price_eur", F.col("view_count").alias("views"),
         (F.col("ordinal") % 1400 + 20).cast("double").alias("age_minutes"), F.when(F.col("quantity") > 45, "").otherwise(F.col("family_key")).alias("cohort_key"),
     )
@@ -150,7 +150,7 @@ def percentiles(spark, sf):
 
 def ema_telemetry(spark, sf):
     e = R.table(spark, sf, "events").select("user_id", "event_id", "value")
-    return stats.ema(e, ["user_id"], ["event_id"], "value", 0.25, "ema").select("user_id", F.round("ema", 6).alias("ema"))
+    return stats.ema(e, ["user_id"], "event_id", "value", 0.25, "ema").select("user_id", F.round("ema", 6).alias("ema"))
 
 
 def cohort_keys(spark, sf):

@@ -30,9 +30,10 @@ def date_boundary(spark, sf):
 def predicted_page(spark, sf):
     o = R.table(spark, sf, "orders")
     feed, day = (F.col("o_custkey") % 50).alias("feed"), F.to_date("o_orderdate")
-    points = o.filter("o_orderkey % 3 = 0").select(feed, day.alias("day"), (50 - F.dayofyear("o_orderdate") % 50).alias("page"), F.col("o_orderkey").alias("confirmed_at"))
-    targets = o.filter("o_orderkey % 50 = 1").select(feed, day.alias("target")).distinct()
-    return chronology.predicted_page(points, targets, ["feed"])
+    # Each day's page is predicted from the days around it, its own left out.
+    points = o.select(feed, day.alias("day"), (50 - F.dayofyear("o_orderdate") % 50).alias("page"), F.col("o_orderkey").alias("confirmed_at"))
+    targets = o.select(feed, day.alias("target")).distinct()
+    return chronology.predicted_page(points, targets, ["feed"], own=False)
 
 
 def url_shards(spark, sf):
@@ -40,7 +41,7 @@ def url_shards(spark, sf):
 
 
 def fair_round(spark, sf):
-    queue = R.offers(spark, sf).filter("l_orderkey < 200").select("l_orderkey", "external_id", "ordinal")
+    queue = R.offers(spark, sf).select("l_orderkey", "external_id", "ordinal")
     return chronology.fair_round(queue, "l_orderkey", ["ordinal"], 120).select("l_orderkey", "external_id", "turn")
 
 
@@ -154,15 +155,15 @@ SQL = {
       b AS (SELECT a.*, (SELECT max(page) FROM prof p WHERE p.feed = a.feed AND relation = 'newer' AND page < a.t) AS bt, (SELECT min(page) FROM prof p WHERE p.feed = a.feed AND relation IN ('target', 'older', 'mixed', 'empty') AND page > a.ln) AS ab FROM a)
       SELECT feed, CASE WHEN t IS NOT NULL THEN coalesce(bt, 0) WHEN once THEN 0 WHEN ab IS NOT NULL THEN ln END AS low, CASE WHEN t IS NOT NULL THEN t WHEN once THEN 1 ELSE ab END AS high,
         CASE WHEN t IS NOT NULL THEN 'done' WHEN ln IS NOT NULL AND nn = 0 THEN 'right' WHEN ln IS NULL AND nn > 0 THEN 'left' ELSE 'both' END AS direction FROM b""",
-    "predicted_page": """WITH p AS (SELECT o_custkey % 50 AS feed, CAST(o_orderdate AS DATE) AS day, arg_max(50 - dayofyear(o_orderdate) % 50, o_orderkey) AS page FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2),
-      t AS (SELECT DISTINCT o_custkey % 50 AS feed, CAST(o_orderdate AS DATE) AS target FROM orders WHERE o_orderkey % 50 = 1),
-      n AS (SELECT t.feed, target, day, page FROM t JOIN p USING (feed) WHERE abs(day - target) <= 6 QUALIFY row_number() OVER (PARTITION BY t.feed, target ORDER BY abs(day - target), day) <= 2),
+    "predicted_page": """WITH p AS (SELECT o_custkey % 50 AS feed, CAST(o_orderdate AS DATE) AS day, arg_max(50 - dayofyear(o_orderdate) % 50, o_orderkey) AS page FROM orders GROUP BY 1, 2),
+      t AS (SELECT DISTINCT o_custkey % 50 AS feed, CAST(o_orderdate AS DATE) AS target FROM orders),
+      n AS (SELECT t.feed, target, day, page FROM (SELECT *, unnest([-6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6]) AS k FROM t) t JOIN p ON p.feed = t.feed AND p.day = t.target + CAST(k AS INTEGER) QUALIFY row_number() OVER (PARTITION BY t.feed, target ORDER BY abs(day - target), day) <= 2),
       l AS (SELECT feed, target, min(day) AS d1, arg_min(page, day) AS p1, max(day) AS d2, arg_max(page, day) AS p2, max(page) FILTER (WHERE day = target) AS exact FROM n GROUP BY 1, 2),
       s AS (SELECT *, (p2 - p1) / nullif(d2 - d1, 0) AS slope FROM l)
       SELECT feed, target, CAST(CASE WHEN exact IS NOT NULL THEN least(50, greatest(1, exact)) ELSE least(50, greatest(1, round_even(p1 + slope * (target - d1), 0))) END AS INTEGER) AS page,
         CASE WHEN exact IS NOT NULL THEN 'exact' WHEN target BETWEEN d1 AND d2 THEN 'interpolated' ELSE 'extrapolated' END AS source FROM s WHERE exact IS NOT NULL OR (slope < -0.25 AND slope >= -50)""",
     "url_shards": f"WITH {R.OFFERS} SELECT external_id, CAST((row_number() OVER (PARTITION BY l_orderkey ORDER BY ordinal) - 1) % 3 AS INTEGER) AS shard FROM offers",
-    "fair_round": f"WITH {R.OFFERS} SELECT l_orderkey, external_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY ordinal) AS INTEGER) AS turn FROM offers WHERE l_orderkey < 200 ORDER BY turn, l_orderkey LIMIT 120",
+    "fair_round": f"WITH {R.OFFERS} SELECT l_orderkey, external_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY ordinal) AS INTEGER) AS turn FROM offers ORDER BY turn, l_orderkey LIMIT 120",
     "prefetch": """WITH x AS (SELECT o_orderkey, CAST(greatest(1, o_orderkey % 50) AS INTEGER) AS c, CAST(o_custkey % 60 AS INTEGER) AS l FROM orders), y AS (SELECT *, greatest(c + 1, l + 1) AS a, least(50, c + 10) AS b FROM x)
       SELECT o_orderkey, CASE WHEN c < 50 AND NOT (l > c AND l - c > 4) AND a <= b THEN a END AS first_page, CASE WHEN c < 50 AND NOT (l > c AND l - c > 4) AND a <= b THEN b END AS last_page FROM y""",
     "admin_stats": f"""WITH {R.SCANS}, {_USERS}, u AS (SELECT count(*) AS total_users, count(*) FILTER (WHERE NOT is_banned AND access_until > {_T}) AS active_users, count(*) FILTER (WHERE last_seen_at >= {_T} - INTERVAL 24 HOUR) AS active_24h, count(*) FILTER (WHERE joined_at >= {_T} - INTERVAL 24 HOUR) AS new_24h FROM users),

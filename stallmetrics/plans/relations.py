@@ -19,7 +19,7 @@ def as_of(text: str = AS_OF):
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ad for each (order, line): its part is the product."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("l_partkey").alias("p_partkey"), F.max("l_suppkey").alias("supplier"), F.max("l_extendedprice").alias("e"), F.max("l_quantity").alias("q"), F.max("l_shipdate").alias("posted_at"), F.max("l_returnflag").alias("rf")
+        F.max("l_partkey").alias("p_partkey"), F.max("l_suppkey").alias("supplier"), F.max("l_extendedprice").alias("e"), F.max("l_quantity").alias("q"), F.max("l_shipdate").alias("posted_at"), F.max(F.col("l_returnflag") == "R").alias("returned")
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     return lines.join(parts, "p_partkey").select(
@@ -31,7 +31,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("e") / F.col("q")).cast("int").alias("price_eur"),
         "posted_at",
         F.when(F.col("l_linenumber") != 7, (F.col("q") * F.col("l_linenumber")).cast("int")).alias("view_count"),
-        (F.col("rf") == "R").alias("is_promoted"),
+        F.col("returned").alias("is_promoted"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("ordinal"),
         F.lower(F.trim(F.regexp_replace(F.lower(F.concat("p_name", F.lit(" "), "p_brand")), "[^a-z0-9]+", " "))).alias("normal"),
         "l_orderkey",

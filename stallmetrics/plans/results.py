@@ -24,9 +24,8 @@ def deduped_newest(spark, sf):
 
 
 def unique_families(spark, sf):
-    rows = R.offers(spark, sf).filter(F.col("posted_at") >= R.as_of())
     s = filters.Settings(output_mode="unique", price_filter="custom:100:700")
-    return filters.apply_settings(rows, s).select("external_id", "category", "family_key", "family_confidence")
+    return filters.apply_settings(R.offers(spark, sf), s).select("external_id", "category", "family_key", "family_confidence")
 
 
 def frequent_families(spark, sf):
@@ -81,7 +80,7 @@ SQL = {
     "deduped_newest": f"""WITH {R.OFFERS} SELECT external_id, category, title, price_eur, posted_at FROM offers WHERE price_eur >= 500
       QUALIFY row_number() OVER (PARTITION BY category, normal, price_eur ORDER BY posted_at DESC, ordinal) = 1""",
     "unique_families": f"""WITH {R.OFFERS} SELECT external_id, category, family_key, family_confidence FROM (SELECT *, count(*) OVER (PARTITION BY category, family_key) AS n FROM offers
-      WHERE posted_at >= TIMESTAMP '{R.AS_OF}' AND price_eur BETWEEN 100 AND 700) WHERE n = 1 AND family_confidence >= 35""",
+      WHERE price_eur BETWEEN 100 AND 700) WHERE n = 1 AND family_confidence >= 35""",
     "frequent_families": f"""WITH {R.OFFERS} SELECT category, family_key, count(*) AS n, min(price_eur) FILTER (WHERE price_eur > 0) AS min_price,
       CAST(floor(quantile_cont(CAST(price_eur AS DOUBLE), 0.5) FILTER (WHERE price_eur > 0)) AS INTEGER) AS median_price, max(price_eur) FILTER (WHERE price_eur > 0) AS max_price,
       arg_min(family_confidence, ordinal) AS confidence, first(title ORDER BY posted_at DESC, ordinal) AS example_title, first(external_id ORDER BY posted_at DESC, ordinal) AS example_id

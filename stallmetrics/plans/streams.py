@@ -14,7 +14,7 @@ def _events(spark, sf):
 
 
 def streamed_windows(spark, sf):
-    found = M.run_complete(M.windowed(_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "user_id", "6 hours"))
+    found = M.run_windows(M.windowed(_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "user_id", "6 hours"), ["start", "end", "event_type"])
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("total").cast("long").alias("total"))
 
 

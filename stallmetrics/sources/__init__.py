@@ -1 +1 @@
-"""Readers for captured pages, tables and checkpoints, and the matching sinks."""
+"""Readers of captured pages and of view counters."""

@@ -6,23 +6,15 @@ costs a micro-batch; sinks are idempotent, so a batch that runs again changes no
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LATE = "90 minutes"
-
+from ..shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local master may go without."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"{tempfile.gettempdir()}/stallmetrics-streams"
-    return found.rstrip("/")
+LATE = "90 minutes"
 
 
 def once(stream: DataFrame, key: list[str], at: str, late: str = LATE) -> DataFrame:
@@ -47,26 +39,45 @@ def newest(old: DataFrame | None, batch: DataFrame, key: list[str], at: str, tie
     return both.groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(at, tie)).alias("_row")).select("_row.*")
 
 
-def run_upsert(stream: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
-    """The table that newest() keeps, after all that is there now has been read. Versions are folders by batch number, so a repeated batch writes its own again."""
+def _version(spark: SparkSession, base: str) -> int | None:
+    """The newest version of a table of versions."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return max((int(x.getPath().getParent().getName()[1:]) for x in found), default=None)
+
+
+def _run(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str, base: str) -> DataFrame:
+    """Reads all that is there now. Batch n writes version n from version n - 1, both under `base` beside the checkpoint.
+
+    So a stream that is started again with the same base goes on from what it has, and a batch that runs again
+    writes the same version again. Versions before the last two are deleted.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    last: list[str] = []
 
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        before = session.read.schema(stream.schema).parquet(last[-1]) if last else None
-        newest(before, batch, key, at, tie).write.mode("overwrite").parquet(f"{base}/v{number}")
-        last.append(f"{base}/v{number}")
+        before = session.read.schema(stream.schema).parquet(f"{base}/v{number - 1}") if number else None
+        merge(before, batch).write.mode("overwrite").parquet(f"{base}/v{number}")
+        if number > 1:
+            old = session._jvm.org.apache.hadoop.fs.Path(f"{base}/v{number - 2}")
+            old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = _version(spark, base)
+    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{base}/v{last}")
+
+
+def run_upsert(stream: DataFrame, key: list[str], at: str, tie: str, base: str | None = None) -> DataFrame:
+    """The table that newest() keeps. base: the folder of the table and its checkpoint, the same at each start; None for a new one."""
+    base = base or f"{shared_dir(stream.sparkSession)}/upsert-{uuid.uuid4().hex}"
+    return _run(stream, lambda old, batch: newest(old, batch, key, at, tie), "append", base)
+
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+def run_windows(aggregated: DataFrame, key: list[str], base: str | None = None) -> DataFrame:
+    """A streaming aggregate as a table: windows that a batch has changed replace their rows. State behind the watermark is dropped."""
+    base = base or f"{shared_dir(aggregated.sparkSession)}/windows-{uuid.uuid4().hex}"
 
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return batch if old is None else old.join(batch.select(*key), key, "left_anti").select(*batch.columns).unionByName(batch)
 
-def run_complete(aggregated: DataFrame) -> DataFrame:
-    """A streaming aggregate over all that is there now, as a table."""
-    spark = aggregated.sparkSession
-    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
-    query = aggregated.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/table"))
-    query.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(aggregated.schema).parquet(f"{base}/table")
+    return _run(aggregated, merge, "update", base)
