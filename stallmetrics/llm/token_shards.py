@@ -46,7 +46,6 @@ _PLAIN = re.compile(f"[\t\n\r -~{_LETTERS}]*")
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELLED = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
-_APART = _SPELLED | {0: f"\0{chr(_SPELLED[0])}\0"}  # a zero byte, which no plain text has, stands between pieces
 
 
 class _Encoder:
@@ -54,6 +53,7 @@ class _Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
@@ -63,7 +63,7 @@ class _Encoder:
         # Only of a byte-level tokenizer are a text's ids those of its units.
         self.zero = self.tokenizer.token_to_id(chr(_SPELLED[0]))
         self.by_units = self.zero is not None and not said["normalizer"] and cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space", True)
-        self.bare.pre_tokenizer = None
+        self.bare.pre_tokenizer = Split(chr(_SPELLED[0]), "isolated")
         self.pieces, self.units = Units(self._cut, CACHE), Units(self._each, CACHE // 8)
 
     def _whole(self, text: str) -> bytes:
@@ -73,11 +73,13 @@ class _Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def _cut(self, pieces: list[str]) -> list[bytes]:
-        """Pieces go to the library already cut, many in a call; the zero byte's id tells where each ends."""
+        """Many pieces go to the library in a call, with a zero byte, which no plain text has, behind each; its id tells where each ends."""
         out: list[bytes] = []
         for i in range(0, len(pieces), PIECES):
-            given = "\0".join([*pieces[i : i + PIECES], ""]).encode().decode("latin-1").translate(_APART).split("\0")[:-1]
-            ids = np.array(self.bare.encode(given, is_pretokenized=True, add_special_tokens=False).ids, "<u4")
+            given = "\0".join([*pieces[i : i + PIECES], ""]).encode().decode("latin-1")
+            for byte, spelled in _SPELLED.items():  # many times faster than translate()
+                given = given.replace(chr(byte), chr(spelled))
+            ids = np.array(self.bare.encode_batch_fast([given], add_special_tokens=False)[0].ids, "<u4")
             data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.zero)).tolist()
             out += [data[a:b] for a, b in zip([0, *[x + 4 for x in ends]], ends, strict=False)]
         return out
@@ -91,7 +93,7 @@ class _Encoder:
                 out[i] = self._whole(t)
             else:
                 (plain if _PLAIN.fullmatch(t) else others).append(i)
-        for at, ids in ((plain, self.pieces.joined([_PIECES.findall(texts[i]) for i in plain])), (others, self.units.encode([texts[i] for i in others]))):
+        for at, ids in ((plain, self.pieces.joined(_PIECES.findall(texts[i]) for i in plain)), (others, self.units.encode([texts[i] for i in others]))):
             for i, x in zip(at, ids, strict=True):
                 out[i] = x
         return out

@@ -34,7 +34,7 @@ class WaveletMatrix:
             ranks[level, 1:] = np.cumsum(ones[:-1])
             zeros[level] = n - int(ones.sum())
             if level + 1 < levels:
-                v = np.concatenate([v[~bit], v[bit]])
+                v = np.concatenate([v.compress(~bit), v.compress(bit)])
         return cls(n, levels, zeros, planes, ranks)
 
     def all(self) -> np.ndarray:
@@ -44,8 +44,8 @@ class WaveletMatrix:
         for level in reversed(range(self.levels)):
             bit, zeros = np.unpackbits(self.planes[level], count=self.n).view(bool), int(self.zeros[level])
             out = np.empty(self.n, kind)
-            out[~bit] = below[:zeros]
-            out[bit] = below[zeros:] | kind(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~bit)] = below[:zeros]
+            out[np.flatnonzero(bit)] = below[zeros:] | kind(1 << (self.levels - 1 - level))
             below = out
         return below.astype(np.uint32)
 
