@@ -32,8 +32,8 @@ from .words import strings
 
 #: Texts that are encoded at once.
 ROWS = 1024
-#: Pieces whose ids a worker keeps, besides the units.
-PIECES = 150_000
+#: Units in one generation of a worker's cache, and pieces whose ids it keeps besides.
+CACHE, PIECES = 300_000, 150_000
 _NONE = 1 << 62
 
 
@@ -238,7 +238,7 @@ def _units(path: str, pattern: str) -> Units:
             one[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return [one[ps[0]] if len(ps) == 1 else b"".join([one[p] for p in ps]) for ps in split]
 
-    return Units(encode)
+    return Units(encode, CACHE)
 
 
 def _encoded(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
