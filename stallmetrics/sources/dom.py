@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+
+from .markup import Reader
 
 # HTML's elements without an end tag, and those whose content is no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,31 +50,28 @@ class Element:
         return " ".join(" ".join(found).split())
 
 
-class _Builder(HTMLParser):
+class _Builder(Reader):
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.root = self.at = Element("", {}, None)
+        self._open: Counter[str] = Counter()
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        e = Element(tag, {}, self.at)
-        for k, v in attrs:
-            e.attrs.setdefault(k, v or "")
+    def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
+        e = Element(tag, attrs, self.at)
         self.at.children.append(e)
-        if tag not in VOID:
+        if tag not in VOID and not closed:
             self.at = e
+            self._open[tag] += 1
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
+        if not self._open[tag]:
+            return
         for e in self.at.above():
-            if e.tag == tag and e.parent is not None:
+            self._open[e.tag] -= 1
+            if e.tag == tag:
                 self.at = e.parent
                 return
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         self.at.children.append(data)
 
 
@@ -80,5 +79,4 @@ def tree(html: str) -> Element:
     """The page; broken markup is read as far as it goes."""
     builder = _Builder()
     builder.feed(html)
-    builder.close()
     return builder.root
