@@ -3,8 +3,8 @@ r"""Main text of web pages by a minimum cut over their blocks.
 A page's blocks are the stretches of text between block-level tags. A classifier adds up what is known of
 a block: its words, the share of its letters in links, whether it has a sentence's end or is a title, and
 the tags, roles and names around it, which count by their strength. article and main inside a marked
-element begin anew, and a weak mark on a wrapper around the title or most of the page is void. The sum, as
-log odds, is the block's capacity to the source (content) or the sink (boilerplate). Blocks that follow
+element begin anew. Names say nothing on main and on a wrapper around the title or most of the page, and on
+an article only as whole names; names of a layout or state ("comments-open") never do. The sum, as log odds, is the block's capacity to the source (content) or the sink (boilerplate). Blocks that follow
 each other are tied by an edge whose capacity falls with their distance in the DOM, and blocks of one
 parent by one more; so a short line between paragraphs stays, and a sentence among menu entries goes. The
 minimum cut, by max-flow, labels the blocks; content blocks are joined in page order.
@@ -12,8 +12,8 @@ minimum cut, by max-flow, labels the blocks; content blocks are joined in page o
 Character references are decoded, white space inside a block becomes one blank, ends are trimmed. Scripts,
 styles, templates and the head have no blocks. Nothing else is dropped and no page is shortened.
 
-Cases: null or empty html, and a page without content, give an empty text; broken markup is read as far as
-it goes, open tags end where they must; repeated rows get equal results; an empty table gives an empty
+Cases: null or empty html, and a page without content, give an empty text; any markup is read, in time that
+grows with its length, and open tags end where they must (see sources/markup.py); repeated rows get equal results; an empty table gives an empty
 result; other columns are not read.
 """
 
@@ -22,14 +22,14 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.markup import Reader
 from .common import in_arrow
 from .words import strings
 
@@ -56,27 +56,53 @@ BOILERPLATE_NAMES = frozenset(
 WEAK_NAMES = frozenset("legal form search skip hidden widget widgets alert".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article post entry story content main body text prose".split())
+#: Parts of a class that speak of a wrapper's layout or state, not of what is in it: "comments-open", "sidebar-right-layout".
+STATE_NAMES = frozenset("layout open opened closed enabled disabled on off yes no none has with without active inactive visible true false supports support".split())
 
 #: Log odds of content: of any text, of its words up to a limit, of the share of its letters in links, of a sentence's end, of a title, of content and boilerplate marks.
 ANY, WORDS, WORDS_MOST, LINKS, SENTENCE, TITLE, CONTENT, STRONG, WEAK, MARKS_MOST = -2.0, 1.5, 5.0, -3.0, 1.0, 2.0, 1.5, -8.0, -2.5, -10.0
-#: A wrapper that holds so much of the page's words says nothing of them by its weak marks.
-MOST_OF_PAGE = 0.8
+#: A wrapper around the title or main says nothing of them by its names from this share of the page's words on; any wrapper does not from the second on, in a page without title and main.
+TITLE_SHARE, MOST_OF_PAGE = 0.5, 0.8
 #: Capacities between neighbours at DOM distance 0, and between blocks of one parent.
 NEIGHBOUR, SIBLING = 1.2, 0.6
 _SCALE = 1000
 
 
-@functools.lru_cache(20_000)
-def _hint(tag: str, names: str, role: str, hidden: bool) -> tuple[float, bool, bool, bool]:
-    """What a tag says: its boilerplate mark, whether that is weak, whether it is content, whether it is a header (boilerplate unless in content)."""
-    # "with-sidebar" or "no-ads" speak of a wrapper, not of what is in it.
-    names = " ".join(n for n in names.split() if not re.match(r"(with|without|no|has)[-_]", n))
-    parts = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", names).lower()))
-    content = tag in CONTENT_TAGS or role == "main" or bool(parts & CONTENT_NAMES)
-    strong = hidden or tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or bool(parts & BOILERPLATE_NAMES)
-    weak = tag in WEAK_TAGS or role == "form" or bool(parts & WEAK_NAMES)
-    header = tag == "header" or ("header" in parts and not parts & CONTENT_NAMES)
-    return STRONG if strong else WEAK if weak else 0.0, weak and not strong, content, header
+def _named(names: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Of class and id names: boilerplate, by a whole name; weak; content; header."""
+    strong = whole = weak = content = header = False
+    for name in names.split():
+        parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower())
+        known = set(parts)
+        if known & STATE_NAMES:
+            continue
+        content |= bool(known & CONTENT_NAMES)
+        header |= "header" in known and not known & CONTENT_NAMES
+        weak |= bool(known & WEAK_NAMES)
+        # What a name says stands at its end or, in front of a part of it, at its beginning: "left-sidebar", "comment-list".
+        marked = [p for p in parts if p in BOILERPLATE_NAMES]
+        if marked and (parts[0] in BOILERPLATE_NAMES or parts[-1] in BOILERPLATE_NAMES):
+            strong = True
+            whole |= len(marked) == len(parts)
+    return strong, whole, weak, content, header
+
+
+def _hint_of(tag: str, names: str, role: str, hidden: bool) -> tuple[float, float, bool, bool, bool]:
+    """What an element says: the boilerplate mark of its tag, that of its names, role and attributes, whether the latter is weak, whether it is content, whether it is a header (boilerplate unless in content)."""
+    strong, whole, weak, content, header = _named(names)
+    if tag == "main" or role == "main":
+        strong = weak = False
+    elif tag == "article" or (content and not whole and set(names.lower().split()) & CONTENT_NAMES):
+        strong = whole  # "post social-post" is a post
+    said = hidden or role in BOILERPLATE_ROLES or strong
+    weak = (tag in WEAK_TAGS or role == "form" or weak) and not said
+    by_name = STRONG if said else WEAK if weak else 0.0
+    return STRONG if tag in BOILERPLATE_TAGS else 0.0, by_name, weak, tag in CONTENT_TAGS or role == "main" or content, tag == "header" or header
+
+
+_hint = functools.lru_cache(20_000)(_hint_of)
+#: Names that are longer are looked at each time.
+_KEPT = 300
 
 
 class Block:
@@ -89,19 +115,18 @@ class Block:
         self.words = text.count(" ") + 1
 
 
-class _Blocks(HTMLParser):
+class _Blocks(Reader):
     """Reads a page in time and memory that grow with its length: an element is a number with its parent's, never a path."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self._open: list[tuple[str, int]] = []  # tag, node
-        self._count: Counter[str] = Counter()  # of open tags
+        self._at: dict[str, list[int]] = {}  # of each tag, where in _open it stands; "" has the block-level ones
         self._silent = self._links = self._linked = 0
         self._parts: list[str] = []
-        # Of each node, 0 being the page: parent, depth among blocks, nearest block-level node, mark, weak, content, content tag, holds a title or main.
+        # Of each node, 0 being the page: parent, depth among blocks, nearest block-level node, mark of the tag and of the names, weak, content, begins anew, holds a title or main.
         self.parent, self.depth, self.block = [0], [0], [0]
-        self.mark, self.weak, self.good, self.resets, self.holds = [0.0], [False], [False], [False], [False]
+        self.mark, self.named, self.weak, self.good, self.resets, self.holds = [0.0], [0.0], [False], [False], [False], [False]
 
     def _flush(self) -> None:
         if self._parts:
@@ -111,85 +136,75 @@ class _Blocks(HTMLParser):
             self._parts, self._linked = [], 0
 
     def _close(self, at: int) -> None:
-        for tag, _ in self._open[at:]:
+        for tag, _ in reversed(self._open[at:]):
             self._silent -= tag in SILENT_TAGS
             self._links -= tag == "a"
-            self._count[tag] -= 1
+            self._at[tag].pop()
+            if tag in BLOCK_TAGS:
+                self._at[""].pop()
         del self._open[at:]
 
     def _end_head(self, tag: str) -> None:
         """The head's end tag may be missing: the body ends it, and so does whatever else cannot stand in it."""
-        if not self._count["head"]:
-            return
-        for i in range(len(self._open) if tag == "body" else 0):
-            if self._open[i][0] == "head":
-                self._close(i)
-                return
-        if self._open[-1][0] == "head" and tag not in HEAD_TAGS:
-            self._close(len(self._open) - 1)
-
-    def _node(self, tag: str, attrs: list) -> int:
-        a, up, node = dict(attrs), self._open[-1][1] if self._open else 0, len(self.parent)
-        mark, weak, good, header = 0.0, False, False, False
+        if heads := self._at.get("head"):
+            if tag == "body":
+                self._close(heads[0])
+            elif self._open[-1][0] == "head" and tag not in HEAD_TAGS:
+                self._close(len(self._open) - 1)
+
+    def _node(self, tag: str, a: dict[str, str]) -> int:
+        up, node = self._open[-1][1] if self._open else 0, len(self.parent)
+        mark, named, weak, good, header = 0.0, 0.0, False, False, False
         if tag not in ("html", "body"):
-            hidden = "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "") or a.get("aria-hidden") == "true"
-            mark, weak, good, header = _hint(tag, f"{a.get('class') or ''} {a.get('id') or ''}", (a.get("role") or "").lower(), hidden)
+            hidden = "hidden" in a or "display:none" in a.get("style", "").replace(" ", "") or a.get("aria-hidden") == "true"
+            names = f"{a.get('class', '')} {a.get('id', '')}"
+            mark, named, weak, good, header = (_hint if len(names) <= _KEPT else _hint_of)(tag, names, a.get("role", "").lower()[:_KEPT], hidden)
         if header and not self.good[up]:
-            mark, weak = STRONG, False
+            mark = STRONG
         self.parent.append(up)
         self.depth.append(self.depth[up] + (tag in BLOCK_TAGS))
         self.block.append(node if tag in BLOCK_TAGS else self.block[up])
         self.mark.append(mark)
+        self.named.append(named)
         self.weak.append(weak)
         self.good.append(good or self.good[up])
         self.resets.append(tag in CONTENT_TAGS)
-        self.holds.append(False)
+        self.holds.append(tag in ("h1", "main"))
         if tag in ("h1", "main"):
-            while up and not self.holds[up]:
+            while not self.holds[up]:
                 self.holds[up] = True
                 up = self.parent[up]
         return node
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         self._end_head(tag)
         if tag in SPACE_TAGS:
             self._parts.append(" ")
         if tag in BLOCK_TAGS:
             self._flush()
-            for i in range(len(self._open) - 1, -1, -1):
-                other = self._open[i][0]
+            if blocks := self._at.get(""):
+                other = self._open[blocks[-1]][0]
                 if other == "p" or other == tag and tag in ("li", "tr", "dt", "dd"):
-                    self._close(i)
-                    break
-                if other in BLOCK_TAGS:
-                    break
+                    self._close(blocks[-1])
         if tag in VOID_TAGS:
             return
         node = self._node(tag, attrs)
         self._silent += tag in SILENT_TAGS
         self._links += tag == "a"
-        self._count[tag] += 1
+        for key in (tag, "") if tag in BLOCK_TAGS else (tag,):
+            self._at.setdefault(key, []).append(len(self._open))
         self._open.append((tag, node))
+        if closed:
+            self.end(tag)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self._flush()
-        if not self._count[tag]:
-            return
-        for i in range(len(self._open) - 1, -1, -1):
-            if self._open[i][0] == tag:
-                self._close(i)
-                return
-            # An inline tag's end doesn't reach across the block that it stands in.
-            if tag not in BLOCK_TAGS and self._open[i][0] in BLOCK_TAGS:
-                return
-
-    def handle_data(self, data: str) -> None:
+        # An inline tag's end doesn't reach across the block that it stands in.
+        if (at := self._at.get(tag)) and (tag in BLOCK_TAGS or not (blocks := self._at.get("")) or blocks[-1] < at[-1]):
+            self._close(at[-1])
+
+    def text(self, data: str) -> None:
         if data.strip():
             self._end_head("")
         if not self._silent:
@@ -197,9 +212,8 @@ class _Blocks(HTMLParser):
             if self._links:
                 self._linked += len("".join(data.split()))
 
-    def end(self) -> Page:
+    def page(self) -> Page:
         """The page: each block gets the marks of the elements around it."""
-        self.close()
         self._flush()
         words = [0] * len(self.parent)
         for b in self.blocks:
@@ -208,9 +222,10 @@ class _Blocks(HTMLParser):
             words[self.parent[i]] += words[i]
         marks = [0.0] * len(self.parent)
         for i in range(1, len(marks)):
-            # An article, or a wrapper around the title, main or most of the page, is no boilerplate by a weak mark; article and main begin anew.
-            counts = not (self.weak[i] and (self.resets[i] or self.holds[i] or words[i] >= MOST_OF_PAGE * words[0]))
-            marks[i] = (0.0 if self.resets[i] else marks[self.parent[i]]) + (self.mark[i] if counts else 0.0)
+            # Names of an article say little, and those of a wrapper around the title, main or most of the page nothing; article and main begin anew.
+            wraps = self.holds[i] and words[i] >= TITLE_SHARE * words[0] if self.holds[0] else words[i] >= MOST_OF_PAGE * words[0]
+            void = wraps or self.weak[i] and (self.resets[i] or self.holds[i])
+            marks[i] = (0.0 if self.resets[i] else marks[self.parent[i]]) + self.mark[i] + (0.0 if void else self.named[i])
         for b in self.blocks:
             b.marks = max(MARKS_MOST, marks[b.node]) + CONTENT * self.good[b.node]
             b.node = self.block[b.node]
@@ -237,7 +252,7 @@ class Page:
 def read(html: str) -> Page:
     reader = _Blocks()
     reader.feed(html)
-    return reader.end()
+    return reader.page()
 
 
 _SENTENCE = re.compile(r"[.!?:;\u2026\u3002][\"')\u201d\u00bb]*(\s|$)")

@@ -3,6 +3,7 @@
 import itertools
 import re
 import time
+from html.parser import HTMLParser
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stallmetrics.llm import chat, html_text, language, quality, queries
+from stallmetrics.llm.q10 import op10_html_text
 from tests.conftest import SF
 from tests.llm.test_dedup import brute_hits, brute_removal, brute_stay
 from tests.llm.test_tokens import REFERENCE
@@ -143,12 +145,85 @@ def test_the_cut_overrules_the_classifier():
     assert cut == want and sum(a != w for a, w in zip(alone, want, strict=True)) >= 2
 
 
-def test_html_pages_equal_their_articles():
-    """The pages of the tables have their text in article; the rest is menus, adverts and footers."""
-    for r in pq.read_table(f"{SF.replace('0.001', '0.01')}/pages.parquet").to_pylist():
-        inside = re.search(r"<article>(.*?)</article>", r["html"], re.S)
-        page = html_text.read(inside[1])
-        assert html_text.main_text(r["html"]) == "\n".join(b.text for b in page.blocks)
+class _Oracle(HTMLParser):
+    """The library's own reader, told which elements of the tables' pages hold the article and what in them is not of it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in html_text.BLOCK_TAGS:
+            self.blocks.append("")
+        if tag not in html_text.VOID_TAGS:
+            self.open.append((tag, dict(attrs).get("class") or ""))
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK_TAGS:
+            self.blocks.append("")
+        while any(t == tag for t, _ in self.open) and self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        inside = [i for i, (t, _) in enumerate(self.open) if t == "article"]
+        out = any(t in ("script", "style", "form", "aside", "nav", "footer") or c in ("ad", "comment", "comments", "cookie", "share") for t, c in self.open)
+        if inside and not out:
+            self.blocks[-1] += data
+
+
+def test_html_query_equals_an_oracle_by_the_tables_markup(spark):
+    sf = SF.replace("0.001", "0.01")
+    want = {}
+    for r in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        reader = _Oracle()
+        reader.feed(r["html"] or "")
+        reader.close()
+        want[r["page_id"]] = "\n".join(t for b in reader.blocks if (t := " ".join(b.split())))
+    found = {r.page_id: r for r in op10_html_text(spark, sf).collect()}
+    assert {k: r.text for k, r in found.items()} == want and all(r.n_chars == len(r.text) for r in found.values())
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {i} of the story says at some length what has happened, and where.</p>" for i in range(6))
+WRAPPERS = [
+    "<div class='layout sidebar-right'>", "<div id='page-comments-on'>", "<div class='banner-layout'>", "<div class='post social-post'>", "<article class='entry share-enabled'>", "<article class='post comments-open'>", "<main class='related'>",
+    "<div aria-hidden='true'>", "<div id=wrap class='sidebar-left'><div class='sidebar'><h3>Recent</h3><p>A teaser of another story is written here at length.</p></div><div class=col>",
+]
+
+
+@pytest.mark.parametrize("title", ["", "<h1>A title</h1>"])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_names_of_wrappers_and_articles(wrapper, title):
+    page = f"<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>{wrapper}{title}{PARAGRAPHS}</div></article></main></div><footer><p>(c) us and others, all rights reserved.</p></footer>"
+    found = html_text.main_text(page).split("\n")
+    assert found == ["A title"] * bool(title) + [f"Paragraph {i} of the story says at some length what has happened, and where." for i in range(6)]
+
+
+@pytest.mark.parametrize("marked", ["<div class=comments>{}</div>", "<section id=comment-list>{}</section>", "<div class='related-posts'>{}</div>", "<div class='left-sidebar'>{}</div>", "<div class='newsletter-signup'>{}</div>"])
+def test_html_names_of_boilerplate(marked):
+    said = "<article class=comment><p>I think so too, says somebody else, and goes on at length about it.</p></article>" * 20
+    assert html_text.main_text(f"<main><h1>A title</h1>{PARAGRAPHS}</main>{marked.format(said)}").count("\n") == 6
+
+
+@pytest.mark.parametrize("page", ["<p>a<![foo]>b</p>", "<p>ab <![ x", "<p>ab</p><a <a <a", "<p>ab<!-- <p>c", "<p>ab</p></a ", "<p>ab</p>&#" + "9" * 5000 + "<"])
+def test_html_broken_markup(page):
+    assert "ab" in "\n".join(b.text for b in html_text.read(page).blocks)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=5), st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<a ", "<!", "<![", "<!--", "-->", "<b>", "</b>", "<li>", "<td>", "<article>", "<h1>", "<script>", "</script>", "<head>", "<body>", "&amp", "<br/>", "words of a text. "])), max_size=30).map("".join))
+def test_html_of_any_kind_is_read(page):
+    text = html_text.main_text(page)
+    assert all(b == " ".join(b.split()) and b for b in text.split("\n")) or text == ""
+
+
+@pytest.mark.parametrize("piece", ["<a ", "</a ", "<!--", "<p>x", "<li>x y", "<i><div><b></i>", "<a href=x>y</a> ", "<div class=comment>a b c."])
+def test_html_hostile_pages_take_seconds(piece):
+    began = time.perf_counter()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    html_text.main_text("<b>" * 100_000 + "<p>x</p>" * 30_000 + "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000)
+    assert time.perf_counter() - began < 25
 
 
 def test_html_deep_nesting_is_linear():
