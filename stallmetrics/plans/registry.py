@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, operations, results, streams
+from . import analysis, operations, products, results, streams
 
-_MODULES = (results, analysis, operations, streams)
+_MODULES = (results, analysis, operations, products, streams)
 
 
 def queries() -> dict:
