@@ -205,13 +205,22 @@ def elements(flagged: DataFrame) -> DataFrame:
     rows = flagged.select("conv_id", "at", letter.alias("letter")).groupBy("conv_id", F.shiftright("at", RUN).alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", "letter"))).alias("in_order"))
     strings = rows.select("conv_id", F.col("in_order")[0]["at"].alias("at"), F.array_join(F.col("in_order.letter"), "").alias("letters"))
     held, shift = Stored(in_arrow(strings, _runs, ELEMENT), "runs"), RUN
-    while (held.df.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0) > 1:
+    several = held.df.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("conv_id").alias("_several"))
+    on = F.col("conv_id").eqNullSafe(F.col("_several"))
+    rest = Stored(held.df.join(several, on, "left_semi"), "parts")
+    if rest.df.isEmpty():
+        rest.drop()
+        return held.df
+    # Conversations that are one element already wait for the others.
+    done = held.df.join(several, on, "left_anti")
+    while (rest.df.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0) > 1:
         shift += FAN
-        many = held.df.groupBy("conv_id", F.shiftright("at", min(shift, 63)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", F.struct("first", "last", "illegal", *[f"c{i}" for i in range(16)], *[f"a{i}" for i in range(16)]).alias("element")))).alias("parts"))
+        parts = F.sort_array(F.collect_list(F.struct("at", F.struct("first", "last", "illegal", *[f"c{i}" for i in range(16)], *[f"a{i}" for i in range(16)]).alias("element"))))
+        many = rest.df.groupBy("conv_id", F.shiftright("at", min(shift, 63)).alias("part")).agg(parts.alias("parts"))
         new = Stored(in_arrow(many.select("conv_id", F.col("parts")[0]["at"].alias("at"), "parts"), _products, ELEMENT), "products")
-        held.drop()
-        held = new
-    return held.df
+        rest.drop()
+        rest = new
+    return done.unionByName(rest.df)
 
 
 def _cheapest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
