@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import clamp, half_even
+from ..shared import stored
 
 # Pages to probe first by the age of a day.
 COLD_PAGES = {0: (1, 2, 4, 7, 11, 17, 26, 38, 50), 1: (1, 3, 6, 10, 15, 22, 31, 40, 50), 2: (1, 4, 8, 13, 19, 26, 34, 42, 50), 3: (1, 6, 11, 17, 24, 31, 38, 44, 50), 4: (1, 7, 14, 21, 28, 35, 41, 46, 50)}
@@ -106,3 +107,20 @@ def fair_round(queue: DataFrame, job: str, order: list[str], target: int) -> Dat
     """The first `target` rows if jobs take turns; place is their order."""
     turn = F.row_number().over(Window.partitionBy(job).orderBy(*order))
     return queue.withColumn("turn", turn).filter(F.col("turn") <= target).orderBy("turn", job).limit(target)
+
+
+def refined_boundary(profile: DataFrame, probes: DataFrame, by: list[str], rounds: int = 2, stop: int = 3) -> DataFrame:
+    """The boundary by what was probed (by, page), narrowed at the quarters of a wide bracket, round by round, by what the pages there say.
+
+    profile: the relation of each page that can be asked. A bracket of `stop` pages or fewer is narrow enough. Gives by, low, high, direction, probed.
+    """
+    c = F.col
+    seen = stored(profile.join(probes.select(*by, "page").distinct(), [*by, "page"]), "probed")
+    for _ in range(rounds):
+        wide = boundary(seen, by).filter(c("high") - c("low") > stop)
+        width = c("high") - c("low")
+        quarters = F.array(*[F.greatest(c("low") + 1, F.least(c("high") - 1, c("low") + F.bround(width * r).cast("int"))) for r in (0.25, 0.5, 0.75)])
+        asked = wide.select(*by, F.explode(F.array_distinct(quarters)).alias("page")).join(seen.select(*by, "page"), [*by, "page"], "left_anti")
+        seen = stored(seen.unionByName(profile.join(asked, [*by, "page"])), "probed")
+    count = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("probed"))
+    return boundary(seen, by).join(count, by)

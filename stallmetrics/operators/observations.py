@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOURS = (1, 3, 6)
@@ -34,6 +34,38 @@ def triage(observations: DataFrame, listings: DataFrame, as_of: Column) -> DataF
     return both.withColumn("action", F.when(late, "missed").when(F.coalesce(fresh, F.lit(False)), "reusable").otherwise("remote"))
 
 
+def due(observations: DataFrame, candidates: DataFrame, listings: DataFrame, as_of: Column, limit: int) -> DataFrame:
+    """Pending observations that are due, with their candidate and its listing; the `limit` that have waited longest."""
+    pending = observations.filter((F.col("status") == "pending") & (F.col("due_at") <= as_of))
+    return pending.join(candidates, "candidate_id").join(listings, "external_id").orderBy("due_at", "candidate_id", "target_hours").limit(limit)
+
+
+def shadow_start(setting: Column, as_of: Column, backfill_minutes: int) -> Column:
+    """The start that was written once, or so many minutes ago where there is none that can be read."""
+    return F.coalesce(setting.try_cast("timestamp"), as_of - _minutes(backfill_minutes))
+
+
+# The counter's address and words that speak of one.
+ENDPOINT, KEYWORDS = r"(?i)/s-vac-inc-get\.json(?:\?|$)", ("view", "views", "viewcount", "counter", "cntr", "aufruf", "impression")
+
+
+def network_candidates(answers: DataFrame, by: list[str], order: str, top: int = 8) -> DataFrame:
+    """The likeliest sources of a page's counter among its network answers (url, body, passive_views, views: what the page shows), with score and place.
+
+    An address counts once with its best answer (the first of equal ones); what has no sign of a counter is left out.
+    """
+    has = lambda text: F.exists(F.array(*map(F.lit, KEYWORDS)), lambda w: F.lower(text).contains(w))
+    passive = F.col("url").rlike(ENDPOINT)
+    shown = F.regexp_extract_all("body", F.lit(r"\d+"), F.lit(0))
+    points = lambda when, n: F.when(F.coalesce(when, F.lit(False)), n).otherwise(0)
+    score = points(passive, 10) + points(passive & F.col("passive_views").isNotNull(), 8) + points(has(F.col("url")), 4) + points(has(F.col("body")), 3) + points(F.array_contains(shown, F.col("views").cast("string")), 2)
+    scored = answers.withColumn("score", score).filter("score > 0")
+    best = Window.partitionBy(*by, "url").orderBy(F.desc("score"), order)
+    ranked = Window.partitionBy(*by).orderBy(F.desc("score"), "url")
+    once = scored.withColumn("place", F.row_number().over(best)).filter("place = 1")
+    return once.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= top)
+
+
 def retried(failed: DataFrame, as_of: Column) -> DataFrame:
     """Failed attempts are due again later, or end as errors."""
     over = F.col("attempts") >= MOST_ATTEMPTS
@@ -58,8 +90,6 @@ def monotone_counters(rows: DataFrame, key: list[str], counters: list[str]) -> D
 
 def accepted_measurements(current: DataFrame, measured: DataFrame) -> DataFrame:
     """Measurements in their order of arrival (seq) that aren't older than what was known when they came; history gets these only."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy("external_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     known = F.greatest(F.col("views_checked_at"), F.max("measured_at").over(before))
     both = measured.join(current.select("external_id", "views_checked_at"), "external_id")
