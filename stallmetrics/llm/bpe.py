@@ -35,6 +35,15 @@ ROWS = 1024
 #: Units in one generation of a worker's cache, and pieces whose ids it keeps besides.
 CACHE, PIECES = 300_000, 150_000
 _NONE = 1 << 62
+# Characters that `regex` has as letters or numbers and tiktoken, whose Unicode is older, does not.
+_NEWER = regex.compile(
+    "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
+    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
+    "\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
+#: Stands for those where pieces are found: no letter, number or white space.
+_STAND_IN = "\ue000"
 
 
 class Vocabulary:
@@ -206,6 +215,13 @@ def tokens(path: str) -> Tokens:
     return Tokens(ranks(path))
 
 
+def cut(pieces: regex.Pattern, text: str) -> list[str]:
+    """The matches of a pattern in a text, with letters and numbers as tiktoken has them."""
+    if text.isascii() or not _NEWER.search(text):
+        return pieces.findall(text)
+    return [text[m.start() : m.end()] for m in pieces.finditer(_NEWER.sub(_STAND_IN, text))]
+
+
 def _shared(a: bytes, b: bytes) -> int:
     """How many first bytes are equal."""
     n = min(len(a), len(b))
@@ -222,7 +238,7 @@ def _units(path: str, pattern: str) -> Units:
 
     def encode(units: list[str]) -> list[bytes]:
         # Letters, or a blank and letters, are one piece.
-        split = [(u,) if u.isalpha() or (u[0] == " " and u[1:].isalpha()) else pieces.findall(u) for u in units]
+        split = [(u,) if u.isalpha() or (u[0] == " " and u[1:].isalpha()) else cut(pieces, u) for u in units]
         if len(one) > PIECES:
             one.clear()
         # In their order, a piece goes on from the prefixes that it shares with the one before.
@@ -271,6 +287,6 @@ def append(ids: bytes, text: str, more: str, path: str, pattern: str) -> bytes:
     """The ids of text + more, from the ids of text: only from text's last unit on is anything encoded."""
     v, pieces = vocabulary(path), regex.compile(pattern)
     start = max((m.start() for m in regex.finditer(r"\s*\S+|\s+", text)), default=0)
-    head = sum(len(v.piece(p.encode())) for p in pieces.findall(text[start:]))
-    tail = [i for p in pieces.findall(text[start:] + more) for i in v.piece(p.encode())]
+    head = sum(len(v.piece(p.encode())) for p in cut(pieces, text[start:]))
+    tail = [i for p in cut(pieces, text[start:] + more) for i in v.piece(p.encode())]
     return ids[: len(ids) - 4 * head] + np.array(tail, "<u4").tobytes()

@@ -53,6 +53,17 @@ def test_prefix_table_appends_and_edits(data, more, a, b):
     assert table.ids() == bpe.PrefixTable(v, whole[:lo] + b"edit" + whole[hi:]).ids()
 
 
+def test_letters_are_those_of_tiktoken():
+    """Every assigned or new character behind a letter, a number and a mark; the planes without any are left out."""
+    of = bpe._units(PATH, PATTERN)
+    for base in [*range(0x80, 0x40000, 997), *range(0xE0000, 0xE0200, 16)]:
+        text = "".join(f"a{c}1{c}!{c} " for c in map(chr, range(base, base + 997, 7)) if not 0xD800 <= ord(c) < 0xE000)
+        assert np.frombuffer(of.encode([text])[0], "<u4").tolist() == REFERENCE.encode_ordinary(text)
+    new = "a\U00016ea0b \u0558\U00011de0 1\U00011de0"
+    assert np.frombuffer(of.encode([new])[0], "<u4").tolist() == REFERENCE.encode_ordinary(new)
+    assert bpe.append(of.encode([new])[0], new, new, PATH, PATTERN) == of.encode([new + new])[0]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40), st.text(max_size=20))
 def test_units_and_append(text, more):
