@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Stored, in_arrow, keyed
-from .words import Words, split_words, strings
+from .words import Words, mix, split_words, strings
 
 WINDOW = 35
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = "k1 long, k2 int, doc_id long, th long, at int, copies int, known binary"
 _PLACES_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("copies", pa.int32()), ("known", pa.binary())])
 
@@ -79,7 +80,9 @@ def _batch_of_places(k1: np.ndarray, k2: np.ndarray, row: np.ndarray, at: np.nda
         whose = pa.array(rows[np.r_[0, cut]])
         n = len(spans)
         ids, ths = doc_id.take(whose), th.take(whose)
-        yield pa.RecordBatch.from_arrays([ths, pa.array(np.zeros(n, np.int32)), ids, ths, pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(spans, pa.binary())], schema=_PLACES_ARROW)
+        # They wait for no count; their key only keeps copies of one text from meeting in one task.
+        own = mix(ths.to_numpy().view(np.uint64) + ids.fill_null(0).to_numpy().view(np.uint64) * _SPREAD)
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.zeros(n, np.int32)), ids, ths, pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(spans, pa.binary())], schema=_PLACES_ARROW)
 
 
 def _anchor_places(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
