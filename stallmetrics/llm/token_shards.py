@@ -135,7 +135,7 @@ def _shards(path: str, end: int, most: int, batches: Iterator[pa.RecordBatch]) -
 def encode_shards(docs: DataFrame, path: str, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Rows of SHARD; (part, seq) is their order. path is read on the executors."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return in_arrow(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), lambda b: _shards(path, end, shard_tokens, b), SHARD)
+    return in_arrow(rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text"), lambda b: _shards(path, end, shard_tokens, b), SHARD)
 
 
 def write_shards(docs: DataFrame, path: str, to: str, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
