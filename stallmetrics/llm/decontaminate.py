@@ -29,10 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, keyed, small
+from .common import BROADCAST_ROWS, Stored, keyed, small
 
 WINDOW = 10
 RAREST = 3
+#: Bytes of terms or item names that may be broadcast, besides the number of rows.
+BROADCAST_BYTES = 16 << 20
 
 #: What stands between words; upper case is still there when texts are split.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,6 +54,14 @@ def _split(text: Column) -> Column:
     return F.concat(words, F.array(F.repeat(F.lit(_END), blanks + 1)))
 
 
+def _small(df: DataFrame, *texts: str) -> DataFrame:
+    """As small(), for rows with texts of any length."""
+    most = BROADCAST_ROWS + 1
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts), F.lit(0).cast("long"))
+    found = df.limit(most).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] < most and found["bytes"] <= BROADCAST_BYTES else df
+
+
 def item_terms(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item (its id as text), ik (tells texts of one id apart), off, term, size (words of its windows)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
@@ -66,7 +76,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, th, term, at: each place of one of the terms (column term), and of the end marks. docs: see keyed()."""
     ends = docs.sparkSession.range(1, 4).select(F.repeat(F.lit(_END), F.col("id").cast("int")).alias("term"))
     # Words are matched by their Unicode lower case, which is cheap; where that differs from the word itself, A-Z alone decide.
-    asked = small(terms.select("term").union(ends).distinct().withColumn("folded", F.lower("term")))
+    asked = _small(terms.select("term").union(ends).distinct().withColumn("folded", F.lower("term")), "term")
     words = docs.select("doc_id", "th", F.posexplode(_split(F.col("text"))).alias("at", "word"))
     found = words.join(asked, F.lower("word") == F.col("folded")).filter((F.col("word") == F.col("term")) | (_lower(F.col("word")) == F.col("term")))
     return found.select("doc_id", "th", "term", "at")
@@ -80,7 +90,7 @@ def lengths(index: DataFrame) -> DataFrame:
 def anchors(terms: DataFrame, index: DataFrame, rarest: int = RAREST) -> DataFrame:
     """item, ik, off, term, needed: for each window its rarest terms by postings. A term that is in no document makes its window impossible."""
     counts = index.filter(~F.col("term").startswith(_END)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    known = terms.join(small(counts), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    known = terms.join(_small(counts, "term"), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     spread = known.withColumn("start", F.explode(F.expr("sequence(greatest(off - size + 1, 0), off)")))
     by_window = Window.partitionBy("item", "ik", "start")
     ranked = spread.withColumn("words", F.count(F.lit(1)).over(by_window)).withColumn("least", F.min("n").over(by_window)).withColumn("rank", F.row_number().over(by_window.orderBy("n", "off")))
@@ -90,7 +100,7 @@ def anchors(terms: DataFrame, index: DataFrame, rarest: int = RAREST) -> DataFra
 
 def candidates(index: DataFrame, chosen: DataFrame) -> DataFrame:
     """doc_id, th, item, ik, begin: where enough anchors of an item agree on its begin."""
-    shifted = index.join(small(chosen), "term").select("doc_id", "th", "item", "ik", (F.col("at") - F.col("off")).alias("begin"), "needed")
+    shifted = index.join(_small(chosen, "term", "item"), "term").select("doc_id", "th", "item", "ik", (F.col("at") - F.col("off")).alias("begin"), "needed")
     met = shifted.groupBy("doc_id", "th", "item", "ik", "begin").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
     return met.filter(F.col("n") >= F.col("needed")).drop("n", "needed")
 
@@ -98,9 +108,9 @@ def candidates(index: DataFrame, chosen: DataFrame) -> DataFrame:
 def phrase_matches(index: DataFrame, terms: DataFrame, rarest: int = RAREST) -> DataFrame:
     """doc_id, th, item, first, last: each longest run of a document's words that equals consecutive item words and holds a window."""
     found = Stored(candidates(index, anchors(terms, index, rarest)), "candidates").df
-    met = small(found.withColumnsRenamed({"doc_id": "c_doc_id", "th": "c_th"}))
+    met = _small(found.withColumnsRenamed({"doc_id": "c_doc_id", "th": "c_th"}), "item")
     on = (index["th"] == met["c_th"]) & index["doc_id"].eqNullSafe(met["c_doc_id"])
-    looked_up = index.join(met, on).withColumn("off", F.col("at") - F.col("begin")).join(small(terms), ["item", "ik", "off", "term"]).select("doc_id", "th", "item", "ik", "begin", "off", "size").distinct()
+    looked_up = index.join(met, on).withColumn("off", F.col("at") - F.col("begin")).join(_small(terms, "term", "item"), ["item", "ik", "off", "term"]).select("doc_id", "th", "item", "ik", "begin", "off", "size").distinct()
     by_off = Window.partitionBy("doc_id", "th", "item", "ik", "begin").orderBy("off")
     runs = looked_up.withColumn("run", F.col("off") - F.row_number().over(by_off)).groupBy("doc_id", "th", "item", "ik", "begin", "run").agg(F.min("off").alias("lo"), F.max("off").alias("hi"), F.max("size").alias("size"))
     return runs.filter(F.col("hi") - F.col("lo") + 1 >= F.col("size")).select("doc_id", "th", "item", (F.col("begin") + F.col("lo")).alias("first"), (F.col("begin") + F.col("hi")).alias("last"))
@@ -112,7 +122,7 @@ def proximity_matches(index: DataFrame, terms: DataFrame, rarest: int = RAREST,
     distinct = terms.select("item", "ik", "term").distinct().join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ranked = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("item", "ik").orderBy("n", "term"))).filter(F.col("rank") <= rarest)
     needed = F.max("rank").over(Window.partitionBy("item", "ik"))
-    chosen = small(ranked.withColumn("needed", needed).select("item", "ik", "term", "rank", "needed"))
+    chosen = _small(ranked.withColumn("needed", needed).select("item", "ik", "term", "rank", "needed"), "term", "item")
     places = index.join(chosen, "term")
     lead, rest = places.filter("rank = 1").withColumnRenamed("at", "lead"), places.select("doc_id", "th", "item", "ik", "rank", "at")
     # Ranges of width `within` make the distance an equality: a pair lies in the same range or in the next.
