@@ -5,7 +5,9 @@ import re
 import time
 from html.parser import HTMLParser
 
+import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -280,3 +282,16 @@ def test_pipeline_equals_brute_force(spark):
     whole = [d for d in clean if not removed[d][0]]
     assert whole and all(found[d].n_tokens == len(REFERENCE.encode_ordinary(words[d] or "")) for d in whole)
     assert public_tokenizers.PATTERN and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_quality_equals_its_sql_without_a_language(spark):
+    """Rows of no language, and of one that no good document has, are held against every language."""
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    for i, r in enumerate(rows):
+        r["lang"] = None if i % 7 == 0 else "zz" if len((r["text"] or "").split()) < 50 else r["lang"]
+    table = pa.Table.from_pylist(rows)
+    found = quality.judge(spark.createDataFrame(table.to_pandas()[["doc_id", "text", "lang"]], KEY)).select("doc_id", "base_failed", "kept").collect()
+    con = duckdb.connect()
+    con.register("documents", table)
+    want = con.execute(f"SELECT doc_id, base_failed, kept FROM ({queries.oracle_sql()['op4_quality']})").fetchall()
+    assert sorted(tuple(r) for r in found) == sorted(want)
