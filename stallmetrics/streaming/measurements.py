@@ -6,6 +6,7 @@ costs a micro-batch; sinks are idempotent, so a batch that runs again changes no
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -78,6 +79,11 @@ def run_windows(aggregated: DataFrame, key: list[str], base: str | None = None)
     base = base or f"{shared_dir(aggregated.sparkSession)}/windows-{uuid.uuid4().hex}"
 
     def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        return batch if old is None else old.join(batch.select(*key), key, "left_anti").select(*batch.columns).unionByName(batch)
+        if old is None:
+            return batch
+        changed = batch.select(*[F.col(k).alias(f"_new_{k}") for k in key])
+        # A null in `by` is a group like another.
+        same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in key])
+        return old.join(changed, same, "left_anti").select(*batch.columns).unionByName(batch)
 
     return _run(aggregated, merge, "update", base)
