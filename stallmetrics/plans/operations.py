@@ -128,11 +128,6 @@ def posted_times(spark, sf):
     return timeparse.with_posted(rows, "shown", "moment").select("event_id", F.round("age_minutes", 3).alias("age_minutes"), "day_moscow")
 
 
-def json_counter(spark, sf):
-    e = R.table(spark, sf, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("counter"))
-
-
 def canonical_titles(spark, sf):
     rows = R.offers(spark, sf).select("category", "title").distinct().withColumn("fold", text.folded("title"))
     rows = rows.withColumn("normal", text.normalize_title(F.col("fold"))).withColumn("words", text.identity_words(F.col("fold")))
@@ -140,7 +135,7 @@ def canonical_titles(spark, sf):
     return rows.select("category", "title", "normal", fam["key"].alias("family_key"), fam["confidence"].alias("confidence"), text.opportunity_family(F.col("fold"), F.col("category")).alias("opportunity_key"), text.slug(F.col("fold")).alias("slug"))
 
 
-QUERIES = {f.__name__: f for f in (page_chronology, date_boundary, predicted_page, url_shards, fair_round, prefetch, admin_stats, user_payments, notices, access, user_search, invoice_match, live_workers, scan_quality, parsed_values, posted_times, json_counter, canonical_titles)}
+QUERIES = {f.__name__: f for f in (page_chronology, date_boundary, predicted_page, url_shards, fair_round, prefetch, admin_stats, user_payments, notices, access, user_search, invoice_match, live_workers, scan_quality, parsed_values, posted_times, canonical_titles)}
 
 _ITEMS = "items AS (SELECT l_orderkey % 40 AS feed, CAST(l_orderkey // 40 % 30 + 1 AS INTEGER) AS page, CASE WHEN quantity % 5 <> 0 THEN DATE '1998-06-25' + CAST(-(l_orderkey // 40 % 30) + l_linenumber % 3 - 1 AS INTEGER) END AS day FROM offers)"
 _PROFILE = f"""cnt AS (SELECT feed, page, count(*) AS items, count(day) AS dated, count(*) FILTER (WHERE day = DATE '{_TARGET}') AS target_count, count(*) FILTER (WHERE day > DATE '{_TARGET}') AS newer, count(*) FILTER (WHERE day < DATE '{_TARGET}') AS older FROM items GROUP BY 1, 2),
@@ -184,5 +179,4 @@ SQL = {
       y AS (SELECT event_id, k, CASE k WHEN 0 THEN DATE '2024-02-10' + clock WHEN 1 THEN DATE '2024-02-09' + clock ELSE date_trunc('minute', ts) END AS berlin, CAST(ts AS DATE) AS d FROM x)
       SELECT event_id, greatest(round((epoch_us(TIMESTAMP '2024-02-10 22:30:00') - epoch_us(berlin - INTERVAL 1 HOUR)) / 6e7, 3), 0) AS age_minutes,
         CASE WHEN k = 2 THEN d ELSE CAST(berlin + INTERVAL 2 HOUR AS DATE) END AS day_moscow FROM y""",
-    "json_counter": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS counter FROM events",
 }

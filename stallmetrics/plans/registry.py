@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, control, operations, products, results, streams
+from . import analysis, control, operations, pages, products, results, streams
 
-_MODULES = (results, analysis, operations, control, products, streams)
+_MODULES = (results, analysis, operations, control, pages, products, streams)
 
 
 def queries() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,6 +51,26 @@ class Element:
         return " ".join(" ".join(found).split())
 
 
+def texts(root: Element, longest: int | None = None) -> dict[Element, str | None]:
+    """The text of each element inside and of the root, read once: a stretch of the whole text. Longer ones than `longest` are None."""
+    words: list[str] = []
+    spans: dict[Element, tuple[int, int]] = {}
+    todo: list[tuple[Element | str, int]] = [(root, -1)]
+    while todo:
+        x, began = todo.pop()
+        if isinstance(x, str):
+            words += x.split()
+        elif began >= 0:
+            spans[x] = (began, len(words))
+        else:
+            todo.append((x, len(words)))
+            if x is root or x.tag not in NO_TEXT:
+                todo += [(c, -1) for c in reversed(x.children)]
+    starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+    whole = " ".join(words)
+    return {e: whole[starts[a] : max(starts[a], starts[b] - 1)] if longest is None or starts[b] - starts[a] <= longest + 1 else None for e, (a, b) in spans.items()}
+
+
 class _Builder(Reader):
     def __init__(self) -> None:
         self.root = self.at = Element("", {}, None)

@@ -1,8 +1,9 @@
 r"""Captured result pages as rows (survey S1-S12).
 
-read_cards() is the one Python function: it turns a page's HTML into its text, its cards in page order and its
-links. All the rest, which cards are kept, counters, the page's number and stride, its fingerprint, location
-feeds and signs of a challenge, are columns over that struct.
+read_cards() is the one Python function: it turns a page's HTML into its text, its links and its cards in page
+order, each card with its stretches (elements with their names and text). All the rest, what of a card is its
+date and its price, which cards are kept, counters, the page's number and stride, its fingerprint, location feeds
+and signs of a challenge, are columns over that struct.
 
 Cases: null or empty HTML has no cards and no range; a null requested_page counts as 1, a null final_url as
 empty; cards without a link or title give no item; of cards with one address or id the first counts.
@@ -11,7 +12,6 @@ empty; cards without a link or title give no item; of cards with one address or
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -19,21 +19,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .dom import Element, tree
+from .dom import Element, texts, tree
 
-CARDS = (
-    "text string, cards array<struct<url: string, title: string, price_text: string, posted_text: string, promoted: boolean>>, links array<struct<href: string, url: string, around: string>>"
-)
+_STRETCH = "struct<tag: string, names: string, inside: boolean, testid: string, label: string, title: string, dates: array<string>, moment: string, text: string, own: boolean>"
+CARDS = f"text string, cards array<struct<url: string, title: string, promoted: boolean, text: string, stretches: array<{_STRETCH}>>>, links array<struct<href: string, url: string, around: string>>"
 
-# The site's markup. Where a card has its date and its price: attribute, "has" (a whole word) or "part", value; tag names alone.
+# The site's markup. Where a card has its date and its price, the surest place first: what is looked at, a whole word of it or a part, and its value.
 DATE_PLACES = (
-    ("class", "has", "aditem-main--top--right"), ("class", "part", "top--right"), ("tag", "is", "time"), ("class", "part", "timestamp"), ("class", "part", "date"), ("data-testid", "part", "date"),
-    ("data-testid", "part", "time"), ("aria-label", "part", "Heute"), ("aria-label", "part", "Gestern"), ("title", "part", "Heute"), ("title", "part", "Gestern"),
+    ("names", "word", "aditem-main--top--right"), ("names", "part", "top--right"), ("tag", "word", "time"), ("names", "part", "timestamp"), ("names", "part", "date"), ("testid", "part", "date"), ("testid", "part", "time"),
+    ("label", "part", "Heute"), ("label", "part", "Gestern"), ("title", "part", "Heute"), ("title", "part", "Gestern"),
 )
 DATE_ATTRIBUTES = ("aria-label", "title", "data-date", "data-time", "data-timestamp")
-PRICE_PLACES = (("class", "has", "aditem-main--middle--price-shipping--price"), ("class", "part", "price-shipping--price"), ("class", "inside", "price-shipping"), ("data-testid", "part", "price"), ("class", "part", "price"))
-DATES = tuple(re.compile(p, re.I) for p in (r"\bHeute(?:,?\s*\d{1,2}:\d{2})?\b", r"\bGestern(?:,?\s*\d{1,2}:\d{2})?\b", r"\b\d{1,2}\.\d{1,2}\.\d{4}(?:,?\s*\d{1,2}:\d{2})?\b"))
-PRICE = re.compile(r"(?<!\d)(?:\d{1,3}(?:\.\d{3})*|\d+)\s*€(?:\s*(?:VB|Festpreis))?", re.I)
+PRICE_PLACES = (("names", "word", "aditem-main--middle--price-shipping--price"), ("names", "part", "price-shipping--price"), ("inside", "", ""), ("testid", "part", "price"), ("names", "part", "price"))
+DATES = (r"(?iU)\bHeute(?:,?\s*\d{1,2}:\d{2})?\b", r"(?iU)\bGestern(?:,?\s*\d{1,2}:\d{2})?\b", r"(?iU)\b\d{1,2}\.\d{1,2}\.\d{4}(?:,?\s*\d{1,2}:\d{2})?\b")
+PRICE = r"(?<!\d)(?:\d{1,3}(?:\.\d{3})*|\d+)\s*€(?:\s*(?:VB|Festpreis))?"
+#: Texts of dates and prices are short: characters of a stretch that is read at all (None: any), of a date that stands alone, of a price; elements that are looked through for a date that stands alone (None: all).
+LONGEST, ALONE, PRICE_CHARS, LOOKED_AT = 400, 48, 90, 80
+#: Feeds of other places that are given (None: all): those with counts, and where none has one.
+FEEDS, PLAIN_FEEDS = 120, 40
 FEATURES = "bumpup bump-up topad top-ad highlight gallery galerie promoted sponsored".split()
 PROMOTED_CLASS = re.compile(rf"(?:featurelabel|featuretag|icon-feature|badge|is)[-_](?:{'|'.join(FEATURES)}|advertisement)\b", re.I)
 PROMOTED_VALUE = re.compile(rf"(?:^|[-_: ])(?:{'|'.join(FEATURES)}|hochgeschoben|hochschieben)(?:$|[-_: ])", re.I)
@@ -45,73 +48,51 @@ CHALLENGE = (
 MIN_COVERAGE = 0.20
 
 
-def _found(card: Element, attr: str, how: str, value: str) -> Iterator[Element]:
-    for e in card.below():
-        if attr == "tag":
-            ok = e.tag == value
-        elif how == "has":
-            ok = value in e.classes
-        elif how == "inside":
-            ok = "price" in e.attrs.get(attr, "") and any(value in up.attrs.get(attr, "") for up in e.above() if up is not e)
-        else:
-            ok = value in e.attrs.get(attr, "")
-        if ok:
-            yield e
-
-
-def _date_in(text: str) -> str | None:
-    return next((m[0] for p in DATES if (m := p.search(text))), None)
-
-
-def posted_text(card: Element) -> str | None:
-    """From the places of dates first, by what is seen and then by attributes; else from a short stretch of text of its own. Never from a title."""
-    for place in DATE_PLACES:
-        for e in _found(card, *place):
-            for said in (e.text(), *[" ".join(e.attrs[a].split()) for a in DATE_ATTRIBUTES if e.attrs.get(a)]):
-                if date := _date_in(said):
-                    return date
-            if re.search(r"\d{4}-\d{2}-\d{2}", at := e.attrs.get("datetime", "")):
-                return at.strip()
-    short = [e for e in card.below() if e.tag in ("span", "div", "small")][:80]
-    for e in short:
-        said = e.text()
-        if said and len(said) <= 48 and all(c.text() in ("", said) for c in e.children if isinstance(c, Element)) and (date := _date_in(said)):
-            return date
-    return None
-
-
-def clean_price(text: str) -> str | None:
+def _at(stretches: Column, place: tuple[str, str, str]) -> Column:
+    field, how, value = place
+    if field == "inside":
+        return F.filter(stretches, lambda s: s["inside"])
+    if how == "word":
+        return F.filter(stretches, lambda s: F.array_contains(F.split(s[field], " "), value))
+    return F.filter(stretches, lambda s: s[field].contains(value))
+
+
+def _first(found: Column) -> Column:
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
+def date_in(text: Column) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in DATES])
+
+
+def posted_text(card: Column, looked_at: int | None = LOOKED_AT) -> Column:
+    """What the surest place says, shown before in attributes; else a short stretch that is a date's alone. Never a title."""
+    said = lambda s: F.coalesce(_first(F.transform(F.concat(F.array(s["text"]), s["dates"]), date_in)), F.when(s["moment"].rlike(r"\d{4}-\d{2}-\d{2}"), F.trim(s["moment"])))
+    by_place = [_first(F.transform(_at(card["stretches"], p), said)) for p in DATE_PLACES]
+    small = F.filter(card["stretches"], lambda s: s["tag"].isin("span", "div", "small"))
+    small = small if looked_at is None else F.slice(small, 1, looked_at)
+    alone = F.transform(F.filter(small, lambda s: s["own"] & F.length(s["text"]).between(1, ALONE)), lambda s: date_in(s["text"]))
+    return F.coalesce(*by_place, _first(alone))
+
+
+def clean_price(text: Column) -> Column:
     """The price in a short text, with the word behind it; or that there is none to pay, or to be agreed on."""
-    text = " ".join(text.split())
-    if not text or len(text) > 90:
-        return None
-    if m := PRICE.search(text):
-        tail = re.match(r"(VB|Festpreis)\b", text[m.end() :].strip(), re.I)
-        return m[0].strip() + (f" {tail[1]}" if tail else "")
-    return {"zu verschenken": "Zu verschenken", "vb": "VB"}.get(text.lower())
-
-
-def price_text(card: Element) -> str | None:
-    """From the places of prices; else the least of scored stretches (length, shipping late, names with "price" early); else from the text, not behind shipping."""
-    for place in PRICE_PLACES:
-        for e in _found(card, *place):
-            if price := clean_price(e.text()):
-                return price
-    scored = []
-    for e in card.below():
-        if e.tag in ("p", "div", "span", "strong") and (price := clean_price(said := e.text())):
-            scored.append((len(said) + 1000 * ("versand" in said.lower()) - 100 * ("price" in e.attrs.get("class", "").lower()), len(scored), price))
-    if scored:
-        return min(scored)[2]
-    whole = card.text()
-    for m in PRICE.finditer(whole):
-        if "versand" not in whole[max(0, m.start() - 20) : m.start()].lower():
-            return m[0].strip()
-    said = re.search(r"\b(Zu verschenken|VB)\b", whole, re.I)
-    return {"zu verschenken": "Zu verschenken", "vb": "VB"}[said[1].lower()] if said else None
-
-
-def promoted(card: Element) -> bool:
+    found = F.trim(F.regexp_extract(text, rf"(?iU){PRICE}(?:\s*(?:VB|Festpreis)\b)?", 0))
+    free = F.when(F.lower(text) == "zu verschenken", "Zu verschenken").when(F.lower(text) == "vb", "VB")
+    return F.when(F.length(text) <= PRICE_CHARS, F.coalesce(F.nullif(found, F.lit("")), free))
+
+
+def price_text(card: Column) -> Column:
+    """What the surest place says; else of all stretches the price that is not shipping's, is named one, and stands in the shortest text; else the first in the card's text that doesn't come right behind shipping."""
+    price = lambda s: clean_price(s["text"])
+    by_place = [_first(F.transform(_at(card["stretches"], p), price)) for p in PRICE_PLACES]
+    priced = F.filter(F.transform(F.filter(card["stretches"], lambda s: s["tag"].isin("p", "div", "span", "strong")), lambda s, i: F.struct(F.lower(s["text"]).contains("versand").alias("shipping"), (~F.lower(s["names"]).contains("price")).alias("unnamed"), F.length(s["text"]).alias("n"), i.alias("i"), price(s).alias("price"))), lambda x: x["price"].isNotNull())
+    whole = F.nullif(F.trim(F.regexp_extract(card["text"], rf"(?iU)(?<!versand.{{0,13}}){PRICE}", 0)), F.lit(""))
+    free = F.lower(F.regexp_extract(card["text"], r"(?iU)\b(Zu verschenken|VB)\b", 1))
+    return F.coalesce(*by_place, F.array_min(priced)["price"], whole, F.when(free == "zu verschenken", "Zu verschenken").when(free == "vb", "VB"))
+
+
+def promoted(card: Element, text: dict[Element, str | None]) -> bool:
     """Marked as paid by a class of the card's wrapper, or inside it by a class, an attribute or a small label."""
     wrapper = next((e for e in card.above() if "ad-listitem" in map(str.lower, e.classes)), card)
     if any(PROMOTED_CLASS.match(c) for c in wrapper.classes):
@@ -120,30 +101,50 @@ def promoted(card: Element) -> bool:
         if any(PROMOTED_CLASS.match(c) for c in e.classes) or any(PROMOTED_VALUE.search(e.attrs.get(a, "").strip()) for a in ("id", "data-testid", "aria-label", "title")):
             return True
         small = e.tag in ("span", "small", "label") or any("badge" in c.lower() for c in e.classes)
-        if small and len(said := e.text()) <= 24 and PROMOTED_LABEL.fullmatch(said):
+        if small and (said := text[e] if e in text else e.text()) is not None and len(said) <= 24 and PROMOTED_LABEL.fullmatch(said):
             return True
     return False
 
 
-def _card(card: Element, base: str) -> dict:
-    link = next((e for e in card.below() if e.tag == "a" and "/s-anzeige/" in e.attrs.get("href", "")), None)
-    title = next((e for e in card.below() if e.tag == "h2" or "ellipsis" in e.classes or "title" in e.attrs.get("class", "")), link)
-    return {"url": urljoin(base, link.attrs["href"]) if link else None, "title": title.text() if title else None, "price_text": price_text(card), "posted_text": posted_text(card), "promoted": promoted(card)}
+def _stretch(e: Element, text: dict[Element, str | None], inside: bool) -> dict:
+    a = e.attrs
+    said = text[e]
+    own = said is not None and all(text[c] in ("", said) for c in e.children if isinstance(c, Element))
+    return {
+        "tag": e.tag, "names": " ".join(a.get("class", "").split()), "inside": inside and "price" in a.get("class", ""), "testid": a.get("data-testid", ""), "label": a.get("aria-label", ""), "title": a.get("title", ""),
+        "dates": [" ".join(a[k].split()) for k in DATE_ATTRIBUTES if a.get(k)], "moment": a.get("datetime", ""), "text": said, "own": own,
+    }
 
 
-def _read(html: str | None, base: str) -> dict:
+def _card(card: Element, base: str, longest: int | None) -> dict:
+    text = texts(card, longest)
+    inside = {card: any("price-shipping" in up.attrs.get("class", "") for up in card.above())}
+    link = title = None
+    stretches = []
+    for e in card.below():
+        inside[e] = inside[e.parent] or "price-shipping" in e.attrs.get("class", "")
+        stretches.append(_stretch(e, text, inside[e.parent]))
+        if link is None and e.tag == "a" and "/s-anzeige/" in e.attrs.get("href", ""):
+            link = e
+        if title is None and (e.tag == "h2" or "ellipsis" in e.classes or "title" in e.attrs.get("class", "")):
+            title = e
+    named = title or link
+    return {"url": urljoin(base, link.attrs["href"]) if link else None, "title": named.text() if named else None, "promoted": promoted(card, text), "text": card.text(), "stretches": stretches}
+
+
+def _read(html: str | None, base: str, longest: int | None) -> dict:
     page = tree(html or "")
-    cards = [_card(e, base) for e in page.below() if e.tag == "article" or "ad-listitem" in e.classes]
+    cards = [_card(e, base, longest) for e in page.below() if e.tag == "article" or "ad-listitem" in e.classes]
     links = [{"href": e.attrs["href"], "url": urljoin(base, e.attrs["href"]), "around": e.parent.text() if e.parent else e.text()} for e in page.below() if e.tag == "a" and re.search(r"c\d+l\d+", e.attrs.get("href", ""))]
     return {"text": page.text(), "cards": cards, "links": links}
 
 
-def read_cards(html: Column, base: str) -> Column:
-    """Struct CARDS of each page."""
+def read_cards(html: Column, base: str, longest: int | None = LONGEST) -> Column:
+    """Struct CARDS of each page. longest: characters of a stretch's text, or None."""
 
     @F.pandas_udf(CARDS)
     def read(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_read(h, base) for h in pages], columns=["text", "cards", "links"])
+        return pd.DataFrame([_read(h, base, longest) for h in pages], columns=["text", "cards", "links"])
 
     return read(html)
 
@@ -153,11 +154,15 @@ def _german(value: Column) -> Column:
     return F.nullif(F.regexp_replace(value, r"\D", ""), F.lit("")).cast("long")
 
 
-def pages(captured: DataFrame, base: str, host: str) -> DataFrame:
-    """captured (html, requested_page, final_url and any more columns) with the struct info: items and all that is known of the page."""
+def pages(captured: DataFrame, base: str, host: str, longest: int | None = LONGEST, looked_at: int | None = LOOKED_AT, feeds: int | None = FEEDS, plain_feeds: int | None = PLAIN_FEEDS) -> DataFrame:
+    """captured (html, requested_page, final_url and any more columns) with the struct info: items and all that is known of the page.
+
+    longest, looked_at, feeds, plain_feeds: see LONGEST, LOOKED_AT, FEEDS, PLAIN_FEEDS; None for no limit.
+    """
     c = F.col
-    rows = captured.select("*", read_cards(c("html"), base).alias("_r")).select("*", F.greatest(F.lit(1), F.coalesce(c("requested_page").cast("int"), F.lit(1))).alias("_page"), F.coalesce("final_url", F.lit("")).alias("_final"))
-    known = F.transform(F.filter("_r.cards", lambda x: x["url"].isNotNull() & X.allowed_url(x["url"], host)), lambda x: F.struct(X.external_id(x["url"]).alias("id"), x.alias("card")))
+    limited = lambda found, most: found if most is None else F.slice(found, 1, most)
+    rows = captured.select("*", read_cards(c("html"), base, longest).alias("_r")).select("*", F.greatest(F.lit(1), F.coalesce(c("requested_page").cast("int"), F.lit(1))).alias("_page"), F.coalesce("final_url", F.lit("")).alias("_final"))
+    known = F.transform(F.filter("_r.cards", lambda x: x["url"].isNotNull() & X.allowed_url(x["url"], host)), lambda x: F.struct(X.external_id(x["url"]).alias("id"), F.struct(x["url"].alias("url"), x["title"].alias("title"), x["promoted"].alias("promoted"), price_text(x).alias("price_text"), posted_text(x, looked_at).alias("posted_text")).alias("card")))
     rows = rows.withColumn("_known", known).withColumn("_plain", F.filter("_known", lambda k: ~k["card"]["promoted"]))
     ids, urls = F.transform("_plain", lambda k: k["id"]), F.transform("_plain", lambda k: k["card"]["url"])
     first = F.filter("_plain", lambda k, i: (F.array_position(urls, k["card"]["url"]) == i + 1) & (F.array_position(ids, k["id"]) == i + 1))
@@ -190,11 +195,11 @@ def pages(captured: DataFrame, base: str, host: str) -> DataFrame:
     code = F.nullif(F.regexp_extract(decoded, r"/(c\d+)(?:l\d+)?(?:$|[/?])", 1), F.lit(""))
     here = F.regexp_extract(decoded, r"/c\d+l(\d+)(?:$|[/?])", 1)
     place = lambda x, group: F.regexp_extract(F.coalesce(F.try_url_decode(x["href"]), x["href"]), r"/(c\d+)l(\d+)(?:$|[/?])", group)
-    feeds = F.filter("_r.links", lambda x: code.isNotNull() & (place(x, 1) == code) & (place(x, 2) != here) & X.allowed_url(x["url"], host))
+    other = F.filter("_r.links", lambda x: code.isNotNull() & (place(x, 1) == code) & (place(x, 2) != here) & X.allowed_url(x["url"], host))
     at = F.transform("_feeds", lambda x: x["url"])
     once = F.transform(F.filter("_feeds", lambda x, i: F.array_position(at, x["url"]) == i + 1), lambda x: F.struct(_german(F.regexp_extract(x["around"], r"\(([\d.]+)\)", 1)).alias("count"), x["url"].alias("url")))
-    rows = rows.withColumn("_feeds", feeds).withColumn("_feeds", once).withColumn("_counted", F.array_sort(F.filter("_feeds", lambda x: x["count"].isNotNull())))
-    shards = F.when(F.size("_counted") > 0, F.slice("_counted", 1, 120)).otherwise(F.slice("_feeds", 1, 40))
+    rows = rows.withColumn("_feeds", other).withColumn("_feeds", once).withColumn("_counted", F.array_sort(F.filter("_feeds", lambda x: x["count"].isNotNull())))
+    shards = F.when(F.size("_counted") > 0, limited(c("_counted"), feeds)).otherwise(limited(c("_feeds"), plain_feeds))
 
     low = F.lower("_r.text")
     info = F.struct(

@@ -21,7 +21,9 @@ VIEW_TEXT = re.compile(r'(?i)(?:"|\b)(num[_-]?visits?(?:str)?|views?|view[_-]?co
 GONE = ("die gewünschte anzeige ist nicht mehr verfügbar", "die gewuenschte anzeige ist nicht mehr verfuegbar", "anzeige nicht mehr verfügbar", "anzeige nicht mehr verfuegbar")
 CHALLENGE = ("captcha", "access denied", "sicherheitsüberprüfung", "sicherheitsueberpruefung", "ungewöhnliche aktivität", "ungewoehnliche aktivitaet", "bot protection")
 NEEDS_SCRIPT = ("javascript ist deaktiviert", "javascript aktivieren", "enable javascript")
-MOST, LIST_ITEMS = 999_999_999, 100
+MOST = 999_999_999
+#: Entries of a list in JSON that are read, characters of a document and of a page's text by which its kind is told (None: all).
+LIST_ITEMS, DOCUMENT_CHARS, PAGE_CHARS = 100, 20_000, 12_000
 
 
 def counter_value(value: object) -> int | None:
@@ -34,7 +36,7 @@ def counter_value(value: object) -> int | None:
     return int(value) if 0 <= value <= MOST else None
 
 
-def _named(data: object, wanted) -> list[tuple[str, int]]:
+def _named(data: object, wanted, items: int | None) -> list[tuple[str, int]]:
     """Path and value of the counters whose key is wanted, in the order of the tree."""
     found, todo = [], [("$", data)]
     while todo:
@@ -45,7 +47,7 @@ def _named(data: object, wanted) -> list[tuple[str, int]]:
                     found.append((f"{path}.{k}", n))
             todo += [(f"{path}.{k}", v) for k, v in reversed(x.items())]
         elif isinstance(x, list):
-            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(x[:LIST_ITEMS])))]
+            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(x[:items])))]
     return found
 
 
@@ -54,15 +56,15 @@ def _strict(key: str) -> bool:
     return name in VIEW_KEYS or name.replace("_", "") in VIEW_KEYS
 
 
-def payload_counter(body: str | None) -> tuple[int | None, str | None]:
-    """Value and where it is from: official keys, else strict keys, anywhere in the JSON and all alike; else a key in the text."""
+def payload_counter(body: str | None, items: int | None = LIST_ITEMS) -> tuple[int | None, str | None]:
+    """Value and where it is from: official keys, else strict keys, anywhere in the JSON and all alike; else a key in the text. items: entries of each list that are read."""
     body = (body or "").strip()
     try:
         data = json.loads(body)
     except (ValueError, RecursionError):
         data = None
     for kind, wanted in (("official", lambda k: re.sub(r"[^a-z0-9]", "", k.lower()) in OFFICIAL_KEYS), ("explicit", _strict)):
-        if found := _named(data, wanted):
+        if found := _named(data, wanted, items):
             if len({n for _, n in found}) > 1:
                 return None, f"json-{kind}-conflict"
             path, n = found[0] if kind == "official" else min(found, key=lambda x: (len(x[0]), x[0]))
@@ -71,12 +73,12 @@ def payload_counter(body: str | None) -> tuple[int | None, str | None]:
     return (int(m[2]), f"text:{m[1]}") if m else (None, None)
 
 
-def payload_views(body: Column) -> Column:
+def payload_views(body: Column, items: int | None = LIST_ITEMS) -> Column:
     """S13 as a struct: views, source."""
 
     @F.pandas_udf("views long, source string")
     def read(bodies: pd.Series) -> pd.DataFrame:
-        found = [payload_counter(b) for b in bodies]
+        found = [payload_counter(b, items) for b in bodies]
         return pd.DataFrame({"views": pd.array([n for n, _ in found], dtype="Int64"), "source": [s for _, s in found]})
 
     return read(body)
@@ -123,14 +125,19 @@ def available(url: Column, status: Column, html: Column, final_url: Column) -> C
     return F.when(status.isin(404, 410), False).when(status.isin(403, 429) | (status >= 500), None).when(_has(_plain(html), GONE), False).when(known, True)
 
 
-def document_kind(html: Column) -> Column:
-    """Challenge, script (too short or needs one) or page, by the first 20,000 characters."""
-    low = F.substring(F.lower(F.coalesce(html, F.lit(""))), 1, 20_000)
+def _start(text: Column, chars: int | None) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return low if chars is None else F.substring(low, 1, chars)
+
+
+def document_kind(html: Column, chars: int | None = DOCUMENT_CHARS) -> Column:
+    """Challenge, script (too short or needs one) or page, by its first characters."""
+    low = _start(html, chars)
     return F.when(_has(low, CHALLENGE), "challenge").when((F.length(F.coalesce(html, F.lit(""))) < 200) | _has(low, NEEDS_SCRIPT), "script").otherwise("page")
 
 
-def page_kind(body: Column, final_url: Column) -> Column:
-    """Challenge, consent-only, redirected or normal, by the first 12,000 characters of the text."""
-    low = F.substring(F.lower(F.coalesce(body, F.lit(""))), 1, 12_000)
+def page_kind(body: Column, final_url: Column, chars: int | None = PAGE_CHARS) -> Column:
+    """Challenge, consent-only, redirected or normal, by the first characters of the text."""
+    low = _start(body, chars)
     consent = low.contains("cookie") & low.contains("zustimmen") & (F.length(low) < 3500)
     return F.when(_has(low, (*CHALLENGE, "robot")), "challenge").when(consent, "consent-only").when(~F.coalesce(final_url, F.lit("")).contains("/s-anzeige/"), "redirected").otherwise("normal")
