@@ -128,6 +128,11 @@ def posted_times(spark, sf):
     return timeparse.with_posted(rows, "shown", "moment").select("event_id", F.round("age_minutes", 3).alias("age_minutes"), "day_moscow")
 
 
+def json_counter(spark, sf):
+    e = R.table(spark, sf, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("counter"))
+
+
 def canonical_titles(spark, sf):
     rows = R.offers(spark, sf).select("category", "title").distinct().withColumn("fold", text.folded("title"))
     rows = rows.withColumn("normal", text.normalize_title(F.col("fold"))).withColumn("words", text.identity_words(F.col("fold")))
@@ -135,13 +140,28 @@ def canonical_titles(spark, sf):
     return rows.select("category", "title", "normal", fam["key"].alias("family_key"), fam["confidence"].alias("confidence"), text.opportunity_family(F.col("fold"), F.col("category")).alias("opportunity_key"), text.slug(F.col("fold")).alias("slug"))
 
 
-QUERIES = {f.__name__: f for f in (page_chronology, date_boundary, predicted_page, url_shards, fair_round, prefetch, admin_stats, user_payments, notices, access, user_search, invoice_match, live_workers, scan_quality, parsed_values, posted_times, canonical_titles)}
+QUERIES = {f.__name__: f for f in (page_chronology, date_boundary, predicted_page, url_shards, fair_round, prefetch, admin_stats, user_payments, notices, access, user_search, invoice_match, live_workers, scan_quality, parsed_values, posted_times, json_counter, canonical_titles)}
 
 _ITEMS = "items AS (SELECT l_orderkey % 40 AS feed, CAST(l_orderkey // 40 % 30 + 1 AS INTEGER) AS page, CASE WHEN quantity % 5 <> 0 THEN DATE '1998-06-25' + CAST(-(l_orderkey // 40 % 30) + l_linenumber % 3 - 1 AS INTEGER) END AS day FROM offers)"
 _PROFILE = f"""cnt AS (SELECT feed, page, count(*) AS items, count(day) AS dated, count(*) FILTER (WHERE day = DATE '{_TARGET}') AS target_count, count(*) FILTER (WHERE day > DATE '{_TARGET}') AS newer, count(*) FILTER (WHERE day < DATE '{_TARGET}') AS older FROM items GROUP BY 1, 2),
   prof AS (SELECT *, dated / items AS coverage, greatest(newer, older) / (newer + older) AS dom, CASE WHEN dated = 0 THEN 'unknown' WHEN target_count > 0 THEN 'target' WHEN dated < least(2, items) THEN 'unknown' WHEN older = 0 THEN 'newer' WHEN newer = 0 THEN 'older'
     WHEN greatest(newer, older) / (newer + older) >= 0.7 THEN CASE WHEN newer > older THEN 'newer' ELSE 'older' END ELSE 'mixed' END AS relation FROM cnt)"""
 
+
+
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _spelled(column: str, rules) -> str:
+    """The column with spellings replaced, in SQL."""
+    for pattern, by in rules:
+        column = f"regexp_replace({column}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return column
+
+
+_MODEL = f"w IN ({_in(text.ROOTS + text.VARIANTS + text.TYPES)}) OR regexp_matches(w, '[0-9]')"
+
 SQL = {
     "page_chronology": f"""WITH {R.OFFERS}, {_ITEMS}, {_PROFILE} SELECT feed, page, items, dated, target_count, newer, older, relation, round(coverage, 6) AS coverage, round(CASE WHEN dated = 0 THEN 0 WHEN target_count > 0 THEN least(1, greatest(0.35, coverage, target_count / dated))
       WHEN dated < least(2, items) THEN greatest(0.1, coverage * 0.5) WHEN newer = 0 OR older = 0 THEN greatest(0.35, coverage) WHEN dom >= 0.7 THEN greatest(0.30, coverage * dom) ELSE greatest(0.25, coverage * dom) END, 6) AS confidence FROM prof""",
@@ -179,4 +199,16 @@ SQL = {
       y AS (SELECT event_id, k, CASE k WHEN 0 THEN DATE '2024-02-10' + clock WHEN 1 THEN DATE '2024-02-09' + clock ELSE date_trunc('minute', ts) END AS berlin, CAST(ts AS DATE) AS d FROM x)
       SELECT event_id, greatest(round((epoch_us(TIMESTAMP '2024-02-10 22:30:00') - epoch_us(berlin - INTERVAL 1 HOUR)) / 6e7, 3), 0) AS age_minutes,
         CASE WHEN k = 2 THEN d ELSE CAST(berlin + INTERVAL 2 HOUR AS DATE) END AS day_moscow FROM y""",
+    "json_counter": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS counter FROM events",
+    "canonical_titles": f"""WITH {R.OFFERS}, t AS (SELECT DISTINCT category, title, strip_accents(lower(replace(replace(title, 'ß', 'ss'), 'ẞ', 'ss'))) AS fold FROM offers),
+      c AS (SELECT *, trim(regexp_replace({_spelled("fold", text.SPELLINGS)}, '[^a-z0-9]+', ' ', 'g')) AS canon, trim(regexp_replace(replace({_spelled("fold", text.IDENTITY_SPELLINGS)}, '+', ' plus '), '\\s+', ' ', 'g')) AS ident FROM t),
+      w AS (SELECT *, list_filter(string_split(canon, ' '), lambda w: w <> '' AND w NOT IN ({_in(text.STOPWORDS)})) AS words, list_filter(regexp_extract_all(ident, '[a-z0-9]+(?:-[a-z0-9]+)*'), lambda w: length(w) >= 2 AND w NOT IN ({_in(text.FAMILY_STOPWORDS)})) AS tokens FROM c),
+      i0 AS (SELECT *, list_filter(words, lambda w: w NOT IN ({_in(text.COLORS + text.CONDITIONS)}) AND NOT regexp_matches(w, '^\\d+x$')) AS plain FROM w),
+      i AS (SELECT *, list_filter(plain, lambda w: NOT ({" OR ".join(f"(w = '{b}' AND list_has_any(plain, [{_in(r.split())}]))" for b, r in text.ROOTS_OF_BRAND.items())})) AS idw FROM i0),
+      p AS (SELECT *, list_filter(idw, lambda w: {_MODEL}) AS models, list_filter(idw, lambda w: w IN ({_in(text.BRANDS)})) AS brands, list_filter(idw, lambda w: NOT ({_MODEL}) AND w NOT IN ({_in(text.BRANDS)})) AS other,
+        list_filter(tokens, lambda w: regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '^\\d+(?:gb|tb|v|w|kw|mah|ah|mm|cm|hz|kg)$')) AS codes, list_filter(tokens, lambda w: regexp_matches(w, '^[a-z]+$') AND length(w) >= 3) AS names FROM i),
+      k AS (SELECT *, list_sort(list_distinct(CASE WHEN len(models) > 0 THEN list_concat(models, list_concat(brands[1:1], other[1:2])) ELSE list_concat(brands[1:1], other[1:5]) END)) AS key, list_sort(list_distinct(CASE WHEN len(codes) > 0 THEN codes[1:2] ELSE names[2:3] END)) AS tail FROM p)
+      SELECT category, title, array_to_string(words, ' ') AS normal, array_to_string(key, ' ') AS family_key, CASE WHEN len(key) = 0 THEN 0 ELSE greatest(0, least(100, 25 + CASE WHEN list_has_any(key, [{_in(text.ROOTS)}]) THEN 35 ELSE 0 END + CASE WHEN len(list_filter(key, lambda w: regexp_matches(w, '[0-9]'))) > 0 THEN 20 ELSE 0 END
+          + CASE WHEN list_has_any(key, [{_in(text.VARIANTS + text.TYPES)}]) THEN 10 ELSE 0 END + CASE WHEN len(key) >= 2 THEN 10 ELSE 0 END - CASE WHEN len(models) = 0 AND len(key) < 2 THEN 20 ELSE 0 END)) END AS confidence,
+        CASE WHEN len(tail) > 0 THEN 'fam:' || coalesce(nullif(category, ''), 'unknown') || ':' || array_to_string(list_concat([coalesce(names[1], 'product')], tail), '|') ELSE '' END AS opportunity_key, trim(regexp_replace(ident, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM k""",
 }
