@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """M1."""
+    """M1. Of null it is a limit, not null: greatest and least pass nulls over."""
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
@@ -114,8 +114,9 @@ def price_delta(price: Column, median: Column) -> Column:
 
 
 def price_factor(price: Column, median: Column) -> Column:
-    """M3."""
-    return F.coalesce(clamp(0.5 + 2.5 * price_delta(price, median)), F.lit(0.5))
+    """M3: neutral without a market."""
+    delta = price_delta(price, median)
+    return F.when(delta.isNull(), 0.5).otherwise(clamp(0.5 + 2.5 * delta))
 
 
 def ratio_factor(r: Column) -> Column:

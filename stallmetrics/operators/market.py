@@ -67,7 +67,7 @@ def market_profile(targets: DataFrame, listings: DataFrame, views: DataFrame, ca
     out = keys.join(own, ["category", "family_key"], "left")
     for other in (total, recent, before, prior(candidates, ago(days))):
         out = out.join(other, "family_key", "left")
-    ratio = F.when(F.col("demand_previous_median") > 0, clamp(F.col("demand_recent_median") / F.col("demand_previous_median"), 0.25, 4.0))
+    ratio = F.when((F.col("demand_previous_median") > 0) & F.col("demand_recent_median").isNotNull(), clamp(F.col("demand_recent_median") / F.col("demand_previous_median"), 0.25, 4.0))
     out = out.withColumn("demand_growth_ratio", ratio).na.fill(NEUTRAL)
     return out.select("category", "family_key", *PROFILE)
 

@@ -54,8 +54,14 @@ def _features(spark, sf):
     )
 
 
+_SCORED = "category_ratio peer_median peer_p85 peer_ratio family_rate vs_history demand_growth demand_supply repeatability anomaly_ratio velocity_percentile price_delta_pct".split()
+
+
 def opportunity_score(spark, sf):
-    return scoring.initial_scores(_features(spark, sf), _profiles(spark, sf))
+    found = scoring.initial_scores(_features(spark, sf), _profiles(spark, sf))
+    return found.select(
+        "external_id", "category", "peer_count", "saturation", "trend_evidence", "score", "confidence", "stage", "opportunity_type", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in _SCORED], *[f"predicted_{h}h_{x}" for h in (3, 6) for x in ("low", "high")]
+    )
 
 
 def shortlist(spark, sf):
@@ -228,3 +234,41 @@ SQL = {
     "ema_telemetry": "SELECT user_id, round(list_reduce(list(CAST(value AS DOUBLE) ORDER BY event_id), lambda a, x: a * 0.75 + x * 0.25), 6) AS ema FROM events GROUP BY 1",
     "cohort_keys": f"WITH {R.OFFERS} SELECT external_id, CASE WHEN l_linenumber < 4 AND quantity * 2 >= 70 THEN 'id:' || normal ELSE family_key END AS cohort_key FROM offers",
 }
+
+_RATIO = "least(1.0, greatest(0.0, (log2(greatest(0.05, {0})) + 1) / 3))"
+_GROWTH = "least(1.0, greatest(0.0, 0.5 + log2(least(5.0, greatest(0.2, CASE WHEN {0} <> 0 THEN {0} ELSE 1.0 END))) / 2))"
+_LOG = "CASE WHEN {0} > 0 THEN ln(least(5.0, greatest(0.2, {0}))) END"
+_AT = "CAST(round_even(views + vph * {h} * {k} * (1 {s} u), 0) AS INTEGER)"
+_Q = "quantile_cont(vph, 0.5) AS {0}50, quantile_cont(vph, 0.85) AS {0}85, quantile_cont(vph, 0.9) AS {0}90"
+
+SQL["opportunity_score"] = f"""WITH {R.OFFERS}, profile AS ({SQL["market_profile"]}),
+  f AS (SELECT external_id, category, price_eur, view_count AS views, CAST(ordinal % 1400 + 20 AS DOUBLE) AS age, CASE WHEN quantity > 45 THEN '' ELSE family_key END AS ck, view_count / greatest(0.25, CAST(ordinal % 1400 + 20 AS DOUBLE) / 60) AS vph FROM offers WHERE view_count IS NOT NULL),
+  mixed AS (SELECT category, quantile_cont(vph, 0.5) AS rate FROM f WHERE ck <> '' GROUP BY category, ck UNION ALL SELECT category, vph FROM f WHERE ck = ''),
+  few AS (SELECT category FROM mixed GROUP BY 1 HAVING count(*) < 2),
+  bal AS MATERIALIZED (SELECT * FROM mixed WHERE category NOT IN (SELECT category FROM few) UNION ALL SELECT category, vph FROM f WHERE category IN (SELECT category FROM few)),
+  base AS (SELECT category, greatest(0.25, quantile_cont(rate, 0.5)) AS cm, greatest(greatest(0.25, quantile_cont(rate, 0.5)), quantile_cont(rate, 0.75)) AS p75 FROM bal GROUP BY 1),
+  whole AS (SELECT category, count(*) AS size, {_Q.format("q")} FROM f GROUP BY 1),
+  coh AS (SELECT f.category, ck, count(*) AS peers, count(*) FILTER (WHERE vph >= p75) AS strong, {_Q.format("c")} FROM f JOIN base USING (category) WHERE ck <> '' GROUP BY 1, 2),
+  vr AS MATERIALIZED (SELECT v.category, v.vph, CASE WHEN count(*) <= 1 THEN 0.5 ELSE (count(*) FILTER (WHERE rate < v.vph) + 0.5 * count(*) FILTER (WHERE rate = v.vph)) / count(*) END AS velocity_percentile FROM (SELECT DISTINCT category, vph FROM f) v JOIN bal ON bal.category = v.category GROUP BY 1, 2),
+  a AS (SELECT f.*, velocity_percentile, size, cm, coalesce(peers, 0) AS peers, coalesce(strong, 0) AS strong, q50, q85, q90, c50, c85, c90, p.median, coalesce(p.count, 0) AS mc, coalesce(supply_percentile, 0) AS sp, coalesce(supply_growth_ratio, 1) AS sg, demand_recent_median AS rm, demand_previous_median AS pm,
+    coalesce(demand_recent_samples, 0) AS rs, coalesce(demand_previous_samples, 0) AS ps, coalesce(prior_signals, 0) AS signals, coalesce(prior_confirmed, 0) AS confirmed
+    FROM f JOIN base USING (category) JOIN whole USING (category) JOIN vr ON vr.category = f.category AND vr.vph = f.vph LEFT JOIN coh ON coh.category = f.category AND coh.ck = f.ck LEFT JOIN profile p ON p.family_key = f.ck),
+  b AS (SELECT *, CASE WHEN peers >= 3 THEN peers ELSE size END AS peer_count, CASE WHEN peers >= 3 THEN c50 ELSE q50 END AS peer_median, CASE WHEN peers >= 3 THEN c85 ELSE q85 END AS peer_p85, vph / cm AS category_ratio, CASE WHEN peers >= 2 THEN c50 ELSE vph END AS family_rate, rs + ps AS history,
+    CASE WHEN mc <= 0 THEN 0 ELSE CAST(round_even(100 * least(1.0, greatest(0.0, 0.86 * least(1.0, greatest(0.0, sp)) + 0.14 * least(1.0, greatest(0.0, CASE WHEN ck <> '' THEN peers / size ELSE 0.0 END / 0.25)))), 0) AS INTEGER) END AS saturation,
+    least(4.0, greatest(0.25, CASE WHEN sg <> 0 THEN sg ELSE 1.0 END)) AS supply, CASE WHEN peers > 0 THEN 0.65 * strong / peers + 0.35 * least(1.0, greatest(0.0, (peers - 1) / 4.0)) ELSE 0.28 END AS now FROM a),
+  c AS (SELECT *, CASE WHEN peers >= 3 THEN vph / greatest(0.25, peer_median) ELSE category_ratio END AS peer_ratio, CASE WHEN rm > 0 AND rs >= 2 THEN family_rate / greatest(0.25, rm) END AS vs_history, CASE WHEN rm IS NOT NULL AND pm > 0 AND history >= 4 THEN rm / greatest(0.25, pm) END AS grown FROM b),
+  d AS (SELECT *, {_LOG.format("vs_history")} AS l1, {_LOG.format("grown")} AS l2 FROM c),
+  e AS (SELECT *, l1 IS NOT NULL OR l2 IS NOT NULL AS trend_evidence, CASE WHEN l1 IS NOT NULL OR l2 IS NOT NULL THEN least(5.0, greatest(0.2, exp((coalesce(l1, 0) + coalesce(l2, 0)) / (CAST(l1 IS NOT NULL AS INTEGER) + CAST(l2 IS NOT NULL AS INTEGER))))) ELSE 1.0 END AS demand_growth,
+    least(1.0, greatest(0.0, CASE WHEN signals > 0 THEN 0.65 * now + 0.35 * confirmed / signals ELSE now END)) AS repeatability, greatest(category_ratio, coalesce(vs_history, 0.0)) AS anomaly_ratio, CASE WHEN median > 0 THEN (median - price_eur) / median END AS pd FROM d),
+  g AS (SELECT *, CASE WHEN trend_evidence THEN least(4.0, greatest(0.25, demand_growth / greatest(0.5, supply))) ELSE 1.0 END AS demand_supply,
+    CASE WHEN vs_history IS NOT NULL THEN 0.42 * {_RATIO.format("category_ratio")} + 0.18 * {_RATIO.format("peer_ratio")} + 0.40 * {_GROWTH.format("vs_history")} ELSE 0.72 * {_RATIO.format("category_ratio")} + 0.28 * {_RATIO.format("peer_ratio")} END AS anomaly FROM e),
+  h AS (SELECT *, 34.0 * (0.68 * velocity_percentile + 0.32 * (0.72 * least(1.0, greatest(0.0, ln(1 + greatest(0.0, vph)) / ln(31.0))) + 0.28 * least(1.0, greatest(0.0, ln(1 + greatest(0.0, CAST(views AS DOUBLE))) / ln(121.0))))) + 26.0 * anomaly
+      + 16.0 * CASE WHEN trend_evidence THEN {_GROWTH.format("demand_growth")} ELSE 0.5 END + 12.0 * CASE WHEN trend_evidence THEN {_GROWTH.format("demand_supply")} ELSE 0.5 END + 8.0 * repeatability + 3.0 * least(1.0, greatest(0.0, 1 - age / (24.0 * 60))) + 1.0 * CASE WHEN pd IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, 0.5 + 2.5 * pd)) END AS raw,
+    34.0 + least(18.0, greatest(0, peers - 1) * 2.5) + least(18.0, sqrt(CASE WHEN mc > 0 THEN mc ELSE peers END) * 2.6) + least(14.0, history * 1.4) + least(8.0, signals * 1.2) + CASE WHEN ck <> '' THEN 3.0 ELSE 0.0 END AS evidence FROM g),
+  i AS (SELECT *, CAST(round_even(least(100.0, greatest(0.0, raw)), 0) AS INTEGER) AS score, CAST(round_even(least(97.0, greatest(22.0, evidence)), 0) AS INTEGER) AS confidence, greatest(demand_growth, demand_supply) AS moves FROM h),
+  j AS (SELECT *, least(0.38, greatest(0.16, 0.44 - 0.0027 * confidence)) AS u FROM i),
+  k AS (SELECT *, greatest(views, {_AT.format(h=3, k=0.92, s="-")}) AS predicted_3h_low, greatest(views, {_AT.format(h=6, k=0.84, s="-")}) AS predicted_6h_low FROM j)
+  SELECT external_id, category, CAST(peer_count AS INTEGER) AS peer_count, saturation, trend_evidence, score, confidence, CASE WHEN score >= 90 THEN 'early_winner' WHEN score >= 80 THEN 'rising' ELSE 'watch' END AS stage,
+    CASE WHEN score >= 80 AND saturation >= 65 AND trend_evidence AND moves >= 1.18 THEN 'hot_product' WHEN score >= 80 AND saturation <= 45 AND anomaly_ratio >= 1.45 AND repeatability >= 0.42 THEN 'hidden_gem' WHEN score >= 80 AND trend_evidence AND demand_supply >= 1.12 AND moves >= 1.18 THEN 'emerging'
+      WHEN saturation >= 70 AND (NOT trend_evidence OR moves < 1.12) THEN 'saturated' ELSE 'spark' END AS opportunity_type, {", ".join(f"round({'100 * pd' if c == 'price_delta_pct' else c} + 1e-9, 6) AS {c}" for c in _SCORED)},
+    predicted_3h_low, greatest(predicted_3h_low, {_AT.format(h=3, k=0.92, s="+")}) AS predicted_3h_high, predicted_6h_low, greatest(predicted_6h_low, {_AT.format(h=6, k=0.84, s="+")}) AS predicted_6h_high FROM k"""
