@@ -139,11 +139,3 @@ def fresh(rows: DataFrame, max_age_hours: int = 24) -> DataFrame:
 def page_trusted(verified: Column, matches: Column, suspicious: Column, items: Column, dated: Column, coverage: Column) -> Column:
     """a verified page whose dates can be relied on."""
     return verified & matches & ~suspicious & ((items == 0) | (dated >= 2) | (coverage >= 0.20))
-
-
-def selection(chosen: list[str], limit: int = 2) -> list[str]:
-    """an order-preserving distinct of what was chosen; more than the limit is an error."""
-    out = list(dict.fromkeys(chosen))
-    if len(out) > limit:
-        raise ValueError(f"at most {limit} can be chosen")
-    return out

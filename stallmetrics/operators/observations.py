@@ -96,12 +96,6 @@ def accepted_measurements(current: DataFrame, measured: DataFrame) -> DataFrame:
     return both.withColumn("known_at", known).filter(F.col("known_at").isNull() | (F.col("measured_at") >= F.col("known_at"))).drop("views_checked_at")
 
 
-def kept_after(rows: DataFrame, at: str, as_of: Column, hours: int, terminal: Column | None = None) -> DataFrame:
-    """K5: rows that a clean-up leaves: young enough, or not in a terminal state."""
-    old = F.col(at) < as_of - F.expr(f"INTERVAL {hours} HOURS")
-    return rows.filter(~old if terminal is None else ~(old & terminal))
-
-
 def outbox(before: DataFrame, after: DataFrame) -> DataFrame:
     """K8: an event for each candidate whose outcome or stage has just become one that is told."""
     joined = after.join(before.select("candidate_id", F.col("outcome").alias("was"), F.col("stage").alias("stage_was")), "candidate_id", "left")

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import timeparse
 from ..operators import admin, categories, checkpoints, chronology, filters, observations, touches
 from ..shared import numbered
+from ..streaming import measurements
 from . import relations as R
 from .operations import _ITEMS, _PROFILE, _TARGET, _USERS, _page_items, _users
 from .operations import _T as _T
@@ -192,6 +194,18 @@ def fresh_offers(spark, sf):
     return filters.fresh(o).select("external_id")
 
 
+def time_values(spark, sf):
+    """A summer night on which Berlin's and Moscow's day has begun and UTC's hasn't."""
+    now = F.lit("2024-07-10 22:30:00").cast("timestamp")
+    e = R.table(spark, sf, "events").select("event_id", _c("ts").cast("timestamp").alias("at"))
+    said = F.when(_c("event_id") % 2 == 0, F.concat(F.lit("heute , "), F.date_format("at", "H:mm"))).otherwise("Gestern, 10:00")
+    seen = F.when(_c("event_id") % 7 != 0, _c("at"))
+    late = measurements.is_missed(_c("at"), _c("at") + F.make_dt_interval(mins=_c("event_id") % 180))
+    young = _c("at") >= timeparse.cutoff("6h", F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    ntz = timeparse.sort_moment(said, seen, now).cast("timestamp_ntz")
+    return e.filter("at IS NOT NULL").select("event_id", ntz.alias("moment"), timeparse.age_days(F.to_date("at"), now).alias("age_days"), late.alias("missed"), young.alias("young"))
+
+
 def category_counts(spark, sf):
     closed = categories.closure(_dimension(spark, sf))
     top = categories.roots(closed).withColumnRenamed("key", "category")
@@ -226,7 +240,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         accepted_touches, refined_boundary, live_checkpoints, cleaned_up, failed_checkpoints, marked_notices, job_leftovers, decoded_pages, decoded_probes, encoded_results, page_gates, queue_positions, active_scans, running_counters, shadow_starts,
-        due_observations, network_candidates, outbox_events, counters_never_fall, requested_views, payment_states, fresh_offers, category_counts, chosen_categories,
+        due_observations, network_candidates, outbox_events, counters_never_fall, requested_views, payment_states, fresh_offers, time_values, category_counts, chosen_categories,
     )
 }
 
@@ -295,6 +309,8 @@ SQL = {
     "payment_states": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'paid' WHEN o_orderkey % 4 = 0 THEN 'paid' WHEN o_orderkey % 4 = 1 THEN 'failed' WHEN o_orderkey % 4 = 2 OR TIMESTAMP '1995-01-01' > o_orderdate + INTERVAL 15 MINUTE THEN 'expired' ELSE 'pending' END AS state,
       CASE WHEN round_even(o_totalprice - 1000, 2) > 0 AND round_even(o_totalprice - 1000, 2) <= 100000 THEN round_even(o_totalprice - 1000, 2) END AS price FROM orders""",
     "fresh_offers": f"WITH {R.OFFERS} SELECT external_id FROM offers WHERE view_count IS NOT NULL AND ordinal % 3000 BETWEEN 5 AND 1440",
+    "time_values": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-07-10 22:00:00' + to_hours(hour(ts)) + to_minutes(minute(ts)) WHEN event_id % 7 <> 0 THEN ts ELSE TIMESTAMP '2024-07-10 22:30:00' END AS moment,
+      CAST(greatest(0, least(4, DATE '2024-07-11' - CAST(ts AS DATE))) AS INTEGER) AS age_days, event_id % 180 > 90 AS missed, ts >= TIMESTAMP '2024-01-19 18:00:00' AS young FROM events WHERE ts IS NOT NULL""",
     "category_counts": f"""WITH RECURSIVE {R.OFFERS}, w AS (SELECT DISTINCT [p_type, p_brand, string_split(p_name, ' ')[1]] AS w FROM part),
       dim AS (SELECT w[1] AS key, NULL AS parent FROM w UNION SELECT w[1] || '/' || w[2], w[1] FROM w UNION SELECT array_to_string(w, '/'), w[1] || '/' || w[2] FROM w),
       up AS (SELECT key, key AS above FROM dim UNION ALL SELECT up.key, dim.parent FROM up JOIN dim ON dim.key = up.above WHERE dim.parent IS NOT NULL)

@@ -87,3 +87,9 @@ def run_windows(aggregated: DataFrame, key: list[str], base: str | None = None)
         return old.join(changed, same, "left_anti").select(*batch.columns).unionByName(batch)
 
     return _run(aggregated, merge, "update", base)
+
+
+def run_once(stream: DataFrame, key: list[str], at: str, late: str = LATE, base: str | None = None) -> DataFrame:
+    """The rows that once() lets through, as a table that grows by each batch's."""
+    base = base or f"{shared_dir(stream.sparkSession)}/once-{uuid.uuid4().hex}"
+    return _run(once(stream, key, at, late), lambda old, batch: batch if old is None else old.unionByName(batch), "append", base)
