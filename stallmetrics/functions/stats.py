@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """M1. Of null it is a limit, not null: greatest and least pass nulls over."""
@@ -63,6 +65,7 @@ def leave_one_out_median(df: DataFrame, value: str, by: list[str], out: str) ->
     # Distinct values with their counts take the places start to end; a hot partition has as many rows as it has values.
     up = Window.partitionBy(*by).orderBy(value)
     values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_end", F.sum("_c").over(up))
+    values = stored(values, "values")  # read three times
     n = values.groupBy(*by).agg(F.sum("_c").alias("_n"))
     near = values.join(n, by).filter((F.col("_end") - F.col("_c") + 1 <= F.col("_n") / 2 + 2) & (F.col("_end") >= F.col("_n") / 2 - 1))
     middle = near.groupBy(*by, "_n").agg(F.sort_array(F.collect_list(F.struct("_end", F.col(value).cast("double").alias("_v")))).alias("_at"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import half_even, int_median, leave_one_out_median
 from ..functions.timeparse import micros, minutes_between
+from ..shared import newest
 
 
 def frequent(rows: DataFrame, least: int = 3) -> DataFrame:
     """Q3: families with enough distinct ads: counts, prices, the newest example. An id that comes again counts with its last row."""
-    one = rows.filter("family_key <> ''").groupBy("category", "family_key", "external_id").agg(F.max_by(F.struct("*"), "ordinal").alias("_row")).select("_row.*")
+    one = newest(rows.filter("family_key <> ''"), ["category", "family_key", "external_id"], [F.desc_nulls_last("ordinal")])
     price = F.when(F.col("price_eur") > 0, F.col("price_eur"))
     found = one.groupBy("category", "family_key").agg(
         F.count(F.lit(1)).alias("n"),

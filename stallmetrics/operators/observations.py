@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import newest
+
 HOURS = (1, 3, 6)
 LATE_MINUTES, REUSE_MINUTES, RETRY_MINUTES, MOST_ATTEMPTS = 90, 15, 15, 3
 
@@ -80,7 +82,7 @@ def recovered(rows: DataFrame, as_of: Column, minutes: int = 20) -> DataFrame:
 
 def latest(rows: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
     """The last version of each key; a union of old and new rows upserts."""
-    return rows.groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(at, tie)).alias("_row")).select("_row.*")
+    return newest(rows, key, [F.desc_nulls_last(at), F.desc_nulls_last(tie)])
 
 
 def monotone_counters(rows: DataFrame, key: list[str], counters: list[str]) -> DataFrame:

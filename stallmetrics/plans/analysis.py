@@ -16,16 +16,17 @@ def _listings(spark, sf):
     return R.offers(spark, sf).withColumn("first_seen_at", F.col("posted_at").cast("timestamp"))
 
 
-def _candidates(spark, sf):
-    o = R.offers(spark, sf)
+def _candidates(spark, sf, o=None):
+    o = R.offers(spark, sf) if o is None else o
     outcome = F.when(F.col("price_eur") % 3 == 0, "confirmed").when(F.col("price_eur") % 3 == 1, "rejected").otherwise("pending")
     return o.select(F.col("family_key").alias("cohort_key"), F.col("posted_at").cast("timestamp").alias("created_at"), F.col("is_promoted").alias("is_control"), (F.col("price_eur") % 100).alias("current_score"), outcome.alias("outcome"), "external_id", "category")
 
 
 def _profiles(spark, sf):
-    listings = stored(_listings(spark, sf), "listings")
-    views = R.views(spark, sf).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
-    return market.market_profile(listings.select("category", "family_key").distinct(), listings, views, _candidates(spark, sf), R.as_of(), _DAYS, _WINDOW)
+    o = stored(R.offers(spark, sf), "offers")
+    listings = o.withColumn("first_seen_at", F.col("posted_at").cast("timestamp"))
+    views = R.views(spark, sf, o).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    return market.market_profile(listings.select("category", "family_key").distinct(), listings, views, _candidates(spark, sf, o), R.as_of(), _DAYS, _WINDOW)
 
 
 def supply_profile(spark, sf):

@@ -59,10 +59,10 @@ HISTORY = """history AS (SELECT CAST(l_partkey AS VARCHAR) AS external_id, CAST(
   FROM lineitem GROUP BY l_partkey, l_shipdate)"""
 
 
-def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three view counts of each ad, eight hours apart; those of every fifth line fall."""
+def views(spark: SparkSession, sf_dir: str, ads: DataFrame | None = None) -> DataFrame:
+    """Three view counts of each ad, eight hours apart; those of every fifth line fall. ads: offers(), where they are at hand."""
     step = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
-    o = offers(spark, sf_dir).select("external_id", "posted_at", "quantity", "l_linenumber", step)
+    o = (offers(spark, sf_dir) if ads is None else ads).select("external_id", "posted_at", "quantity", "l_linenumber", step)
     count = F.when(F.col("l_linenumber") == 5, 100 - F.col("k")).otherwise(F.col("quantity") * F.col("k") + F.col("l_linenumber"))
     return o.select("external_id", F.col("k").cast("long").alias("id"), count.cast("int").alias("view_count"), (F.col("posted_at") + F.make_dt_interval(hours=F.col("k") * 8)).alias("recorded_at"))
 

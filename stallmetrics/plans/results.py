@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, modes
+from ..shared import stored
 from . import relations as R
 
 _SETTINGS = filters.Settings(price_filter="custom:200:1500", min_views=20, clean_noise=True, include_words="widget, bolt", exclude_words="brand 4")
@@ -33,7 +34,7 @@ def frequent_families(spark, sf):
 
 
 def below_market(spark, sf):
-    return modes.below_market(R.offers(spark, sf)).select("external_id", "category", "family_key", "price_eur", "median_price", "discount_pct", "samples")
+    return modes.below_market(stored(R.offers(spark, sf), "offers")).select("external_id", "category", "family_key", "price_eur", "median_price", "discount_pct", "samples")
 
 
 def fast_disappearing(spark, sf):

@@ -41,3 +41,9 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     offsets = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
     found = placed.join(F.broadcast(offsets), F.shiftright(at, 33) == F.col(part))
     return found.withColumn(name, F.col(before) + F.col(at) - F.shiftleft(part, 33) + 1).drop(at, part, before)
+
+
+def newest(rows: DataFrame, key: list, order: list) -> DataFrame:
+    """Of each key the first row in the order. Each task keeps one row of a key before the shuffle."""
+    place = f"_n{uuid.uuid4().hex}"
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(place) == 1).drop(place)

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import newest as first_of
 from ..shared import shared_dir
 
 LATE = "90 minutes"
@@ -37,7 +38,7 @@ def windowed(stream: DataFrame, at: str, by: list[str], value: str, width: str,
 def newest(old: DataFrame | None, batch: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
     """The newest row of each key of both; an older measurement never overwrites a newer one, whenever it comes."""
     both = batch if old is None else old.unionByName(batch)
-    return both.groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(at, tie)).alias("_row")).select("_row.*")
+    return first_of(both, key, [F.desc_nulls_last(at), F.desc_nulls_last(tie)])
 
 
 def _version(spark: SparkSession, base: str) -> int | None:
