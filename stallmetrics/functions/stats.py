@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import stored
+from ..shared import numbered, stored
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -82,20 +82,20 @@ BLOCK = 4096
 
 
 def ema(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out: str) -> DataFrame:
-    """The last exponential moving average of each series; its first value seeds it. order: a column of whole numbers.
+    """The last exponential moving average of each series; its first value seeds it. order: any column; equal ones go by value.
 
-    A step is the map x -> (1 - alpha) x + alpha value, and such maps compose. So ranges of the order, then ranges of
-    those, are each folded to one map; a key's rows never stand in one list. Applied to the first value, the first
-    step changes nothing.
+    A step is the map x -> (1 - alpha) x + alpha value, and such maps compose. So runs of BLOCK places in the order, then
+    runs of those, are each folded to one map; a key's rows never stand in one list, however far apart its order's values
+    are. Applied to the first value, the first step changes nothing.
     """
     one = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
 
     def folded(maps: Column) -> Column:
         return F.aggregate(F.array_sort(maps), one, lambda a, x: F.struct((a["w"] * x["w"]).alias("w"), (a["s"] * x["w"] + x["s"]).alias("s")))
 
-    step = F.struct(F.col(order).cast("long").alias("at"), F.lit(1 - alpha).alias("w"), (F.col(value).cast("double") * alpha).alias("s"))
-    first = F.struct(F.col(order).cast("long").alias("at"), F.col(value).cast("double").alias("v"))
-    level = df.select(*by, F.col(order).cast("long").alias("_at"), step.alias("_map"), first.alias("_first"))
+    rows = numbered(df.select(*by, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v")), [*by, "_o", "_v"], "_at")
+    step = F.struct(F.col("_at").alias("at"), F.lit(1 - alpha).alias("w"), (F.col("_v") * alpha).alias("s"))
+    level = rows.select(*by, "_at", step.alias("_map"), F.struct(F.col("_at").alias("at"), F.col("_v").alias("v")).alias("_first"))
     for _ in range(2):
         level = level.groupBy(*by, F.floor(F.col("_at") / BLOCK).alias("_at")).agg(folded(F.collect_list("_map")).alias("_m"), F.array_min(F.collect_list("_first")).alias("_first"))
         level = level.select(*by, "_at", F.struct(F.col("_at").alias("at"), "_m.w", "_m.s").alias("_map"), "_first")

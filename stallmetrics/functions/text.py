@@ -217,6 +217,7 @@ def slug(fold: Column) -> Column:
 
 # Values in texts and addresses
 
+# How prices and addresses are written.
 PRICE = r"(?i)(?<!\d)(\d{1,3}(?:\.\d{3})*|\d+)\s*€"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BERLIN, MOSCOW = "Europe/Berlin", "Europe/Moscow"
+# How dates and times are written.
 _ISO = r"\b(\d{4})-(\d{2})-(\d{2})(?:[T\s](\d{2}):(\d{2})(?::(\d{2}))?(Z|[+-]\d{2}:?\d{2})?)?"
 _DATE = r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})(?:,?\s*(\d{1,2}):(\d{2}))?\b"
 _CLOCK = r"\b(\d{1,2}):(\d{2})\b"

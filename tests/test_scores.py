@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stallmetrics.functions import stats
 from stallmetrics.operators import market, observations, scoring
 
 _PROFILE = "family_key string, count long, median double, supply_percentile double, recent_count long, previous_count long, supply_growth_ratio double, demand_recent_median double, demand_previous_median double, demand_growth_ratio double, demand_recent_samples long, demand_previous_samples long, prior_signals long, prior_confirmed long"
@@ -50,3 +51,13 @@ def test_retried_attempts(spark):
     rows = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00"), (2, 3, "2024-01-01 00:00:00")], "id int, attempts int, due string").withColumn("due_at", F.col("due").cast("timestamp"))
     at = F.lit("2024-01-02 00:00:00").cast("timestamp")
     assert [(r.status, str(r.due_at)) for r in observations.retried(rows, at).orderBy("id").collect()] == [("pending", "2024-01-02 00:15:00"), ("error", "2024-01-01 00:00:00")]
+
+
+def test_moving_average_of_times_far_apart(spark):
+    """The order's values are microseconds of days; runs are of places, not of values."""
+    rows = [("a", 86_400_000_000 * i, float(i % 7)) for i in range(9000)] + [("b", 5, 3.0), (None, 1, 2.0), (None, 2, 4.0)]
+    want = {}
+    for k, _, v in rows:
+        want[k] = v if k not in want else 0.75 * want[k] + 0.25 * v
+    found = stats.ema(spark.createDataFrame(rows, "k string, at long, v double").repartition(5), ["k"], "at", "v", 0.25, "e")
+    assert {r.k: round(r.e, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items()}
