@@ -130,7 +130,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted_chars (code points), turns: what the parser reads from column formatted."""
+    """conv_id, formatted_chars (code points), turns: those recovered from column formatted."""
     return formatted.select("conv_id", "formatted").mapInArrow(_parsed, _PARSED)
 
 
