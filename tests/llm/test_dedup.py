@@ -164,6 +164,27 @@ def test_recall_of_similar_texts_at_the_limit(spark):
     assert len(far) == 100 and set(far) <= stay and {2 * i for i in range(300)} <= stay
 
 
+def test_copies_that_are_only_alike_to_their_original(spark):
+    """Each copy shares 0.82 to 0.9 with the original, and less than 0.8 with most other copies: its link to the original has to be found."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+    rows, n = [(0, " ".join(words))], 200
+    for i in range(1, n + 1):
+        other, run = list(words), rng.randrange(16, 34)
+        at = rng.randrange(5, 390 - run)
+        other[at : at + run] = [f"x{rng.randrange(10**6)}" for _ in range(run)]
+        rows.append((i, " ".join(other)))
+    sets = [brute_set(t) for _, t in rows]
+    assert all(0.8 <= len(sets[0] & s) / len(sets[0] | s) < 0.91 for s in sets[1:])
+    fps = np.array([[int.from_bytes(x.to_bytes(16, "big")[a : a + 8], "little") for a in (0, 8)] for x in (brute_wide(t) for _, t in rows)], np.uint64)
+    order = rng.sample(range(n + 1), n + 1)
+    edges = [(order[x], order[y]) for x, y in similar_texts._forest(fps[order], 26)]
+    good = {x for e in edges for x in e if len(sets[e[0]] & sets[e[1]]) >= 0.8 * len(sets[e[0]] | sets[e[1]])}
+    assert len(good) >= 0.95 * n
+    stay = [r.doc_id for r in similar_texts.one_of_each(spark.createDataFrame(rows, KEY)).collect()]
+    assert 0 in stay and len(stay) <= 1 + 0.05 * n
+
+
 def brute_removal(rows, window):
     docs = [WORD.findall(t or "") for _, t in rows]
     count = Counter(tuple(w[i : i + window]) for w in docs for i in range(len(w) - window + 1))
