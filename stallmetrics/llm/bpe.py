@@ -33,7 +33,7 @@ from .words import strings
 #: Texts that are encoded at once.
 ROWS = 1024
 #: Units in one generation of a worker's cache, and pieces whose ids it keeps besides.
-CACHE, PIECES = 300_000, 150_000
+CACHE, PIECES = 200_000, 100_000
 _NONE = 1 << 62
 # Characters that `regex` has as letters or numbers and tiktoken, whose Unicode is older, does not.
 _NEWER = regex.compile(
