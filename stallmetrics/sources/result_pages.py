@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,11 @@ from .dom import Element, texts, tree
 
 _STRETCH = "struct<tag: string, names: string, inside: boolean, testid: string, label: string, title: string, dates: array<string>, moment: string, text: string, own: boolean>"
 CARDS = f"text string, cards array<struct<url: string, title: string, promoted: boolean, text: string, stretches: array<{_STRETCH}>>>, links array<struct<href: string, url: string, around: string>>"
+_TEXT, _FLAG = pa.string(), pa.bool_()
+_STRETCHES = pa.list_(pa.struct([("tag", _TEXT), ("names", _TEXT), ("inside", _FLAG), ("testid", _TEXT), ("label", _TEXT), ("title", _TEXT), ("dates", pa.list_(_TEXT)), ("moment", _TEXT), ("text", _TEXT), ("own", _FLAG)]))
+#: CARDS in Arrow.
+_CARDS = pa.struct([("text", _TEXT), ("cards", pa.list_(pa.struct([("url", _TEXT), ("title", _TEXT), ("promoted", _FLAG), ("text", _TEXT), ("stretches", _STRETCHES)]))), ("links", pa.list_(pa.struct([("href", _TEXT), ("url", _TEXT), ("around", _TEXT)])))])
+_HOST, _PATH, _FEED = re.compile(r"https?://[a-z0-9.-]+"), re.compile(r"(?:/[A-Za-z0-9_-]+)+"), re.compile(r"c\d+l\d+")
 
 # The site's markup. Where a card has its date and its price, the surest place first: what is looked at, a whole word of it or a part, and its value.
 DATE_PLACES = (
@@ -35,6 +40,8 @@ DATES = (r"(?iU)\bHeute(?:,?\s*\d{1,2}:\d{2})?\b", r"(?iU)\bGestern(?:,?\s*\d{1,
 PRICE = r"(?<!\d)(?:\d{1,3}(?:\.\d{3})*|\d+)\s*€(?:\s*(?:VB|Festpreis))?"
 #: Texts of dates and prices are short: characters of a stretch that is read at all (None: any), of a date that stands alone, of a price; elements that are looked through for a date that stands alone (None: all).
 LONGEST, ALONE, PRICE_CHARS, LOOKED_AT = 400, 48, 90, 80
+#: Pages whose rows are in Python at once.
+SLICE = 256
 #: Feeds of other places that are given (None: all): those with counts, and where none has one.
 FEEDS, PLAIN_FEEDS = 120, 40
 FEATURES = "bumpup bump-up topad top-ad highlight gallery galerie promoted sponsored".split()
@@ -98,53 +105,68 @@ def promoted(card: Element, text: dict[Element, str | None]) -> bool:
     if any(PROMOTED_CLASS.match(c) for c in wrapper.classes):
         return True
     for e in wrapper.below():
-        if any(PROMOTED_CLASS.match(c) for c in e.classes) or any(PROMOTED_VALUE.search(e.attrs.get(a, "").strip()) for a in ("id", "data-testid", "aria-label", "title")):
-            return True
-        small = e.tag in ("span", "small", "label") or any("badge" in c.lower() for c in e.classes)
+        small = e.tag in ("span", "small", "label")
+        if e.attrs:
+            classes = e.classes
+            if any(PROMOTED_CLASS.match(c) for c in classes) or any(PROMOTED_VALUE.search(e.attrs[a].strip()) for a in ("id", "data-testid", "aria-label", "title") if a in e.attrs):
+                return True
+            small = small or any("badge" in c.lower() for c in classes)
         if small and (said := text[e] if e in text else e.text()) is not None and len(said) <= 24 and PROMOTED_LABEL.fullmatch(said):
             return True
     return False
 
 
-def _stretch(e: Element, text: dict[Element, str | None], inside: bool) -> dict:
+def _stretch(e: Element, text: dict[Element, str | None], inside: bool) -> tuple:
+    """The values of _STRETCH."""
     a = e.attrs
     said = text[e]
     own = said is not None and all(text[c] in ("", said) for c in e.children if isinstance(c, Element))
-    return {
-        "tag": e.tag, "names": " ".join(a.get("class", "").split()), "inside": inside and "price" in a.get("class", ""), "testid": a.get("data-testid", ""), "label": a.get("aria-label", ""), "title": a.get("title", ""),
-        "dates": [" ".join(a[k].split()) for k in DATE_ATTRIBUTES if a.get(k)], "moment": a.get("datetime", ""), "text": said, "own": own,
-    }
+    if not a:
+        return e.tag, "", False, "", "", "", (), "", said, own
+    dates = [" ".join(a[k].split()) for k in DATE_ATTRIBUTES if a.get(k)]
+    return e.tag, " ".join(a.get("class", "").split()), inside and "price" in a.get("class", ""), a.get("data-testid", ""), a.get("aria-label", ""), a.get("title", ""), dates, a.get("datetime", ""), said, own
+
+
+def _joined(base: str, href: str) -> str:
+    """urljoin(); a plain path on a bare host is only put behind it."""
+    return base + href if _HOST.fullmatch(base) and _PATH.fullmatch(href) else urljoin(base, href)
 
 
-def _card(card: Element, base: str, longest: int | None) -> dict:
+def _card(card: Element, base: str, longest: int | None) -> tuple:
     text = texts(card, longest)
     inside = {card: any("price-shipping" in up.attrs.get("class", "") for up in card.above())}
     link = title = None
     stretches = []
     for e in card.below():
-        inside[e] = inside[e.parent] or "price-shipping" in e.attrs.get("class", "")
-        stretches.append(_stretch(e, text, inside[e.parent]))
+        around, names = inside[e.parent], e.attrs.get("class", "")
+        inside[e] = around or "price-shipping" in names
+        stretches.append(_stretch(e, text, around))
         if link is None and e.tag == "a" and "/s-anzeige/" in e.attrs.get("href", ""):
             link = e
-        if title is None and (e.tag == "h2" or "ellipsis" in e.classes or "title" in e.attrs.get("class", "")):
+        if title is None and (e.tag == "h2" or "title" in names or "ellipsis" in e.classes):
             title = e
     named = title or link
-    return {"url": urljoin(base, link.attrs["href"]) if link else None, "title": named.text() if named else None, "promoted": promoted(card, text), "text": card.text(), "stretches": stretches}
+    return _joined(base, link.attrs["href"]) if link else None, named.text() if named else None, promoted(card, text), text[card], stretches
 
 
-def _read(html: str | None, base: str, longest: int | None) -> dict:
+def _read(html: str | None, base: str, longest: int | None) -> tuple:
     page = tree(html or "")
-    cards = [_card(e, base, longest) for e in page.below() if e.tag == "article" or "ad-listitem" in e.classes]
-    links = [{"href": e.attrs["href"], "url": urljoin(base, e.attrs["href"]), "around": e.parent.text() if e.parent else e.text()} for e in page.below() if e.tag == "a" and re.search(r"c\d+l\d+", e.attrs.get("href", ""))]
-    return {"text": page.text(), "cards": cards, "links": links}
+    cards, links = [], []
+    for e in page.below():
+        if e.tag == "article" or "ad-listitem" in e.classes:
+            cards.append(_card(e, base, longest))
+        if e.tag == "a" and (href := e.attrs.get("href")) and _FEED.search(href):
+            links.append((href, _joined(base, href), e.parent.text() if e.parent else e.text()))
+    return page.text(), cards, links
 
 
 def read_cards(html: Column, base: str, longest: int | None = LONGEST) -> Column:
     """Struct CARDS of each page. longest: characters of a stretch's text, or None."""
 
-    @F.pandas_udf(CARDS)
-    def read(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_read(h, base, longest) for h in pages], columns=["text", "cards", "links"])
+    @F.arrow_udf(CARDS)
+    def read(pages: pa.Array) -> pa.Array:
+        # In slices, as the rows of a page take more memory here than in Arrow.
+        return pa.concat_arrays([pa.array([_read(h.as_py(), base, longest) for h in pages.slice(i, SLICE)], _CARDS) for i in range(0, max(1, len(pages)), SLICE)])
 
     return read(html)
 
@@ -215,4 +237,5 @@ def pages(captured: DataFrame, base: str, host: str, longest: int | None = LONGE
 
 def items(read: DataFrame, *keys: str) -> DataFrame:
     """S3: one row for each item of pages()."""
-    return read.select(*keys, F.posexplode("info.items").alias("ordinal", "item")).select(*keys, "ordinal", "item.*")
+    # Outer: else Spark infers a filter on the number of items and computes all that they are made of once more for it.
+    return read.select(*keys, F.posexplode_outer("info.items").alias("ordinal", "item")).filter("ordinal IS NOT NULL").select(*keys, "ordinal", "item.*")

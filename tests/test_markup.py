@@ -62,3 +62,8 @@ def test_time_grows_with_length(piece):
     tree(page)
     Log(page[:300_000])
     assert time.perf_counter() - began < 8
+
+
+def test_usual_tags_are_read_as_any_other():
+    usual = '<div class="a &amp; b" CLASS="no" data-x=""><p id="y">z</p\n></div>'
+    assert Log(usual).seen == Log(usual.replace('"', "'")).seen == [("div", {"class": "a & b", "data-x": ""}), ("p", {"id": "y"}), ("text", "z"), "/p", "/div"]

@@ -52,6 +52,21 @@ def test_items(read):
     assert [x.external_id for x in copies["items"]] == ["2000001"] and copies["duplicate_cards"] == 1 and copies["raw_candidates"] == 4
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_are_computed_once(spark):
+    df = spark.createDataFrame([(1, "", 1, FEED)], "k int, html string, requested_page int, final_url string")
+    plan = _plan(rp.items(rp.pages(df, BASE, HOST), "k"))
+    assert "size(" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_joined_is_urljoin():
+    for href in ("/s-anzeige/x/1-79-1", "//a/b", "/a/../b", "?x=1", "/a?", "/a#", "x", "", "/", "/a b", "/a\n", "https://o.example/a", "/a//b"):
+        assert rp._joined(BASE, href) == rp.urljoin(BASE, href) and rp._joined(f"{BASE}/", href) == rp.urljoin(f"{BASE}/", href)
+
+
 def test_page_identity(read):
     def of(n):
         i = read[n]
