@@ -67,6 +67,12 @@ def test_joined_is_urljoin():
         assert rp._joined(BASE, href) == rp.urljoin(BASE, href) and rp._joined(f"{BASE}/", href) == rp.urljoin(f"{BASE}/", href)
 
 
+def test_allowed_addresses_with_and_without_parsing(spark):
+    urls = [f"{BASE}/a/1-2", "https://market.example", "https://market.example/a b", "https://market.example\n", "https://evilmarket.example/", "https://market.example.evil/x", "http://market.example/", "https://a@market.example/", "https://-a.market.example/", f"{BASE}/ä?x", None]
+    found = spark.createDataFrame([(u,) for u in urls], "u string").select(rp.X.allowed_url(F.col("u"), HOST)).collect()
+    assert [r[0] for r in found] == [True, True, False, False, False, False, False, True, False, True, False]
+
+
 def test_page_identity(read):
     def of(n):
         i = read[n]
