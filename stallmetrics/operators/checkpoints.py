@@ -5,6 +5,8 @@ Payloads are read as VARIANT, field by field, each with its default; what is no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,9 +70,14 @@ def encoded(info: Column) -> Column:
     return F.to_json(info, {"ignoreNullFields": "false"})
 
 
-def _object(raw: Column) -> Column:
-    v = F.try_parse_json(raw)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+def _once(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x), for which x is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
+def _object(raw: Column, of: Callable[[Column], Column]) -> Column:
+    """of the payload as VARIANT, parsed once."""
+    return _once(F.try_parse_json(raw), lambda v: _once(F.when(F.schema_of_variant(v).startswith("OBJECT"), v), of))
 
 
 def _get(v: Column, field: str, kind: str) -> Column:
@@ -79,49 +86,59 @@ def _get(v: Column, field: str, kind: str) -> Column:
 
 def _int(v: Column, field: str, default: int | None = None) -> Column:
     """A whole number, from a number with or without a fraction or from digits."""
-    said = _get(v, field, "string")
-    n = F.when(said.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(said).try_cast("long")).otherwise(F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")) != "STRING", _get(v, field, "double").try_cast("long")))
-    return n if default is None else F.coalesce(F.when(n != 0, n), F.lit(default))
+    whole = lambda said: F.when(said.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(said).try_cast("long")).otherwise(F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")) != "STRING", _get(v, field, "double").try_cast("long")))
+    n = _once(_get(v, field, "string"), whole)
+    return n if default is None else F.coalesce(F.nullif(n, F.lit(0)), F.lit(default))
 
 
 def decoded_page(raw: Column) -> Column:
     """The page's struct; items without an id or address, and links without an address, are left out; null if it is no object or a price is no number."""
-    v = _object(raw)
-    text = lambda x, f: F.coalesce(_get(x, f, "string"), F.lit(""))
-    rows = F.coalesce(_get(v, "items", "array<variant>"), F.array().cast("array<variant>"))
-    known = F.filter(rows, lambda i: F.schema_of_variant(i).startswith("OBJECT") & (text(i, "external_id") != "") & (text(i, "url") != ""))
-    items = F.transform(known, lambda i: F.struct(text(i, "external_id").alias("external_id"), text(i, "title").alias("title"), _get(i, "price_text", "string").alias("price_text"), _int(i, "price_eur").cast("int").alias("price_eur"), text(i, "url").alias("url"), _get(i, "posted_text", "string").alias("posted_text")))
-    bad = F.exists(known, lambda i: _get(i, "price_eur", "string").isNotNull() & _int(i, "price_eur").isNull())
+    return _object(raw, lambda v: _once(_items(v), lambda items: F.when(v.isNotNull() & ~F.exists(items, lambda i: i["bad"]), _page(v, F.transform(items, lambda i: i["item"])))))
+
+
+def _text(v: Column, field: str) -> Column:
+    return F.coalesce(_get(v, field, "string"), F.lit(""))
+
+
+def _items(v: Column) -> Column:
+    """The items that are known, each read once: item, and bad for a price that is no number. What is no object has no id."""
+    price = lambda i: F.struct(_get(i, "price_eur", "string").isNotNull().alias("said"), _int(i, "price_eur").alias("n"))
+    item = lambda i, p: F.struct(_text(i, "external_id").alias("external_id"), _text(i, "title").alias("title"), _get(i, "price_text", "string").alias("price_text"), p["n"].cast("int").alias("price_eur"), _text(i, "url").alias("url"), _get(i, "posted_text", "string").alias("posted_text"))
+    read = F.transform(F.coalesce(_get(v, "items", "array<variant>"), F.array().cast("array<variant>")), lambda i: _once(price(i), lambda p: F.struct(item(i, p).alias("item"), (p["said"] & p["n"].isNull()).alias("bad"))))
+    return F.filter(read, lambda i: (i["item"]["external_id"] != "") & (i["item"]["url"] != ""))
+
+
+def _page(v: Column, items: Column) -> Column:
     pairs = F.coalesce(_get(v, "location_shards", "array<variant>"), F.array().cast("array<variant>"))
     at = lambda p, k, kind: F.try_variant_get(p, f"$[{k}]", kind)
     links = F.transform(F.filter(pairs, lambda p: F.coalesce(at(p, 0, "string"), F.lit("")) != ""), lambda p: F.struct(at(p, 0, "string").alias("url"), at(p, 1, "long").alias("count")))
     fields = [_int(v, f).cast("int").alias(f) for f in ("result_start", "result_end", "total_results", "actual_page", "max_page")]
     counts = [_int(v, f, 0).cast("int").alias(f) for f in ("raw_candidates", "promoted_filtered", "duplicate_cards", "missing_date_count", "missing_price_count")]
-    page = F.struct(
-        F.greatest(F.lit(1), _int(v, "requested_page", 1)).cast("int").alias("requested_page"), text(v, "final_url").alias("final_url"), items.alias("items"), *fields,
-        F.coalesce(_get(v, "request_matches_page", "boolean"), F.lit(True)).alias("request_matches_page"), F.coalesce(_get(v, "page_verified", "boolean"), F.lit(False)).alias("page_verified"), text(v, "fingerprint").alias("fingerprint"), *counts,
+    return F.struct(
+        F.greatest(F.lit(1), _int(v, "requested_page", 1)).cast("int").alias("requested_page"), _text(v, "final_url").alias("final_url"), items.alias("items"), *fields,
+        F.coalesce(_get(v, "request_matches_page", "boolean"), F.lit(True)).alias("request_matches_page"), F.coalesce(_get(v, "page_verified", "boolean"), F.lit(False)).alias("page_verified"), _text(v, "fingerprint").alias("fingerprint"), *counts,
         F.filter(F.coalesce(_get(v, "promoted_ids", "array<string>"), F.array().cast("array<string>")), lambda s: F.coalesce(s, F.lit("")) != "").alias("promoted_ids"), F.coalesce(_get(v, "date_coverage", "double"), F.lit(0.0)).alias("date_coverage"),
         F.coalesce(_get(v, "suspicious", "boolean"), F.lit(False)).alias("suspicious"), links.alias("location_shards"),
     )
-    return F.when(v.isNotNull() & ~bad, page)
 
 
 def decoded_probe(raw: Column) -> Column:
     """A probe's struct; null if its relation is none of those that there are."""
-    v = _object(raw)
-    day = lambda f: F.coalesce(_get(v, f, "string"), F.lit("")).alias(f)
-    probe = F.struct(
+    return _object(raw, lambda v: F.when(F.coalesce(_get(v, "relation", "string").isin(*RELATIONS), F.lit(False)), _probe(v)))
+
+
+def _probe(v: Column) -> Column:
+    day = lambda f: _text(v, f).alias(f)
+    return F.struct(
         F.greatest(F.lit(1), _int(v, "page", 1)).cast("int").alias("page"), _get(v, "relation", "string").alias("relation"), _int(v, "max_page").cast("int").alias("max_page"), _int(v, "actual_page").cast("int").alias("actual_page"), F.coalesce(_get(v, "date_coverage", "double"), F.lit(0.0)).alias("date_coverage"),
         *[_int(v, f, 0).cast("int").alias(f) for f in ("target_count", "newer_count", "older_count")], day("newest_day"), day("oldest_day"), F.coalesce(F.nullif(_get(v, "source", "string"), F.lit("")), F.lit("remote")).alias("source"),
     )
-    return F.when(F.coalesce(_get(v, "relation", "string").isin(*RELATIONS), F.lit(False)), probe)
 
 
 def decoded_predictor(raw: Column) -> Column:
     """A confirmed page from 1 to 50 of a day; null if either is missing."""
-    v = _object(raw)
-    page, day = _int(v, "page"), F.coalesce(_get(v, "target_date", "string"), F.lit(""))
-    return F.when(page.between(1, 50) & (day != ""), F.struct(page.cast("int").alias("page"), day.alias("target_date"), F.coalesce(_get(v, "confirmed_at", "double"), F.lit(0.0)).alias("confirmed_at")))
+    known = lambda v: F.struct(_int(v, "page").cast("int").alias("page"), _text(v, "target_date").alias("target_date"), F.coalesce(_get(v, "confirmed_at", "double"), F.lit(0.0)).alias("confirmed_at"))
+    return _object(raw, lambda v: _once(known(v), lambda k: F.when(k["page"].between(1, 50) & (k["target_date"] != ""), k)))
 
 
 def encoded_result(result: Column) -> Column:

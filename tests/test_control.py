@@ -3,6 +3,7 @@
 import datetime
 import random
 import threading
+import tracemalloc
 import zipfile
 from xml.etree import ElementTree
 
@@ -87,6 +88,12 @@ def test_exports_read_back(spark, tmp_path):
     assert export.export(listings.filter("false"), scans, f"{tmp_path}/none")["rows"] == 0 and export.exported(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_payloads_are_parsed_once(spark):
+    for of in (checkpoints.decoded_page, checkpoints.decoded_probe, checkpoints.decoded_predictor):
+        plan = spark.createDataFrame([("{}",)], "r string").select(of(F.col("r")).alias("p"))._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("parse_json") + plan.count("parsejson") == 1
+
+
 def test_a_failed_export_has_no_manifest(spark, tmp_path):
     listings, scans = _listings(spark)
     bad = listings.withColumn("price_eur", F.when(F.col("external_id") == "3-4", F.raise_error(F.lit("no"))).otherwise(F.col("price_eur")).cast("int"))
