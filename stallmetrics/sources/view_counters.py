@@ -5,10 +5,11 @@ A counter is taken only where it says that it is one; values that disagree give
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +52,12 @@ def _named(data: object, wanted, items: int | None) -> list[tuple[str, int]]:
     return found
 
 
+@functools.lru_cache(4096)
+def _official(key: str) -> bool:
+    return re.sub(r"[^a-z0-9]", "", key.lower()) in OFFICIAL_KEYS
+
+
+@functools.lru_cache(4096)
 def _strict(key: str) -> bool:
     name = re.sub(r"[-\s]+", "_", key.strip().lower())
     return name in VIEW_KEYS or name.replace("_", "") in VIEW_KEYS
@@ -63,7 +70,7 @@ def payload_counter(body: str | None, items: int | None = LIST_ITEMS) -> tuple[i
         data = json.loads(body)
     except (ValueError, RecursionError):
         data = None
-    for kind, wanted in (("official", lambda k: re.sub(r"[^a-z0-9]", "", k.lower()) in OFFICIAL_KEYS), ("explicit", _strict)):
+    for kind, wanted in (("official", _official), ("explicit", _strict)):
         if found := _named(data, wanted, items):
             if len({n for _, n in found}) > 1:
                 return None, f"json-{kind}-conflict"
@@ -76,10 +83,10 @@ def payload_counter(body: str | None, items: int | None = LIST_ITEMS) -> tuple[i
 def payload_views(body: Column, items: int | None = LIST_ITEMS) -> Column:
     """S13 as a struct: views, source."""
 
-    @F.pandas_udf("views long, source string")
-    def read(bodies: pd.Series) -> pd.DataFrame:
-        found = [payload_counter(b, items) for b in bodies]
-        return pd.DataFrame({"views": pd.array([n for n, _ in found], dtype="Int64"), "source": [s for _, s in found]})
+    @F.arrow_udf("views long, source string")
+    def read(bodies: pa.Array) -> pa.Array:
+        found = [payload_counter(b, items) for b in bodies.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string())], names=["views", "source"])
 
     return read(body)
 
@@ -104,13 +111,14 @@ def extra_views(text: Column) -> Column:
 
 def first_counter(*sources: tuple[str, Column]) -> Column:
     """Struct views, source of the first source that has a counter; null views and source without any."""
-    views = F.coalesce(*[c for _, c in sources])
-    named = F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for name, c in sources])
-    return F.struct(views.alias("views"), named.alias("source"))
+    # A source's value is computed once, and only if those before it have none.
+    counted = lambda name, c: F.get(F.transform(F.array(c), lambda n: F.when(n.isNotNull(), F.struct(n.cast("long").alias("views"), F.lit(name).alias("source")))), F.lit(0))
+    return F.get(F.transform(F.array(F.coalesce(*[counted(name, c) for name, c in sources])), lambda x: F.struct(x["views"].alias("views"), x["source"].alias("source"))), F.lit(0))
 
 
 def _has(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+    """Whether one of the words is in the text, which is computed once for all of them."""
+    return F.exists(F.array(text), lambda t: functools.reduce(Column.__or__, [t.contains(w) for w in words]))
 
 
 def _plain(html: Column) -> Column:

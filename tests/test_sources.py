@@ -73,6 +73,18 @@ def test_allowed_addresses_with_and_without_parsing(spark):
     assert [r[0] for r in found] == [True, True, False, False, False, False, False, True, False, True, False]
 
 
+def test_texts_are_computed_once_for_all_words(spark):
+    df = spark.createDataFrame([("u", 200, "<p>x</p>")], "url string, status int, html string")
+    plan = _plan(df.select(vc.available(F.col("url"), F.col("status"), F.col("html"), F.col("url")).alias("a"), vc.document_kind(F.col("html")).alias("d")))
+    assert "lower(" in plan and "Contains(lower(" not in plan
+
+
+def test_a_counter_is_computed_once(spark):
+    df = spark.createDataFrame([("x",)], "html string")
+    first = vc.first_counter(("html", vc.html_views(F.col("html"))), ("text", vc.extra_views(F.col("html"))))
+    assert 0 < _plan(df.select(first.alias("f"))).count("viewad-cntr-num") <= 2
+
+
 def test_page_identity(read):
     def of(n):
         i = read[n]
