@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import IO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -24,6 +26,8 @@ from pyspark.sql.types import StructType
 
 #: A sheet has no more rows than this.
 SHEET_ROWS = 1_000_000
+#: Rows of a task that are in memory.
+HELD = 1_000
 MANIFEST = "manifest.json"
 COLUMNS = ("external_id", "title", "price_eur", "view_count", "url", "posted_text")
 
@@ -47,26 +51,39 @@ def _cell(value: object) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(plain)}</t></is></c>'
 
 
-def workbook(names: list[str], rows: list[tuple]) -> bytes:
-    """An XLSX file of one sheet with a header."""
-    body = "".join(f"<row>{''.join(map(_cell, r))}</row>" for r in [tuple(names), *rows])
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in (
-            ("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELATIONS.format("officeDocument", "xl/workbook.xml")), ("xl/workbook.xml", _BOOK), ("xl/_rels/workbook.xml.rels", _RELATIONS.format("worksheet", "worksheets/sheet1.xml")),
-            ("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'),
-        ):
-            z.writestr(name, text)
-    return out.getvalue()
+class Workbook:
+    """An XLSX file of one sheet with a header, written row by row."""
 
+    def __init__(self, out: IO[bytes], names: list[str]):
+        self.zip = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+        for name, text in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELATIONS.format("officeDocument", "xl/workbook.xml")), ("xl/workbook.xml", _BOOK), ("xl/_rels/workbook.xml.rels", _RELATIONS.format("worksheet", "worksheets/sheet1.xml"))):
+            self.zip.writestr(name, text)
+        self.sheet = self.zip.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
+        self.sheet.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+        self.rows([tuple(names)])
 
-def table(names: list[str], rows: list[tuple]) -> bytes:
-    """A CSV file with a header."""
-    out = io.StringIO()
-    w = csv.writer(out, lineterminator="\n")
-    w.writerow(names)
-    w.writerows(rows)
-    return out.getvalue().encode()
+    def rows(self, rows: list[tuple]) -> None:
+        self.sheet.write("".join(f"<row>{''.join(map(_cell, r))}</row>" for r in rows).encode())
+
+    def close(self) -> None:
+        self.sheet.write(b"</sheetData></worksheet>")
+        self.sheet.close()
+        self.zip.close()
+
+
+class Table:
+    """A CSV file with a header, written row by row."""
+
+    def __init__(self, out: IO[bytes], names: list[str]):
+        self.out = out
+        self.rows([tuple(names)])
+
+    def rows(self, rows: list[tuple]) -> None:
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n").writerows(rows)
+        self.out.write(text.getvalue().encode())
+
+    def close(self) -> None: ...
 
 
 @dataclass
@@ -88,20 +105,18 @@ class ExportWriter(DataSourceWriter):
             out.write(data)
 
     def write(self, iterator: Iterator[Row]) -> Written:
-        files, held = [], []
-
-        def flush() -> None:
-            if held:
-                name = f"part-{uuid.uuid4().hex}.{self.kind}"
-                self._put(name, (workbook if self.kind == "xlsx" else table)(self.names, held))
-                files.append((name, len(held)))
-                held.clear()
-
-        for row in iterator:
-            held.append(tuple(row))
-            if len(held) >= self.most:
-                flush()
-        flush()
+        """Only HELD rows of a task are in memory; the rest are in the file that they go to."""
+        files, (fs, folder) = [], _filesystem(self.path)
+        for first in iterator:
+            name, n, rows = f"part-{uuid.uuid4().hex}.{self.kind}", 0, itertools.chain([first], iterator)
+            fs.create_dir(folder, recursive=True)
+            with fs.open_output_stream(f"{folder}/{name}") as out:
+                file = (Workbook if self.kind == "xlsx" else Table)(out, self.names)
+                while held := [tuple(r) for r in itertools.islice(rows, min(HELD, self.most - n))]:
+                    file.rows(held)
+                    n += len(held)
+                file.close()
+            files.append((name, n))
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:

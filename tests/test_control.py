@@ -88,6 +88,19 @@ def test_exports_read_back(spark, tmp_path):
     assert export.export(listings.filter("false"), scans, f"{tmp_path}/none")["rows"] == 0 and export.exported(spark, f"{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["csv", "xlsx"])
+def test_an_export_holds_few_rows(tmp_path, kind):
+    from pyspark.sql.types import StructType
+
+    schema = StructType().add("a", "string")
+    writer = export.ExportWriter(schema, {"path": str(tmp_path), "kind": kind, "rows": "50000"})
+    tracemalloc.start()
+    told = writer.write((f"{i:0200d}",) for i in range(60_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [n for _, n in told.files] == [50_000, 10_000] and peak < 4_000_000
+
+
 def test_payloads_are_parsed_once(spark):
     for of in (checkpoints.decoded_page, checkpoints.decoded_probe, checkpoints.decoded_predictor):
         plan = spark.createDataFrame([("{}",)], "r string").select(of(F.col("r")).alias("p"))._jdf.queryExecution().optimizedPlan().toString().lower()
