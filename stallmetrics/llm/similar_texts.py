@@ -17,6 +17,10 @@ two linked fingerprints always have a part in common, until they are small.
 A link of fingerprints is a candidate: verified() reads both texts and keeps it only if their similarity, exactly,
 is as large as asked.
 
+Fingerprints miss a few such pairs: those that differ in more bits than the radius, that meet in no segment, or whose
+link stands behind one that fails. If the exact result is asked for, missed() holds the texts that are in different components then against each
+other exactly, by the shingles that two texts so similar must share (prefix filtering), and no link is lost.
+
 Cases: as in simhash.py. A fingerprint's vertex in the component table is its 64-bit hash. Texts of one
 fingerprint count as copies.
 """
@@ -46,6 +50,8 @@ BITS = 128
 SPREAD = 1.75
 #: Fingerprints that a task may hold of one bucket (16 bytes each).
 BUCKET = 100_000
+#: Texts of which it is counted which shingles are found often, and how many of these stand last in the order.
+SAMPLED, OFTEN = 20_000, 50_000
 #: Groups up to SCANNED fingerprints are compared pair by pair; those and larger ones give a spanning forest if they have more links than PAIRED for each fingerprint.
 SCANNED, PAIRED = 64, 2
 
@@ -274,24 +280,133 @@ def verified(edges: DataFrame, texts: DataFrame, words_per_shingle: int = SHINGL
     return in_arrow(both, lambda b: _alike(words_per_shingle, similarity, b), "a long, b long")
 
 
-def one_of_each(docs: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """The rows of docs that stay, with all columns: of each component one with the smallest doc_id (a null one only if all are null)."""
+def _lower_sets(k: int, texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle set of each text."""
+    column = strings(texts)
+    data = pa.Array.from_buffers(pa.string(), len(column), [None, column.buffers()[1], pa.py_buffer(LOW[np.frombuffer(column.buffers()[2] or b"", np.uint8)])], offset=column.offset)
+    for words in split_words(data):
+        yield from _sets(words, k)
+
+
+def _shingles(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for found in _lower_sets(k, batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["t"])
+
+
+def _prefixes(k: int, similarity: float, often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the first shingles in the order (often found ones last, then by hash): one more than it may lack of another one that is alike."""
+    for batch in batches:
+        rows, parts, sizes = [], [], []
+        for row, found in enumerate(_lower_sets(k, batch.column("text"))):
+            n = len(found)
+            if n:
+                late = often[np.minimum(np.searchsorted(often, found), len(often) - 1)] == found if len(often) else np.zeros(n, bool)
+                parts.append(np.concatenate([found[~late], found[late]])[: n - math.ceil(similarity * n - 1e-9) + 1])
+                rows.append(row)
+                sizes.append(n)
+        if not parts:
+            continue
+        many = [len(x) for x in parts]
+        of = pa.array(np.repeat(rows, many))
+        place = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), batch.column("v").take(of), batch.column("root").take(of), pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(place)], names=["t", "v", "root", "n", "i"])
+
+
+def _met(similarity: float, t: np.ndarray, v: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts of different components that share a shingle of their prefixes and may be alike, by their sizes and the shingle's places. Groups of equal t stand together, sorted by n."""
+
+    def able(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        few, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        return (root[a] != root[b]) & (few >= similarity * most - 1e-9) & (np.minimum(n[a] - i[a], n[b] - i[b]) >= similarity / (1 + similarity) * (few + most) - 1e-9)
+
+    first = np.r_[0, np.flatnonzero(np.diff(t)) + 1]
+    size = np.diff(np.r_[first, len(t)])
+    mixed = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), size)
+    if not mixed.any():
+        return
+    t, v, root, n, i = (x[mixed] for x in (t, v, root, n, i))
+    first = np.r_[0, np.flatnonzero(np.diff(t)) + 1]
+    size = np.diff(np.r_[first, len(t)])
+    of = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(t)) - first[of]
+    rows = np.flatnonzero(size[of] <= SCANNED)
+    for d in range(1, SCANNED):
+        rows = rows[place[rows] + d < size[of[rows]]]
+        near = rows[able(rows, rows + d)]
+        yield v[near], v[near + d]
+    for g in np.flatnonzero(size > SCANNED):
+        all_ = np.arange(first[g], first[g] + size[g])
+        roots, count = np.unique(root[all_], return_counts=True)
+        main = roots[count.argmax()]
+        for x in all_[root[all_] != main]:
+            lo, hi = np.searchsorted(n[all_], [similarity * n[x] - 1e-9, n[x] / similarity + 1e-9])
+            y = all_[lo:hi]
+            y = y[(root[y] == main) | (y > x)]
+            y = y[able(y, int(x))]
+            if len(y):
+                yield np.full(len(y), v[x]), v[y]
+
+
+def _candidates(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: sorted by t, n. The last t of a batch waits for the next, as its group may go on."""
+    names = ("t", "v", "root", "n", "i")
+    held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)] * 2
+    for batch in itertools.chain(batches, [None]):
+        whole = len(held[0])
+        if batch is not None:
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, names, strict=True)]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if whole:
+            for a, b in _met(similarity, *[x[:whole] for x in held]):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            held = [x[whole:] for x in held]
+
+
+def missed(texts: DataFrame, roots: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: all pairs of texts (v, text) that may be that similar and have different roots (v, root; without one: itself); none that is gets lost.
+
+    Shingles stand in one order for all texts. Two texts that are alike share one of their first shingles: those that
+    remain when the least number that they have to share, less one, is taken off the end. The order is free, so a
+    bounded sample says which shingles are found often; these stand last, and groups of a shingle stay small.
+    """
+    n = texts.count()
+    sample = texts.filter(F.pmod(F.xxhash64("v"), F.lit(max(1, n // SAMPLED))) == 0)
+    counted = in_arrow(sample.select("text"), lambda b: _shingles(words_per_shingle, b), "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    often = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "t").limit(OFTEN).collect()], np.int64).view(np.uint64))
+    rooted = texts.join(small(roots), "v", "left").select("v", F.coalesce("root", "v").alias("root"), "text")
+    prefixes = in_arrow(rooted, lambda b: _prefixes(words_per_shingle, similarity, often, b), "t long, v long, root long, n int, i int")
+    return in_arrow(prefixes.repartition("t").sortWithinPartitions("t", "n"), lambda b: _candidates(similarity, b), "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET, exact: bool = False) -> DataFrame:
+    """The rows of docs that stay, with all columns: of each component one with the smallest doc_id (a null one only if all are null).
+
+    exact: with the links that the fingerprints miss, see missed().
+    """
     rows = Stored(fingerprints(docs, words_per_shingle), "fingerprints")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_i"), F.col("th").alias("_t"))
     # Map-side combining first: copies of one text are one row from here on.
     distinct = Stored(rows.df.groupBy("fa", "fb").agg(F.min(key).alias("key")).withColumn("v", vertex("fa", "fb")), "distinct")
     rows.drop()
     met = Stored(links(distinct.df.select("fa", "fb"), radius(similarity), bucket).filter("a <> b").distinct(), "candidates")
-    # One text for each fingerprint that has a link.
-    linked = met.df.select(F.col("a").alias("v")).union(met.df.select("b")).distinct()
-    wanted = distinct.df.join(linked, "v", "left_semi").select("v", "key._i", "key._t")
+    # One text for each fingerprint that has a link; for the exact step for each.
+    wanted = distinct.df
+    if not exact:
+        wanted = wanted.join(met.df.select(F.col("a").alias("v")).union(met.df.select("b")).distinct(), "v", "left_semi")
     said = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_i"), F.col("th").alias("_t"), "text")
-    texts = Stored(said.join(small(wanted), ["_i", "_t"]).select("v", "text").dropDuplicates(["v"]), "texts")
-    roots = components(verified(met.df, texts.df, words_per_shingle, similarity))
+    texts = Stored(said.join(small(wanted.select("v", "key._i", "key._t")), ["_i", "_t"]).select("v", "text").dropDuplicates(["v"]), "texts")
+    near = Stored(verified(met.df, texts.df, words_per_shingle, similarity), "near")
+    roots, done = components(near.df), [distinct, met, texts, near]
+    if exact:
+        rest = Stored(missed(texts.df, roots, words_per_shingle, similarity), "rest")
+        roots = components(near.df.unionByName(verified(rest.df, texts.df, words_per_shingle, similarity)))
+        done.append(rest)
     labelled = distinct.df.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     stay = Stored(labelled.groupBy("root").agg(F.min("key").alias("key")).select("key._i", "key._t"), "stay")
-    for done in (distinct, met, texts):
-        done.drop()
+    for table in done:
+        table.drop()
     whole = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_i"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_t"))
     once = Window.partitionBy("_i", "_t").orderBy("_i")
     return whole.join(small(stay.df), ["_i", "_t"]).withColumn("_row", F.row_number().over(once)).filter("_row = 1").select("_doc.*")

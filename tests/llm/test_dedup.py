@@ -164,6 +164,38 @@ def test_recall_of_similar_texts_at_the_limit(spark):
     assert len(far) == 100 and set(far) <= stay and {2 * i for i in range(300)} <= stay
 
 
+@pytest.mark.parametrize("scanned", [2, 64])
+def test_no_link_is_lost_without_fingerprints(spark, monkeypatch, scanned):
+    """Fingerprints that find nothing leave all links to the exact step, in small groups of a shingle and in large ones."""
+    rng, rows = random.Random(7), []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([1, 4, 5, 6, 30, 120]))] + "a line that stands at the end of all".split() * (i % 2)
+        for _ in range(rng.choice([1, 2, 4])):
+            other = list(words)
+            for _ in range(rng.randrange(4)):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(other[rng.randrange(2) :])))
+    monkeypatch.setattr(similar_texts, "links", lambda distinct, most, bucket: distinct.selectExpr("0L AS a", "0L AS b"))
+    monkeypatch.setattr(similar_texts, "SCANNED", scanned)
+    rng.shuffle(rows)
+    stay = {r.doc_id for r in similar_texts.one_of_each(spark.createDataFrame(rows, KEY), exact=True).collect()}
+    assert stay == brute_stay(rows, most=128) and len(stay) < len(rows) - 10
+
+
+def test_links_beyond_the_radius_are_found(spark):
+    rows = _near_copies()[0]
+    stay = {r.doc_id for r in similar_texts.one_of_each(spark.createDataFrame(rows, KEY), exact=True).collect()}
+    assert stay == brute_stay(rows, most=128) != brute_stay(rows)
+
+
+def test_often_found_shingles_make_no_candidates():
+    """A shingle that all texts have is in no prefix of long ones if it stands last; a large group pairs only what may be alike."""
+    n = 300
+    columns = [np.zeros(n, np.int64), np.arange(n), np.r_[0, np.zeros(n - 2, np.int64), 1], np.sort(np.r_[np.full(n - 1, 100), 124]).astype(np.int32), np.zeros(n, np.int32)]
+    found = [(int(x), int(y)) for a, b in similar_texts._met(0.8, *columns) for x, y in zip(a, b, strict=True)]
+    assert sorted(found) == [(n - 1, y) for y in range(n - 1)]
+
+
 def test_copies_that_are_only_alike_to_their_original(spark):
     """Each copy shares 0.82 to 0.9 with the original, and less than 0.8 with most other copies: its link to the original has to be found."""
     rng = random.Random(11)
