@@ -18,8 +18,9 @@ A link of fingerprints is a candidate: verified() reads both texts and keeps it
 is as large as asked.
 
 Fingerprints miss a few such pairs: those that differ in more bits than the radius, that meet in no segment, or whose
-link stands behind one that fails. If the exact result is asked for, missed() holds the texts that are in different components then against each
-other exactly, by the shingles that two texts so similar must share (prefix filtering), and no link is lost.
+link stands behind one that fails. If the exact result is asked for, only the links that were found most often are verified
+of each text, and missed() holds the texts that are in different components then against each other, by the shingles
+that two texts so similar must share (prefix filtering) and by bounds of their similarity; no link is lost.
 
 Cases: as in simhash.py. A fingerprint's vertex in the component table is its 64-bit hash. Texts of one
 fingerprint count as copies.
@@ -50,8 +51,10 @@ BITS = 128
 SPREAD = 1.75
 #: Fingerprints that a task may hold of one bucket (16 bytes each).
 BUCKET = 100_000
-#: Texts of which it is counted which shingles are found often, and how many of these stand last in the order.
-SAMPLED, OFTEN = 20_000, 50_000
+#: Links of fingerprints that are verified of each text, if the exact step follows.
+NEAREST = 4
+#: Bits by which texts are told apart before they are read (a power of two).
+MARKS = 1024
 #: Groups up to SCANNED fingerprints are compared pair by pair; those and larger ones give a spanning forest if they have more links than PAIRED for each fingerprint.
 SCANNED, PAIRED = 64, 2
 
@@ -288,44 +291,108 @@ def _lower_sets(k: int, texts: pa.Array) -> Iterator[np.ndarray]:
         yield from _sets(words, k)
 
 
-def _shingles(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for found in _lower_sets(k, batch.column("text")):
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["t"])
+def _lack(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """So many of its n shingles a text may lack of another one that is alike."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64)
+
 
+def _spread(k: int, similarity: float, below: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """t, v, root, sizes: a row for each shingle of a text up to a hash; sizes has how many the text has, and how many of these up to the hash (32 bits each).
 
-def _prefixes(k: int, similarity: float, often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text the first shingles in the order (often found ones last, then by hash): one more than it may lack of another one that is alike."""
+    A text with so few of these that it may lack them all has its v as one more, so that it is known.
+    """
     for batch in batches:
         rows, parts, sizes = [], [], []
+        own = batch.column("v").to_numpy().view(np.uint64)
         for row, found in enumerate(_lower_sets(k, batch.column("text"))):
-            n = len(found)
-            if n:
-                late = often[np.minimum(np.searchsorted(often, found), len(often) - 1)] == found if len(often) else np.zeros(n, bool)
-                parts.append(np.concatenate([found[~late], found[late]])[: n - math.ceil(similarity * n - 1e-9) + 1])
+            if n := len(found):
+                low = found[: np.searchsorted(found, np.uint64(below), "right")]
                 rows.append(row)
-                sizes.append(n)
-        if not parts:
+                parts.append(low if len(low) > _lack(n, similarity) else np.r_[low, own[row]])
+                sizes.append(n << 32 | len(low))
+        if rows:
+            many = [len(x) for x in parts]
+            of = pa.array(np.repeat(rows, many))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), batch.column("v").take(of), batch.column("root").take(of), pa.array(np.repeat(sizes, many))], names=["t", "v", "root", "sizes"])
+
+
+def _shared(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: rows of _spread(), sorted by t. Those whose t texts of two or more roots have stay, and those of texts that may lack all; c: the rows of the same t.
+
+    The last t of a batch waits for the next, as its group may go on.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        ready = held
+        if batch is not None:
+            t = batch.column("t").to_numpy()
+            if not len(t) or held and held[0].column("t")[0].as_py() == t[0] == t[-1]:
+                held += [batch] if len(t) else []
+                continue
+            whole = int(np.searchsorted(t, t[-1]))
+            ready, held = [*held, batch.slice(0, whole)], [batch.slice(whole)]
+        if not sum(map(len, ready)):
             continue
-        many = [len(x) for x in parts]
-        of = pa.array(np.repeat(rows, many))
-        place = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), batch.column("v").take(of), batch.column("root").take(of), pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(place)], names=["t", "v", "root", "n", "i"])
+        rows = pa.Table.from_batches(ready).combine_chunks()
+        t, root, sizes = (rows.column(c).to_numpy() for c in ("t", "root", "sizes"))
+        first = np.r_[0, np.flatnonzero(np.diff(t)) + 1]
+        size = np.diff(np.r_[first, len(t)])
+        mixed = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), size)
+        keep = mixed | ((sizes & (1 << 32) - 1) <= _lack(sizes >> 32, similarity))
+        yield from rows.append_column("c", pa.array(np.repeat(size, size))).filter(pa.array(keep)).to_batches(max_chunksize=65_536)
 
 
-def _met(similarity: float, t: np.ndarray, v: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of texts of different components that share a shingle of their prefixes and may be alike, by their sizes and the shingle's places. Groups of equal t stand together, sorted by n."""
+def _firsts(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: rows of _shared(), sorted by v, c, t. Of each text the first shingles in the order, those that only its root has being before all (own: how many): one more than it may lack.
+
+    bits: of MARKS bits those that an odd number of the text's shared shingles fall on. Texts differ in as many shared shingles as in bits, or in more.
+    """
+    names = ("t", "v", "root", "sizes")
+    held = [np.zeros(0, np.int64)] * 4
+    for batch in itertools.chain(batches, [None]):
+        whole = len(held[1])
+        if batch is not None:
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, names, strict=True)]
+            whole = int(np.searchsorted(held[1], held[1][-1])) if len(held[1]) else 0
+        if not whole:
+            continue
+        t, v, root, sizes = (x[:whole] for x in held)
+        held = [x[whole:] for x in held]
+        first = np.r_[0, np.flatnonzero(np.diff(v)) + 1]
+        m, n = np.diff(np.r_[first, whole]), sizes[first] >> 32
+        of = np.repeat(np.arange(len(m)), m)
+        odd = np.zeros((len(m), MARKS), np.uint8)
+        np.bitwise_xor.at(odd, (of, ((t.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MARKS.bit_length() + 1)).astype(np.int64)), 1)
+        bits = np.packbits(odd, axis=1)
+        i = (n - m)[of] + np.arange(whole) - first[of]
+        keep = np.flatnonzero(i <= _lack(n, similarity)[of])
+        if len(keep):
+            at = of[keep]
+            column = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(v[keep]), pa.array(root[keep]), column(n[at]), column(i[keep]), column((n - m)[at]), pa.array([x.tobytes() for x in bits], pa.binary()).take(pa.array(at))], names=["t", "v", "root", "n", "i", "own", "bits"])
+
+
+def _met(similarity: float, t: np.ndarray, v: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray, own: np.ndarray | None = None, bits: np.ndarray | None = None, probe: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts of different components that share a shingle of their prefixes and may be alike, by their sizes and the shingle's places. Groups of equal t stand together, sorted by n.
+
+    probe: of each row one pair.
+    """
 
     def able(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
         few, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        return (root[a] != root[b]) & (few >= similarity * most - 1e-9) & (np.minimum(n[a] - i[a], n[b] - i[b]) >= similarity / (1 + similarity) * (few + most) - 1e-9)
+        fit = (root[a] != root[b]) & (few >= similarity * most - 1e-9) & (np.minimum(n[a] - i[a], n[b] - i[b]) >= similarity / (1 + similarity) * (few + most) - 1e-9)
+        if bits is not None and fit.any():
+            # Shingles that only one of the two has: those that only its root has, and shared ones.
+            x, y = a[fit], b[fit] if isinstance(b, np.ndarray) else b
+            fit[fit] = own[x] + own[y] + np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (few + most)[fit] + 1e-9
+        return fit
 
     first = np.r_[0, np.flatnonzero(np.diff(t)) + 1]
     size = np.diff(np.r_[first, len(t)])
     mixed = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), size)
     if not mixed.any():
         return
-    t, v, root, n, i = (x[mixed] for x in (t, v, root, n, i))
+    t, v, root, n, i, own, bits = (x if x is None else x[mixed] for x in (t, v, root, n, i, own, bits))
     first = np.r_[0, np.flatnonzero(np.diff(t)) + 1]
     size = np.diff(np.r_[first, len(t)])
     of = np.repeat(np.arange(len(size)), size)
@@ -333,8 +400,11 @@ def _met(similarity: float, t: np.ndarray, v: np.ndarray, root: np.ndarray, n: n
     rows = np.flatnonzero(size[of] <= SCANNED)
     for d in range(1, SCANNED):
         rows = rows[place[rows] + d < size[of[rows]]]
-        near = rows[able(rows, rows + d)]
+        fit = able(rows, rows + d)
+        near = rows[fit]
         yield v[near], v[near + d]
+        if probe:
+            rows = rows[~fit]
     for g in np.flatnonzero(size > SCANNED):
         all_ = np.arange(first[g], first[g] + size[g])
         roots, count = np.unique(root[all_], return_counts=True)
@@ -343,41 +413,72 @@ def _met(similarity: float, t: np.ndarray, v: np.ndarray, root: np.ndarray, n: n
             lo, hi = np.searchsorted(n[all_], [similarity * n[x] - 1e-9, n[x] / similarity + 1e-9])
             y = all_[lo:hi]
             y = y[(root[y] == main) | (y > x)]
-            y = y[able(y, int(x))]
+            y = y[able(y, int(x))][: 1 if probe else None]
             if len(y):
                 yield np.full(len(y), v[x]), v[y]
 
 
-def _candidates(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(similarity: float, batches: Iterator[pa.RecordBatch], probe: bool = False) -> Iterator[pa.RecordBatch]:
     """batches: sorted by t, n. The last t of a batch waits for the next, as its group may go on."""
-    names = ("t", "v", "root", "n", "i")
-    held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)] * 2
+    names = ("t", "v", "root", "n", "i", "own")
+    held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)] * 3 + [np.zeros((0, MARKS // 64), np.uint64)]
     for batch in itertools.chain(batches, [None]):
         whole = len(held[0])
         if batch is not None:
-            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, names, strict=True)]
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, MARKS // 64)
+            held = [np.concatenate([x, y]) for x, y in zip(held, [*[batch.column(c).to_numpy() for c in names], bits], strict=True)]
             whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if whole:
-            for a, b in _met(similarity, *[x[:whole] for x in held]):
+            for a, b in _met(similarity, *[x[:whole] for x in held], probe):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
             held = [x[whole:] for x in held]
 
 
-def missed(texts: DataFrame, roots: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+SHARED = "t long, v long, root long, sizes long, c long"
+
+
+def _shared_with_others(texts: DataFrame, roots: DataFrame, below: int, k: int, similarity: float) -> DataFrame:
+    """Rows of _shared(); roots: v, root, without one a text is its own."""
+    rooted = texts.join(small(roots), "v", "left").select("v", F.coalesce("root", "v").alias("root"), "text")
+    rows = in_arrow(rooted, lambda b: _spread(k, similarity, below, b), "t long, v long, root long, sizes long")
+    return in_arrow(rows.repartition("t").sortWithinPartitions("t"), lambda b: _shared(similarity, b), SHARED)
+
+
+def open_texts(texts: DataFrame, roots: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY) -> Stored:
+    """The texts (v, text) that may be alike to one of another root.
+
+    A shingle that only texts of one root have is shared with no text of another. A text with more of these than it may
+    lack is alike to none. Half of all hashes tell that of most texts.
+    """
+    n, low = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND((1 << 32) - 1)
+    shared = _shared_with_others(texts, roots, (1 << 63) - 1, words_per_shingle, similarity).groupBy("v", "sizes").agg(F.count(F.lit(1)).alias("m"))
+    living = Stored(shared.filter(low - F.col("m") <= n - F.ceil(similarity * n - 1e-9)).select("v"), "living")
+    left = Stored(texts.join(small(living.df), "v", "left_semi"), "open")
+    living.drop()
+    return left
+
+
+def missed(texts: DataFrame, roots: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY, probe: bool = False) -> Stored:
     """a, b: all pairs of texts (v, text) that may be that similar and have different roots (v, root; without one: itself); none that is gets lost.
 
-    Shingles stand in one order for all texts. Two texts that are alike share one of their first shingles: those that
-    remain when the least number that they have to share, less one, is taken off the end. The order is free, so a
-    bounded sample says which shingles are found often; these stand last, and groups of a shingle stay small.
+    Shingles stand in one order for all texts: those that only texts of one root have first, then those that fewest texts
+    have. Two texts that are alike share one of their first shingles: those that remain when the least number that
+    they have to share, less one, is taken off the end. Of pairs that do, the marks tell most that can't be alike.
+
+    probe: only some of the pairs, no more than there are such first shingles.
     """
-    n = texts.count()
-    sample = texts.filter(F.pmod(F.xxhash64("v"), F.lit(max(1, n // SAMPLED))) == 0)
-    counted = in_arrow(sample.select("text"), lambda b: _shingles(words_per_shingle, b), "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    often = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "t").limit(OFTEN).collect()], np.int64).view(np.uint64))
-    rooted = texts.join(small(roots), "v", "left").select("v", F.coalesce("root", "v").alias("root"), "text")
-    prefixes = in_arrow(rooted, lambda b: _prefixes(words_per_shingle, similarity, often, b), "t long, v long, root long, n int, i int")
-    return in_arrow(prefixes.repartition("t").sortWithinPartitions("t", "n"), lambda b: _candidates(similarity, b), "a long, b long").distinct()
+    shared = _shared_with_others(texts, roots, (1 << 64) - 1, words_per_shingle, similarity)
+    firsts = in_arrow(shared.repartition("v").sortWithinPartitions("v", "c", "t"), lambda b: _firsts(similarity, b), "t long, v long, root long, n int, i int, own int, bits binary")
+    pairs = in_arrow(firsts.repartition("t").sortWithinPartitions("t", "n"), lambda b: _candidates(similarity, b, probe), "a long, b long")
+    return Stored(pairs.distinct(), "rest")
+
+
+def nearest(met: DataFrame) -> DataFrame:
+    """Of the links (a, b, n: how often they were found) of each text the NEAREST found most often: near fingerprints meet in most buckets."""
+    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    best = both.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).filter(F.col("_r") <= NEAREST)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET, exact: bool = False) -> DataFrame:
@@ -390,7 +491,9 @@ def one_of_each(docs: DataFrame, words_per_shingle: int = SHINGLE, similarity: f
     # Map-side combining first: copies of one text are one row from here on.
     distinct = Stored(rows.df.groupBy("fa", "fb").agg(F.min(key).alias("key")).withColumn("v", vertex("fa", "fb")), "distinct")
     rows.drop()
-    met = Stored(links(distinct.df.select("fa", "fb"), radius(similarity), bucket).filter("a <> b").distinct(), "candidates")
+    met = links(distinct.df.select("fa", "fb"), radius(similarity), bucket).filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    # The exact step finds whatever else holds.
+    met = Stored(nearest(Stored(met, "links-met").df) if exact else met.drop("n"), "candidates")
     # One text for each fingerprint that has a link; for the exact step for each.
     wanted = distinct.df
     if not exact:
@@ -400,9 +503,16 @@ def one_of_each(docs: DataFrame, words_per_shingle: int = SHINGLE, similarity: f
     near = Stored(verified(met.df, texts.df, words_per_shingle, similarity), "near")
     roots, done = components(near.df), [distinct, met, texts, near]
     if exact:
-        rest = Stored(missed(texts.df, roots, words_per_shingle, similarity), "rest")
-        roots = components(near.df.unionByName(verified(rest.df, texts.df, words_per_shingle, similarity)))
-        done.append(rest)
+        # Texts of a large group are alike in many pairs; a few of these join it before all that are left are looked at.
+        left, held = open_texts(texts.df, roots, words_per_shingle, similarity), near.df
+        done.append(left)
+        for probe in (True, False):
+            rest = missed(left.df, roots, words_per_shingle, similarity, probe)
+            found = Stored(verified(rest.df, left.df, words_per_shingle, similarity), "near")
+            rest.drop()
+            held = held.unionByName(found.df)
+            roots = components(held)
+            done.append(found)
     labelled = distinct.df.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     stay = Stored(labelled.groupBy("root").agg(F.min("key").alias("key")).select("key._i", "key._t"), "stay")
     for table in done:

@@ -196,6 +196,45 @@ def test_often_found_shingles_make_no_candidates():
     assert sorted(found) == [(n - 1, y) for y in range(n - 1)]
 
 
+def _passages(texts, seed=21):
+    """Texts of 60 words that share a passage of 44 (each two far from 0.8), and a pair that is alike."""
+    rng, passage = random.Random(seed), [f"p{i}" for i in range(44)]
+    rows = [(i, " ".join([f"u{rng.randrange(10**9)}" for _ in range(8)] + passage + [f"u{rng.randrange(10**9)}" for _ in range(8)])) for i in range(texts)]
+    return [*rows, (texts, rows[0][1] + " end")]
+
+
+def test_texts_that_share_a_passage_make_no_candidates(spark):
+    """The number of pairs to be read doesn't grow with the square of the texts that have a passage in common."""
+    texts = spark.createDataFrame([(v, t) for v, t in _passages(400)], "v long, text string")
+    roots = spark.createDataFrame([], "v long, root long")
+    left = similar_texts.open_texts(texts, roots)
+    assert {0, 400} <= {r.v for r in left.df.collect()}
+    assert [tuple(r) for r in similar_texts.missed(left.df, roots).df.collect()] == [(0, 400)]
+    assert [tuple(r) for r in similar_texts.missed(texts, roots, probe=True).df.collect()] == [(0, 400)]
+
+
+def test_texts_alike_in_many_pairs_are_probed_by_few(spark):
+    """Of 120 texts that are all alike a probe gives at most one pair for each first shingle; a group of texts is not read pair by pair."""
+    rng, words = random.Random(22), [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:-1] + [f"x{rng.randrange(10**9)}"])) for i in range(120)]
+    texts, roots = spark.createDataFrame(rows, "v long, text string"), spark.createDataFrame([], "v long, root long")
+    few, every = (similar_texts.missed(texts, roots, probe=probe).df.count() for probe in (True, False))
+    assert 119 <= few < 1_000 and every == 120 * 119 // 2
+    met = spark.createDataFrame([(a, b, 1 + (b == 0)) for a in range(120) for b in range(a)], "a long, b long, n long")
+    found = {tuple(r) for r in similar_texts.nearest(met).collect()}
+    assert {(0, a) for a in range(1, 120)} <= found and len(found) <= 120 * similar_texts.NEAREST
+
+
+def test_marks_are_a_lower_bound(spark):
+    """No pair that is alike is lost by its marks."""
+    rows = _near_copies(20)[0]
+    texts, roots = spark.createDataFrame(rows, "v long, text string"), spark.createDataFrame([], "v long, root long")
+    sets = {v: brute_set(t) for v, t in rows}
+    alike = {(min(a, b), max(a, b)) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= 0.8 * len(x | y)}
+    many = {tuple(r) for r in similar_texts.missed(texts, roots).df.collect()}
+    assert alike and alike <= many
+
+
 def test_copies_that_are_only_alike_to_their_original(spark):
     """Each copy shares 0.82 to 0.9 with the original, and less than 0.8 with most other copies: its link to the original has to be found."""
     rng = random.Random(11)
