@@ -56,25 +56,27 @@ def mid_rank_among(values: DataFrame, value: str, others: DataFrame, other: str,
     return values.join(ranked, [*on, F.col(value).eqNullSafe(F.col("_v"))]).select(*values.columns, out)
 
 
-def leave_one_out_median(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """A5: for each row the median of the other rows' values in its partition, its fraction cut off; null for a single row.
+def leave_one_out_median(df: DataFrame, value: str, by: list[str], out: str, n: str | None = None) -> DataFrame:
+    """A5: for each row the median of the other rows' values in its partition, its fraction cut off; null for a single row. n: a column for the number of values.
 
-    The order statistics around the middle give it: without the i-th of n values, place k of the rest is place k or
-    k + 1 of all. Rows of one id have to be one row.
+    The order statistics around the middle give it: without one row of value v, place k of the rest is place k + 1 of all
+    where that has more than v, else place k. So rows are joined to four values of their partition and to nothing else.
+    Rows of one id have to be one row.
     """
     # Distinct values with their counts take the places start to end; a hot partition has as many rows as it has values.
     up = Window.partitionBy(*by).orderBy(value)
-    values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_end", F.sum("_c").over(up))
-    values = stored(values, "values")  # read three times
-    n = values.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    near = values.join(n, by).filter((F.col("_end") - F.col("_c") + 1 <= F.col("_n") / 2 + 2) & (F.col("_end") >= F.col("_n") / 2 - 1))
-    middle = near.groupBy(*by, "_n").agg(F.sort_array(F.collect_list(F.struct("_end", F.col(value).cast("double").alias("_v")))).alias("_at"))
-    # Without one row of its value, the places from that value's last on move down by one.
-    without = lambda k: F.element_at(F.filter("_at", lambda x: x["_end"] >= k + (k >= F.col("_end")).cast("int")), 1)["_v"]
-    rest = F.col("_n") - 1
-    low, high = F.floor((rest + 1) / 2), F.floor((rest + 2) / 2)
-    placed = df.join(values.drop("_c"), [*by, value]).join(middle, by)
-    return placed.withColumn(out, F.when(rest > 0, F.floor((without(low) + without(high)) / 2)).cast("int")).select(*df.columns, out)
+    values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    values = values.withColumn("_end", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    near = values.filter((F.col("_end") - F.col("_c") + 1 <= F.col("_n") / 2 + 2) & (F.col("_end") >= F.col("_n") / 2 - 1))
+    middle = near.groupBy(*by, "_n").agg(F.sort_array(F.collect_list(F.struct("_end", F.col(value).alias("_v")))).alias("_at"))
+    at = lambda k: F.get(F.filter("_at", lambda x: x["_end"] >= k), F.lit(0))["_v"]
+    low, high = F.floor(F.col("_n") / 2), F.floor((F.col("_n") + 1) / 2)
+    # Written, so that its size is known and it is broadcast where it is small.
+    middle = stored(middle.select(*by, "_n", at(low).alias("_a"), at(low + 1).alias("_b"), at(high).alias("_c"), at(high + 1).alias("_d")), "middles")
+    without = lambda k, above: F.when(F.col(value) < F.col(above), F.col(above)).otherwise(F.col(k)).cast("double")
+    placed = df.filter(F.col(value).isNotNull()).join(middle, by)
+    found = placed.withColumn(out, F.when(F.col("_n") > 1, F.floor((without("_a", "_b") + without("_c", "_d")) / 2)).cast("int"))
+    return found.select(*df.columns, out, *([F.col("_n").alias(n)] if n else []))
 
 
 #: Values of a series that are folded in one row.

@@ -28,9 +28,7 @@ def frequent(rows: DataFrame, least: int = 3) -> DataFrame:
 def below_market(rows: DataFrame, discount: float = 0.20, samples: int = 5) -> DataFrame:
     """Q4: ads at least that far below the median of the others of their family; placeholder prices and small families don't count."""
     priced = rows.filter("family_key <> '' AND price_eur > 0")
-    n = priced.groupBy("category", "family_key").agg(F.count(F.lit(1)).alias("samples")).filter(F.col("samples") >= samples)
-    # The semi join keeps small families out of the window over the rest.
-    measured = leave_one_out_median(priced.join(n, ["category", "family_key"]), "price_eur", ["category", "family_key"], "median_price")
+    measured = leave_one_out_median(priced, "price_eur", ["category", "family_key"], "median_price", "samples").filter(F.col("samples") >= samples)
     bait = (F.col("median_price") >= 50) & (F.col("price_eur") < F.greatest(F.lit(5), F.floor(F.col("median_price") * 0.10)))
     off = 1 - F.col("price_eur") / F.col("median_price")
     return measured.filter((F.col("median_price") > 0) & ~bait & (off >= discount)).withColumn("discount_pct", half_even(off * 100).cast("int"))

@@ -34,7 +34,7 @@ def frequent_families(spark, sf):
 
 
 def below_market(spark, sf):
-    return modes.below_market(stored(R.offers(spark, sf), "offers")).select("external_id", "category", "family_key", "price_eur", "median_price", "discount_pct", "samples")
+    return modes.below_market(stored(R.offers(spark, sf).select("external_id", "category", "family_key", "price_eur"), "offers")).select("external_id", "category", "family_key", "price_eur", "median_price", "discount_pct", "samples")
 
 
 def fast_disappearing(spark, sf):

@@ -61,3 +61,18 @@ def test_moving_average_of_times_far_apart(spark):
         want[k] = v if k not in want else 0.75 * want[k] + 0.25 * v
     found = stats.ema(spark.createDataFrame(rows, "k string, at long, v double").repartition(5), ["k"], "at", "v", 0.25, "e")
     assert {r.k: round(r.e, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_medians_without_a_row_read_no_other_row(spark):
+    """By brute force; rows are joined to their partition's middle alone, not to each of its values."""
+    import random
+    from statistics import median
+
+    rng, rows = random.Random(3), [("a", 7)]
+    for key, n, most in (("b", 2, 9), ("c", 3, 9), ("d", 40, 5), ("e", 41, 1000), ("f", 200, 30)):
+        rows += [(key, rng.randrange(1, most)) for _ in range(n)]
+    rows = [(i, k, v) for i, (k, v) in enumerate(rows)]
+    found = stats.leave_one_out_median(spark.createDataFrame([*rows, (-1, "b", None)], "id int, k string, v int"), "v", ["k"], "m", "n")
+    want = {i: (int(median(o)) if (o := [w for j, g, w in rows if g == k and j != i]) else None, len(o) + 1) for i, k, _ in rows}
+    assert {r.id: (r.m, r.n) for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
