@@ -23,6 +23,12 @@ def percentile(x: Column, q: float) -> Column:
     return F.coalesce(F.percentile(F.when(~F.isnan(x), x), F.lit(q)), F.lit(0.0))
 
 
+def percentiles(x: Column, of: dict[str, float]) -> list[Column]:
+    """A3: several of the same values, by name; equal aggregates are one, so the values are counted once."""
+    all_ = F.percentile(F.when(~F.isnan(x), x), F.array(*map(F.lit, of.values())))
+    return [F.coalesce(F.get(all_, F.lit(i)), F.lit(0.0)).alias(name) for i, name in enumerate(of)]
+
+
 def int_median(x: Column) -> Column:
     """A2: the median with its fraction cut off; null if there is nothing."""
     return F.floor(F.percentile(x, F.lit(0.5))).cast("int")
@@ -38,7 +44,8 @@ def mid_rank(df: DataFrame, value: str, by: list[str], out: str, alone: float =
     ranked = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by))).withColumn(
         out, F.when(F.col("_all") <= 1, F.lit(alone)).otherwise((F.coalesce(F.sum("_n").over(below), F.lit(0)) + 0.5 * F.col("_n")) / F.col("_all"))
     )
-    ranked = ranked.select(*[F.col(c).alias(f"_{c}") for c in (*by, value)], out)
+    # Written, so that its size is known and it is broadcast where it is small.
+    ranked = stored(ranked.select(*[F.col(c).alias(f"_{c}") for c in (*by, value)], out), "ranks")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, value)]
     return df.join(ranked, on).select(*df.columns, out)
 
@@ -51,7 +58,7 @@ def mid_rank_among(values: DataFrame, value: str, others: DataFrame, other: str,
     w = Window.partitionBy(*by).orderBy("_v")
     every = every.withColumn("_all", F.sum("_w").over(Window.partitionBy(*by))).withColumn("_below", F.coalesce(F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.when(F.col("_all") <= 1, F.lit(0.5)).otherwise((F.col("_below") + 0.5 * F.col("_w")) / F.col("_all"))
-    ranked = every.filter("_ours").select(*[F.col(c).alias(f"_{c}") for c in by], "_v", rank.alias(out))
+    ranked = stored(every.filter("_ours").select(*[F.col(c).alias(f"_{c}") for c in by], "_v", rank.alias(out)), "ranks")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     return values.join(ranked, [*on, F.col(value).eqNullSafe(F.col("_v"))]).select(*values.columns, out)
 

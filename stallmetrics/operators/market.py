@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import clamp, mid_rank
 from ..functions.timeparse import micros
+from ..shared import stored
 
 PROFILE = ("median", "count", "supply_percentile", "recent_count", "previous_count", "supply_growth_ratio", "demand_recent_median", "demand_previous_median", "demand_growth_ratio", "demand_recent_samples", "demand_previous_samples", "prior_signals", "prior_confirmed")
 #: What a family without a profile has: neutral values, no bonus for the unknown.
@@ -72,15 +73,19 @@ def market_profile(targets: DataFrame, listings: DataFrame, views: DataFrame, ca
     return out.select("category", "family_key", *PROFILE)
 
 
-def lookup(rows: DataFrame, profiles: DataFrame, keys: list[Column], row: str = "external_id") -> DataFrame:
+def lookup(rows: DataFrame, profiles: DataFrame, keys: list[Column]) -> DataFrame:
     """Rows with the profile of the first of their keys that has one; without any the neutral values.
 
-    One join on exploded keys instead of one for each alternative; the first hit is an aggregate. row: the column that tells rows apart.
+    Rows with the same keys have the same profile, so it is looked up once for each different list of keys: one join on
+    exploded keys instead of one for each alternative, and an aggregate for the first hit. Written, so that its size is known
+    and it is broadcast where it is small.
     """
-    tried = rows.withColumn("_id", F.col(row)).select("*", F.posexplode(F.array(*keys)).alias("_try", "_key"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = rows.withColumns(dict(zip(names, keys, strict=True)))
+    tried = keyed.select(*names).distinct().select("*", F.posexplode(F.array(*names)).alias("_try", "_key"))
     values = profiles.select(F.col("family_key").alias("_pk"), F.struct(*PROFILE).alias("_profile"))
     met = tried.join(values, tried["_key"] == values["_pk"], "left")
     first = F.min_by("_profile", F.when(F.col("_profile").isNotNull(), F.col("_try")))
-    # What a row has is the same in all its tries.
-    out = met.groupBy("_id").agg(first.alias("_profile"), *[F.first(c).alias(c) for c in rows.columns])
+    found = stored(met.groupBy(*[F.col(k).alias(f"{k}_") for k in names]).agg(first.alias("_profile")), "lookup")
+    out = keyed.join(found, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in names])
     return out.select(*rows.columns, *[F.coalesce(F.col("_profile").getField(c), F.lit(NEUTRAL[c])).alias(f"market_{c}") if c in NEUTRAL else F.col("_profile").getField(c).alias(f"market_{c}") for c in PROFILE])

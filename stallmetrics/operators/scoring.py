@@ -29,17 +29,17 @@ def initial_scores(features: DataFrame, profiles: DataFrame) -> DataFrame:
     """
     rows = stored(features.withColumn("category", F.coalesce(F.nullif("category_key", F.lit("")), F.lit("unknown"))).withColumn("vph", S.views_per_hour(F.col("views"), F.col("age_minutes"))), "features")
     balanced, profiles = stored(balanced_rates(rows), "rates"), stored(profiles, "profiles")
-    base = balanced.groupBy("category").agg(F.greatest(F.lit(0.25), S.percentile(F.col("rate"), 0.5)).alias("category_median"), S.percentile(F.col("rate"), 0.75).alias("_p75"))
-    base = base.withColumn("category_p75", F.greatest("category_median", "_p75")).drop("_p75")
-    spread = lambda: [S.percentile(F.col("vph"), q).alias(f"_q{int(q * 100)}") for q in (0.5, 0.85, 0.9)]
-    whole = rows.groupBy("category").agg(F.count(F.lit(1)).alias("category_size"), *spread())
-    rows = stored(rows.join(base.join(whole, "category"), "category"), "based")
-    cohort = rows.filter("cohort_key <> ''").groupBy("category", "cohort_key").agg(F.count(F.lit(1)).alias("peers"), F.count_if(F.col("vph") >= F.col("category_p75")).alias("strong"), *[c.alias(f"c{i}") for i, c in enumerate(spread())])
-    rows = stored(rows.join(cohort, ["category", "cohort_key"], "left").na.fill(0, ["peers", "strong"]), "cohorts")
-    rows = S.mid_rank_among(rows, "vph", balanced, "rate", ["category"], "velocity_percentile")
-    rows = stored(S.mid_rank(rows, "views", ["category"], "views_percentile"), "ranked")
     bare = F.when(F.col("cohort_key").startswith("id:"), F.substring(F.col("cohort_key"), 4, 10_000))
     rows = lookup(rows, profiles, [F.nullif("cohort_key", F.lit("")), F.nullif("identity_key", F.lit("")), bare])
+    # What is joined back is written, so that its size is known and the ads are shuffled for large tables only.
+    base = balanced.groupBy("category").agg(*S.percentiles(F.col("rate"), {"_p50": 0.5, "_p75": 0.75}))
+    base = base.withColumn("category_median", F.greatest(F.lit(0.25), F.col("_p50"))).withColumn("category_p75", F.greatest("category_median", "_p75")).drop("_p50", "_p75")
+    whole = rows.groupBy("category").agg(F.count(F.lit(1)).alias("category_size"), *S.percentiles(F.col("vph"), {"_q50": 0.5, "_q85": 0.85, "_q90": 0.9}))
+    rows = rows.join(stored(base.join(whole, "category"), "categories"), "category")
+    cohort = rows.filter("cohort_key <> ''").groupBy("category", "cohort_key").agg(F.count(F.lit(1)).alias("peers"), F.count_if(F.col("vph") >= F.col("category_p75")).alias("strong"), *S.percentiles(F.col("vph"), {"c0": 0.5, "c1": 0.85, "c2": 0.9}))
+    rows = rows.join(stored(cohort, "cohorts"), ["category", "cohort_key"], "left").na.fill(0, ["peers", "strong"])
+    rows = S.mid_rank(rows, "views", ["category"], "views_percentile")
+    rows = S.mid_rank_among(rows, "vph", balanced, "rate", ["category"], "velocity_percentile")
 
     c = F.col
     cohorts = c("peers") >= 3

@@ -22,8 +22,13 @@ def _candidates(spark, sf, o=None):
     return o.select(F.col("family_key").alias("cohort_key"), F.col("posted_at").cast("timestamp").alias("created_at"), F.col("is_promoted").alias("is_control"), (F.col("price_eur") % 100).alias("current_score"), outcome.alias("outcome"), "external_id", "category")
 
 
-def _profiles(spark, sf):
-    o = stored(R.offers(spark, sf), "offers")
+def _offers(spark, sf):
+    """The ads, written with what profiles and features read of them."""
+    return stored(R.offers(spark, sf).select("external_id", "category", "family_key", "posted_at", "price_eur", "is_promoted", "view_count", "ordinal", "quantity", "l_linenumber"), "offers")
+
+
+def _profiles(spark, sf, o=None):
+    o = _offers(spark, sf) if o is None else o
     listings = o.withColumn("first_seen_at", F.col("posted_at").cast("timestamp"))
     views = R.views(spark, sf, o).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
     return market.market_profile(listings.select("category", "family_key").distinct(), listings, views, _candidates(spark, sf, o), R.as_of(), _DAYS, _WINDOW)
@@ -48,8 +53,8 @@ def market_profile(spark, sf):
     return _profiles(spark, sf)
 
 
-def _features(spark, sf):
-    return R.offers(spark, sf).filter("view_count IS NOT NULL").select(
+def _features(o):
+    return o.filter("view_count IS NOT NULL").select(
         "external_id", F.col("category").alias("category_key"), F.lit(None).cast("string").alias("identity_key"), F.lit(0).alias("identity_confidence"), "price_eur", F.col("view_count").alias("views"),
         (F.col("ordinal") % 1400 + 20).cast("double").alias("age_minutes"), F.when(F.col("quantity") > 45, "").otherwise(F.col("family_key")).alias("cohort_key"),
     )
@@ -59,7 +64,8 @@ _SCORED = "category_ratio peer_median peer_p85 peer_ratio family_rate vs_history
 
 
 def opportunity_score(spark, sf):
-    found = scoring.initial_scores(_features(spark, sf), _profiles(spark, sf))
+    o = _offers(spark, sf)
+    found = scoring.initial_scores(_features(o), _profiles(spark, sf, o))
     return found.select(
         "external_id", "category", "peer_count", "saturation", "trend_evidence", "score", "confidence", "stage", "opportunity_type", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in _SCORED], *[f"predicted_{h}h_{x}" for h in (3, 6) for x in ("low", "high")]
     )

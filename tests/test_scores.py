@@ -76,3 +76,11 @@ def test_medians_without_a_row_read_no_other_row(spark):
     want = {i: (int(median(o)) if (o := [w for j, g, w in rows if g == k and j != i]) else None, len(o) + 1) for i, k, _ in rows}
     assert {r.id: (r.m, r.n) for r in found.collect()} == want
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_profiles_are_looked_up_once_for_each_list_of_keys(spark):
+    """Rows aren't multiplied by their keys and gathered again: rows of one id stay apart, and each takes its first key with a profile."""
+    profiles = _profile(spark, [("x", 1.0, 70.0, 45.0, 1, 8, 5), ("y", 2.0, 70.0, 45.0, 2, 8, 5)])
+    rows = spark.createDataFrame([("a", None, "x"), ("a", "none", "y"), ("b", "y", "x"), ("c", None, None)], "external_id string, one string, two string")
+    found = market.lookup(rows, profiles, [F.col("one"), F.col("two")])
+    assert sorted((r.external_id, r.market_count, r.market_supply_growth_ratio) for r in found.collect()) == [("a", 500, 1.0), ("a", 500, 2.0), ("b", 500, 2.0), ("c", 0, 1.0)]
