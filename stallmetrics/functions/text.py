@@ -106,11 +106,16 @@ def _words(*lists) -> Column:
     return F.array(*[F.lit(w) for w in dict.fromkeys(w for ws in lists for w in ws)])
 
 
-def _let(value: Column, of) -> Column:
+def let(value: Column, of) -> Column:
     """of(value), with value computed once a row however often of uses it."""
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
+def found(text: Column, pattern: str, group: int) -> Column:
+    """The pattern's first match, null if there is none; unlike nullif(regexp_extract()), looked for once also in a lambda."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def title_words(fold: Column) -> Column:
     """T4 as a list: canonical words that aren't stop words."""
     return F.filter(F.split(canonical(fold), " "), lambda w: (w != "") & ~F.array_contains(_words(STOPWORDS), w))
@@ -147,7 +152,7 @@ def identity_words(fold: Column) -> Column:
         implied = lambda w: F.greatest(*[(w == brand) & F.arrays_overlap(words, _words(roots.split())) for brand, roots in ROOTS_OF_BRAND.items()])
         return F.filter(words, lambda w: ~implied(w))
 
-    return _let(plain, without_implied)
+    return let(plain, without_implied)
 
 
 def is_model_word(word: Column) -> Column:
@@ -179,7 +184,7 @@ def family_of(words: Column) -> Column:
         return F.struct(F.when(none, "").otherwise(F.array_join(key, " ")).alias("key"), F.when(none, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).alias("confidence"))
 
     split = F.struct(F.filter(words, is_model_word).alias("models"), F.filter(words, is_brand).alias("brands"), F.filter(words, lambda w: ~is_model_word(w) & ~is_brand(w)).alias("other"))
-    return _let(_let(split, chosen), scored)
+    return let(let(split, chosen), scored)
 
 
 def duplicate_key(category: Column, normal: Column, price_eur: Column, price_text: Column) -> Column:
@@ -201,7 +206,7 @@ def opportunity_family(fold: Column, category: Column) -> Column:
         whole = F.concat(F.lit("fam:"), F.coalesce(F.nullif(category, F.lit("")), F.lit("unknown")), F.lit(":"), F.array_join(F.concat(F.array(n["head"]), n["tail"]), "|"))
         return F.when(F.size(n["tail"]) > 0, whole).otherwise("")
 
-    return _let(_let(tokens, named), key)
+    return let(let(tokens, named), key)
 
 
 def cohort_key(identity_key: Column, identity_confidence: Column, family_key: Column) -> Column:
@@ -223,13 +228,12 @@ PRICE = r"(?i)(?<!\d)(\d{1,3}(?:\.\d{3})*|\d+)\s*€"
 
 def parse_price(text: Column) -> Column:
     """Whole euros of the first price; dots group thousands."""
-    return F.replace(F.nullif(F.regexp_extract(text, PRICE, 1), F.lit("")), F.lit("."), F.lit("")).cast("int")
+    return F.replace(found(text, PRICE, 1), F.lit("."), F.lit("")).cast("int")
 
 
 def external_id(url: Column) -> Column:
     """The number of an ad's address, else the first long number, else the address."""
-    get = lambda p: F.nullif(F.regexp_extract(url, p, 1), F.lit(""))
-    return F.coalesce(get(r"/(\d{6,})-\d+-\d+(?:[/?#]|$)"), get(r"(\d{6,})"), url)
+    return F.coalesce(found(url, r"/(\d{6,})-\d+-\d+(?:[/?#]|$)", 1), found(url, r"(\d{6,})", 1), url)
 
 
 def page_url(url: Column, page: Column) -> Column:

@@ -131,3 +131,28 @@ def test_counters_and_kinds(spark):
     assert [r[4] for r in found] == [None, False, None, False, True, None]
     assert [r[5] for r in found] == ["script", "script", "challenge", "script", "script", "script"]
     assert [r[6] for r in found] == ["normal", "normal", "challenge", "normal", "normal", "challenge"] and found[0].p.views == 5
+
+
+def test_each_pattern_is_looked_for_once(spark):
+    df = spark.createDataFrame([(1, "", 1, FEED)], "k int, html string, requested_page int, final_url string")
+    plan = _plan(rp.pages(df, BASE, HOST))
+    # Each of them once for the places and what stands alone, not for each place, nor again to see that it is not empty.
+    assert plan.count(r"\bHeute") == plan.count(r"\bGestern") == plan.count(r"\d{1,2}\.\d{1,2}\.\d{4}") == 1
+    assert plan.count("lower(_text") == 1 and plan.count(r"von\s") == 4
+    # Cards and links are read out of the answer at once, so that no later step copies it.
+    assert plan.count("_r#") <= 1
+
+
+def test_pages_of_sound_tags_are_read_as_any_other(spark):
+    from stallmetrics.sources import dom
+
+    found = {k: v for k, v in CASES.items() if v[0]}
+    assert all(dom._sound(v[0]) for v in found.values()) and not dom._sound("<p>a<!-- b --></p>") and not dom._sound("<template></template>") and not dom._sound("<p><b></p>")
+    rows = [(k, html, n, url) for k, (html, n, url) in found.items()] + [(k, f"<!-- x -->{html}<p>", n, url) for k, (html, n, url) in found.items()]
+    read = rp.pages(spark.createDataFrame(rows, "name string, html string, requested_page int, final_url string"), BASE, HOST).collect()
+    assert len(read) == 2 * len(found) and len({(r["name"], str(r["info"])) for r in read}) == len(found)
+
+
+def test_templates_have_no_text(spark):
+    df = spark.createDataFrame([(1, card(1234567, more='<template><b class="price">9 €</b></template>'), 1, FEED)], "k int, html string, requested_page int, final_url string")
+    assert [(r.title, r.price_eur) for r in rp.items(rp.pages(df, BASE, HOST), "k").collect()] == [("Normal", 15)]
