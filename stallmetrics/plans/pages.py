@@ -20,7 +20,7 @@ def _c(name):
 def _captured(spark, sf):
     """A page's cards by their line: 1 plain, 2 promoted, 3 shipping before the price and a time element, 4 without date and price, 5 the first once more, 6 a date and a price that stand alone, 7 free and yesterday."""
     o = R.offers(spark, sf)
-    line, price = _c("l_linenumber"), F.concat(F.regexp_replace(F.format_number("price_eur", 0), ",", "."), F.lit(" €"))
+    line, price = _c("l_linenumber"), F.concat(F.translate(F.format_number("price_eur", 0), ",", "."), F.lit(" €"))
     number = F.when(line == 5, _c("ordinal") - 4).otherwise(_c("ordinal")) + 1_000_000
     day = F.concat(F.lit('<div class="aditem-main--top--right">Heute, 10:0'), line, F.lit("</div>"))
     date = F.when(line == 3, '<time datetime="1998-05-03T10:00">May</time>').when(line == 4, "").when(line == 6, "<div><small> 15.06.1998 </small></div>").when(line == 7, '<b title="Gestern, 9:30">x</b>').otherwise(day)

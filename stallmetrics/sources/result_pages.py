@@ -106,7 +106,9 @@ class _Kind:
         self.paid = self.paid_class or any(PROMOTED_VALUE.search(attrs[a].strip()) for a in ("id", "data-testid", "aria-label", "title") if a in attrs)
         self.marked = self.paid or tag in ("span", "small", "label") or any("badge" in c.lower() for c in classes)
         self.posted, self.price = _place(DATE_PLACES, values), _place(PRICE_PLACES, values)
-        self.shipping, self.prices, self.unnamed = "price-shipping" in names, "price" in names, "price" not in values["names"].lower()
+        self.shipping, self.unnamed = "price-shipping" in names, "price" not in values["names"].lower()
+        #: A surer place for a price if it is inside of one with shipping.
+        self.prices = "price" in names and (self.price is None or self.price > _INSIDE)
         self.dates, self.moment = [" ".join(attrs[a].split()) for a in DATE_ATTRIBUTES if attrs.get(a)], attrs.get("datetime", "")
         self.dull = self.posted is None and self.price is None and not (self.small or self.priced or self.prices)
 
@@ -121,7 +123,8 @@ def _found(tag: Tag) -> _Kind:
     if tag.found is None:
         a = tag.attrs
         href = a.get("href", "") if tag.name == "a" else ""
-        tag.found = _kind(tag.name, "/s-anzeige/" in href, _FEED.search(href) is not None, tuple((k, v) for k, v in a.items() if k != "href") if a else ())
+        more = tuple((k, v) for k, v in a.items() if k != "href") if len(a) > ("href" in a) else ()
+        tag.found = _kind(tag.name, "/s-anzeige/" in href, _FEED.search(href) is not None, more)
     return tag.found
 
 
@@ -156,11 +159,8 @@ def _own(page: Page, e: int) -> bool:
     return True
 
 
-def _shipping(page: Page, kinds: list[_Kind], card: int) -> set[int]:
-    """The elements of a card that are named a price and are inside of a price with shipping."""
-    named = [e for e in range(card + 1, page.ends[card]) if kinds[e].prices]
-    if not named:
-        return set()
+def _shipping(page: Page, kinds: list[_Kind], card: int, named: list[int]) -> set[int]:
+    """Which elements of a card are inside of a price with shipping."""
     up = page.parents
     around, e = False, card
     while e >= 0 and not around:
@@ -199,7 +199,8 @@ class _Rows:
         first, last = page.first, page.last
         link = title = None
         small, alone, posted, priced = 0, [], [], []
-        shipping = _shipping(page, kinds, card)
+        named = [e for e in range(card + 1, page.ends[card]) if kinds[e].prices]
+        shipping = _shipping(page, kinds, card, named) if named else ()
         for e in range(card + 1, page.ends[card]):
             k = kinds[e]
             if link is None and k.link:
@@ -220,20 +221,20 @@ class _Rows:
             if k.small and small <= self.looked_at and n <= ALONE and DATE_LIKE.search(text) and _own(page, e):
                 alone.append((text, False))
             if n <= PRICE_CHARS and ("€" in text or text.lower() in FREE):
-                if e in shipping and (k.price is None or k.price > _INSIDE):
+                if e in shipping:
                     priced.append((_INSIDE, False, False, 0, e, text))
                 elif k.price is not None:
                     priced.append((k.price, False, False, 0, e, text))
                 elif k.priced:
                     priced.append((len(PRICE_PLACES), "versand" in text.lower(), k.unnamed, n, e, text))
-        for _, _, text, k in sorted(posted, key=lambda x: x[:2]):
+        for _, _, text, k in sorted(posted, key=lambda x: x[:2]) if len(posted) > 1 else posted:
             self.posted += [(said, False) for said in (text, *k.dates) if DATE_LIKE.search(said)]
             if k.moment:
                 self.posted.append((k.moment, True))
         self.posted += alone
         self.priced += [x[-1] for x in sorted(priced)]
-        named = link if title is None else title
-        self.cards.append((None if link is None else _joined(self.base, page.tags[link].attrs["href"]), None if named is None else page.text(named), promoted(page, kinds, card), page.text(card)))
+        name = link if title is None else title
+        self.cards.append((None if link is None else _joined(self.base, page.tags[link].attrs["href"]), None if name is None else page.text(name), promoted(page, kinds, card), page.text(card)))
         self.posted_of.append(len(self.posted))
         self.priced_of.append(len(self.priced))
 
