@@ -310,12 +310,13 @@ def pages(captured: DataFrame, base: str, host: str, longest: int | None = LONGE
     rows = rows.withColumns({"_range": F.regexp_extract("_text", span, 0), "_low": F.lower("_text")}).drop("_text")
     rows = rows.withColumns({f"_{name}": _german(F.regexp_extract("_range", span, i)) for i, name in enumerate(("start", "end", "total"), 1)})
     ranged = (c("_start") > 0) & (c("_end") >= c("_start"))
-    guess = F.bround((c("_start") - 1) / F.nullif(c("_page") - 1, F.lit(0))).cast("int")
+    rows = rows.withColumn("_guess", F.rint((c("_start") - 1) / F.nullif(c("_page") - 1, F.lit(0))).cast("int"))
+    guess = c("_guess")
     near = guess.between(10, 50) & (F.abs(c("_start") - 1 - guess * (c("_page") - 1)) <= F.greatest(F.lit(2), F.floor(F.greatest(F.lit(1), guess) * 0.15)))
     size = c("_end") - c("_start") + 1
     rows = rows.withColumn("_stride", F.when(ranged & (c("_page") > 1) & near, guess).when(ranged & (c("_page") == 1) & (size >= 10), F.least(F.lit(50), size)).otherwise(25).cast("int"))
     rows = rows.withColumn("_by_range", F.when(ranged, F.floor((c("_start") - 1) / c("_stride")) + 1).cast("int")).withColumn("_last", F.when(c("_total").isNotNull(), F.greatest(F.lit(1), F.ceil(c("_total") / c("_stride")))).cast("int"))
-    rows = rows.withColumn("_by_url", F.nullif(F.regexp_extract("_final", r"/seite:(\d+)(?:/|$)", 1), F.lit("")).cast("int"))
+    rows = rows.withColumn("_by_url", X.found(c("_final"), r"/seite:(\d+)(?:/|$)", 1).cast("int"))
     confirmed = F.when(c("_by_url").isNotNull(), c("_by_url") == c("_page")).otherwise(c("_page") == 1)
     off = F.coalesce(c("_start") != 1 + (c("_page") - 1) * c("_stride"), F.lit(False)) | F.coalesce(c("_page") > c("_last"), F.lit(False))
     matches = F.when(c("_by_url") != c("_page"), False).otherwise(confirmed | ~off)
@@ -327,7 +328,7 @@ def pages(captured: DataFrame, base: str, host: str, longest: int | None = LONGE
 
     # Feeds of the same category in other places; those with counts, the smallest first, else as they come.
     feed = r"/(c\d+)l(\d+)(?:$|[/?])"
-    rows = rows.withColumn("_code", F.nullif(F.regexp_extract("_final", r"/(c\d+)(?:l\d+)?(?:$|[/?])", 1), F.lit(""))).withColumn("_here", F.regexp_extract("_final", r"/c\d+l(\d+)(?:$|[/?])", 1))
+    rows = rows.withColumn("_code", X.found(c("_final"), r"/(c\d+)(?:l\d+)?(?:$|[/?])", 1)).withColumn("_here", F.regexp_extract("_final", r"/c\d+l(\d+)(?:$|[/?])", 1))
     elsewhere = lambda href: (F.regexp_extract(href, feed, 1) == c("_code")) & (F.regexp_extract(href, feed, 2) != c("_here"))
     other = F.filter("_links", lambda x: c("_code").isNotNull() & X.let(F.coalesce(F.try_url_decode(x["href"]), x["href"]), elsewhere) & X.allowed_url(x["url"], host))
     rows = rows.withColumn("_feeds", other).drop("_links")

@@ -164,3 +164,9 @@ def test_links_are_read_alike_and_not_kept():
     page = dom.tree("".join(f'<a href="/s-anzeige/x/{i}-1-1">x</a><A href="/s-anzeige/x/{i}-1-2&amp;">y</A>' for i in range(50)))
     assert [t.attrs["href"] for t in page.tags[1:5]] == ["/s-anzeige/x/0-1-1", "/s-anzeige/x/0-1-2&", "/s-anzeige/x/1-1-1", "/s-anzeige/x/1-1-2&"]
     assert not any(k.startswith("a href") for k in dom._tags) and len({id(rp._found(t)) for t in page.tags[1:]}) == 1
+
+
+def test_the_stride_is_guessed_once(spark):
+    df = spark.createDataFrame([(1, "", 1, FEED)], "k int, html string, requested_page int, final_url string")
+    plan = _plan(rp.pages(df, BASE, HOST))
+    assert "bround(" not in plan and plan.count("rint(") == 1
